@@ -38,3 +38,89 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch:
             break
         seen = now
     return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(cur.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+
+
+def singletons(nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """Nodes of no component but their own."""
+    return nodes.join(components.select(F.col("node").alias(nodes.columns[0])), nodes.columns[0], "left_anti")
+
+
+def dominators(edges: list[tuple[int, int]], small: int = 10) -> list[int]:
+    """A greedy dominating set of one component; an edge (u, v) lets u stand for v.
+
+    Vertices are numbered by first appearance in the sorted edges, sources before pure targets. Up to ``small``
+    vertices the one that covers most uncovered vertices is taken again and again, the first among equals. Beyond,
+    vertices that nothing stands for come first, then again those that cover most, found lazily from a heap.
+    """
+    import heapq
+
+    edges = sorted(set(edges))
+    if len(edges) == 1:
+        return [edges[0][0]]
+    order: dict[int, int] = {}
+    for u, _ in edges:
+        order.setdefault(u, len(order))
+    for _, v in edges:
+        order.setdefault(v, len(order))
+    names = list(order)
+    covers: list[set[int]] = [{i} for i in range(len(names))]
+    pointed = [False] * len(names)
+    for u, v in edges:
+        covers[order[u]].add(order[v])
+        pointed[order[v]] |= u != v
+    left, taken = set(range(len(names))), []
+
+    def take(i: int) -> None:
+        taken.append(i)
+        left.difference_update(covers[i])
+
+    if len(names) > small:
+        for i in range(len(names)):
+            if not pointed[i]:
+                take(i)
+        heap = [(-len(covers[i] & left), i) for i in range(len(names))]
+        heapq.heapify(heap)
+        while left:
+            gain, i = heapq.heappop(heap)
+            now = len(covers[i] & left)
+            if now == -gain:
+                take(i)
+            elif now:
+                heapq.heappush(heap, (-now, i))
+    else:
+        while left:
+            take(max(range(len(names)), key=lambda i: (len(covers[i] & left), -i)))
+    return [names[i] for i in taken]
+
+
+def dominating_set(edges: DataFrame) -> DataFrame:
+    """component, node: a greedy dominating set of each component of (component, v0, v1), v0 standing for v1.
+
+    Greedy choice looks at a whole component, so each is a group of its own; edges are repeated nowhere else.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chosen = dominators(list(zip(pdf["v0"].tolist(), pdf["v1"].tolist(), strict=True)))
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "node": chosen})
+
+    return edges.select("component", "v0", "v1").distinct().groupBy("component").applyInPandas(run, "component bigint, node bigint")
+
+
+def best_pairing(scores: DataFrame, at_least: float) -> DataFrame:
+    """One-to-one pairs (a, b) by descending score, none below a threshold: rounds of mutual best choices.
+
+    Each round pairs those that are each other's best among what is left, which is what a greedy walk down the
+    sorted scores takes; ties go to the smaller a, then b.
+    """
+    scratch = Scratch(scores.sparkSession, "pairing")
+    left = scratch.keep(scores.where(F.col("score") >= at_least).select("a", "b", "score"), "scores")
+    out = None
+    while left.take(1):
+        key = F.struct((-F.col("score")).alias("s"), "a", "b")
+        x = left.groupBy("a").agg(F.min(key).alias("k"))
+        y = left.groupBy("b").agg(F.min(key).alias("k"))
+        both = scratch.keep(x.join(y.withColumnRenamed("b", "_b"), "k").select("k.a", "k.b", (-F.col("k.s")).alias("score")), "round")
+        out = both if out is None else out.unionByName(both)
+        left = scratch.keep(left.join(both.select("a"), "a", "left_anti").join(both.select("b"), "b", "left_anti").select("a", "b", "score"), "scores")
+    return out if out is not None else left
