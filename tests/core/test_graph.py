@@ -36,7 +36,9 @@ def test_dominating_set(spark):
     assert {tuple(r) for r in graph.dominating_set(df).collect()} == {(0, 0), (0, 1), (12, 47)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(5, 5), (900, None)]
     root = {}
