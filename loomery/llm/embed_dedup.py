@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.operators.graph import connected_components
+from loomery.operators.graph import connected_components, smallest_reachable
 from loomery.runtime import Scratch, checked_broadcast
 
 DIMS = 6
@@ -132,20 +132,6 @@ def _joined(x, y, px, py, low: float, eps: float, self_: bool, i: int = 0, j: in
             yield from _joined(x[u[0] : u[1]], y[v[0] : v[1]], px[u[0] : u[1]], py[v[0] : v[1]], low, eps, same, i + u[0], j + v[0])
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node it reaches over the links."""
-    root = np.arange(n)
-    while True:
-        m = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], m)
-        np.minimum.at(new, root[b], m)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _matcher(axes: np.ndarray, threshold: float, eps: float):
     # rows scaled to length one carry rounding of a few ulps: what is this close is decided by the plain formula
     slack = 1e-9
@@ -171,7 +157,7 @@ def _matcher(axes: np.ndarray, threshold: float, eps: float):
                 nodes = ids[0] if self_ else np.concatenate(ids)
                 copies = mult[0] if self_ else np.concatenate(mult)
                 links = np.bincount(a, weights=copies[b + shift], minlength=len(nodes)) + np.bincount(b + shift, weights=copies[a], minlength=len(nodes))
-                root = _forest(len(nodes), a, b + shift)
+                root = smallest_reachable(len(nodes), a, b + shift)
                 hit = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(links[hit].astype(np.int64)), pa.array(nodes[root[hit]])], ["rep", "links", "root"])
 
