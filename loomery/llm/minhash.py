@@ -6,9 +6,12 @@ all minima; an empty bin borrows from the first non-empty bin of its own random
 ``rows_per_band`` bins form a band, whose hash is a bucket key.
 
 Equal sets collapse to one representative first, so a group of exact copies costs one row in the buckets. Each
-bucket then links a centre with its members (a star, not all pairs), links are confirmed on the full sets, and
-components are formed. Where a bucket still holds several components, the next 4, 16, 64 ... members become
-centres against members of other components only, until every pair that could join two components was compared.
+bucket then links its centre with its members (a star, not all pairs). The centre is the member that meets most others
+over all its buckets, so in a group of near copies it is the text that they derive from. Links are confirmed on the
+full sets and components formed. Where a bucket still holds several components, only pairs across components are
+looked at, inside tasks of bounded size: 1024 parity bits of the sets give an upper bound on the overlap of sets of up
+to 600 shingles, larger ones must agree in as many of the minima as a pair at the threshold has but for six standard
+deviations. Pairs that pass are emitted once, whatever number of buckets they share, and confirmed on the full sets.
 So the components are those of all bucketed pairs, while groups that are linked stop costing anything.
 
 Null and empty texts, and texts without words, have n_shingles 0 and link with nothing. Rows that repeat a
@@ -32,6 +35,10 @@ from loomery.operators.graph import connected_components
 from loomery.runtime import Scratch, checked_broadcast
 
 N_BINS = 192
+#: Parity bits of a small set, and the most shingles of one.
+PARITY, SMALL = 1024, 600
+#: Rows of one bucket that are compared in one task.
+BLOCK = 2048
 _SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
 _EDGES = (np.arange(N_BINS, dtype=np.uint64) * np.uint64((1 << 64) // N_BINS)).astype(np.uint64)
 _BORROW = np.stack([np.random.default_rng(7919 + i).permutation(N_BINS) for i in range(N_BINS)])
@@ -112,7 +119,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = classes.select("set_a", "set_b", "rep", "n", F.posexplode("bands").alias("band", "key"))
     shared = sets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = scratch.keep(shared, "shared")
-    buckets = scratch.keep(sets.join(shared, "key").select("key", "rep", "n", "size"), "buckets")
+    buckets = scratch.keep(sets.join(shared, "key").select("key", "band", "rep", "n", "size"), "buckets")
     links = None
     ids = scratch.keep(buckets.select("rep").distinct(), "ids")
     if ids.count():
@@ -130,40 +137,135 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _sketcher(rows: int, percent: int):
+    """rep, 32 bits of each band's key, parity bits (small sets), a byte of each minimum (large sets)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for g in words.shingle_sets(batch.column("text")):
+                sig = signature(g)
+                bits = np.zeros(PARITY // 64, dtype=np.uint64)
+                if len(g) <= SMALL:
+                    at = (g >> np.uint64(8)) & np.uint64(PARITY - 1)
+                    np.bitwise_xor.at(bits, (at >> np.uint64(6)).astype(np.int64), np.left_shift(np.uint64(1), at & np.uint64(63)))
+                out.append((band_keys(sig, rows).astype(np.uint32).tobytes(), bits.tobytes() if len(g) <= SMALL else b"", words.mix(sig).astype(np.uint8).tobytes() if 100 * len(g) >= percent * SMALL else b""))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *[pa.array(c, pa.binary()) for c in cols]], ["rep", "frags", "parity", "minima"])
+
+    return run
+
+
+def _across(t: dict, percent: int) -> tuple[list[int], list[int]]:
+    """Pairs of one task's rows, of different components, that may reach the threshold and meet first in this bucket."""
+    rep, comp, n = np.array(t["rep"]), np.array(t["component"]), np.array(t["n"])
+    side, band = np.array(t["side"]), t["band"][0]
+    frags = np.frombuffer(b"".join(t["frags"]), np.uint32).reshape(len(rep), -1)
+    small = n <= SMALL
+    parity = np.frombuffer(b"".join(p or bytes(PARITY // 8) for p in t["parity"]), np.uint64).reshape(len(rep), -1)
+    minima = np.frombuffer(b"".join(m or bytes(N_BINS) for m in t["minima"]), np.uint8).reshape(len(rep), -1)
+    s = percent / 100
+    agree = N_BINS * s - 6 * math.sqrt(N_BINS * s * (1 - s))
+    out_a, out_b = [], []
+    one_side = side.min() == side.max()
+    for lo in range(0, len(rep), 64):
+        x = np.arange(lo, min(lo + 64, len(rep)))[:, None]
+        y = np.arange(len(rep))[None, :]
+        ok = (comp[x] != comp[y]) & (rep[x] < rep[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        if not one_side:
+            ok &= side[x] != side[y]
+        a, b = np.nonzero(ok)
+        a = a + lo
+        tiny = small[a] & small[b]
+        differ = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+        same = (minima[a] == minima[b]).sum(axis=1)
+        ok = np.where(tiny, (100 + percent) * differ <= (100 - percent) * (n[a] + n[b]), same >= agree)
+        a, b = a[ok], b[ok]
+        ok = (frags[a] == frags[b]).argmax(axis=1) == band
+        out_a += rep[a[ok]].tolist()
+        out_b += rep[b[ok]].tolist()
+    return out_a, out_b
+
+
+def _compare(percent: int):
+    """Candidate pairs out of rows sorted by task."""
+    names = ("rep", "component", "n", "side", "band", "frags", "parity", "minima")
+
+    def run(batches):
+        task, held = None, {k: [] for k in names}
+
+        def done():
+            a, b = _across(held, percent) if len(held["rep"]) > 1 else ([], [])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            tasks = batch.column("task").to_pylist()
+            cols = {k: batch.column(k).to_pylist() for k in names}
+            at = 0
+            for k in range(1, len(tasks) + 1):
+                if k == len(tasks) or tasks[k] != tasks[at]:
+                    if tasks[at] != task:
+                        yield from done()
+                        task, held = tasks[at], {c: [] for c in names}
+                    for c in names:
+                        held[c] += cols[c][at:k]
+                    at = k
+        yield from done()
+
+    return run
+
+
 def _linked(scratch: Scratch, buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Confirmed links that connect whatever bucketed pairs connect."""
     near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    centres = scratch.keep(buckets.groupBy("key").agg(F.min(F.struct(F.col("rep"), F.col("n"))).alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("m")), "centres")
-    pairs = buckets.join(centres, "key").where("rep <> centre").where(near).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = scratch.keep(_confirmed(pairs, texts, percent), "links")
-    tested, low, width = None, 1, 4
-    left = buckets.where("size > 2")
-    # members ranked once within each bucket; the first is the centre that was used above
-    ranked = scratch.keep(left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep", "n"))), "ranked")
-    while True:
-        comp = scratch.keep(connected_components(links, scratch=scratch), "round")
-        open_ = ranked.where(F.col("size") > low).join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_ = scratch.keep(open_, "open")
-        mixed = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        todo = scratch.keep(open_.join(mixed, "key", "left_semi"), "todo")
-        if not todo.take(1):
-            return links.select("a", "b")
-        c = scratch.keep(todo.where(f"rank > {low} and rank <= {low + width}").select("key", F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("rank").alias("at"), F.col("component").alias("of")), "centres")
-        pairs = todo.join(c, "key").where("rank > at and component <> of").where(near).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        more = scratch.keep(_confirmed(pairs, texts, percent), "more")
-        links = scratch.keep(links.union(more), "links")
-        tested = pairs if tested is None else scratch.keep(tested.union(pairs), "tested")
-        scratch.drop(open_, todo)
-        low, width = low + width, width * 4
-
-
-def min_check_rows(percent: int) -> tuple[int, float]:
-    """Bins in a band, and the chance that a pair exactly at the threshold shares no bucket."""
-    r = rows_per_band(percent)
-    return r, math.pow(1 - (percent / 100) ** r, N_BINS // r)
+    popular = scratch.keep(buckets.groupBy("rep").agg(F.sum("size").alias("pop")), "popular")
+    met = buckets.join(popular, "rep")
+    centres = scratch.keep(met.groupBy("key").agg(F.max(F.struct(F.col("pop"), (-F.col("rep")).alias("minus"), F.col("n"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("m")), "centres")
+    pairs = buckets.join(centres, "key").where("rep <> centre").where(near).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+    tested = scratch.keep(pairs, "tested")
+    links = scratch.keep(_confirmed(tested, texts, percent), "links")
+    comp = scratch.keep(connected_components(links, scratch=scratch), "round")
+    open_ = buckets.where("size > 2").join(checked_broadcast(comp.withColumnRenamed("node", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_ = scratch.keep(open_, "open")
+    mixed = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    todo = scratch.keep(open_.join(checked_broadcast(scratch.keep(mixed, "mixed")), "key", "left_semi"), "todo")
+    if not todo.take(1):
+        return links
+    sketches = scratch.keep(texts.join(checked_broadcast(scratch.keep(todo.select("rep").distinct(), "who")), "rep", "left_semi").mapInArrow(_sketcher(rows_per_band(percent), percent), "rep bigint, frags binary, parity binary, minima binary"), "sketches")
+    rows = _tasks(scratch, todo).join(sketches, "rep")
+    found = rows.repartition("task").sortWithinPartitions("task").select("task", "rep", "component", "n", "side", "band", "frags", "parity", "minima").mapInArrow(_compare(percent), "a bigint, b bigint")
+    found = scratch.keep(found, "found")
+    more = scratch.keep(_confirmed(found.distinct().join(tested, ["a", "b"], "left_anti"), texts, percent), "more")
+    return links.union(more)
+
+
+def _tasks(scratch: Scratch, todo: DataFrame) -> DataFrame:
+    """Rows of open buckets dealt to tasks of bounded size, so that each pair across components meets in one.
+
+    A bucket of up to BLOCK rows is one task. In a larger one the rows outside its largest component are cut into
+    blocks that meet each other and the blocks of the largest component, whose own blocks never meet.
+    """
+    few = todo.where(F.col("size") <= BLOCK).select(F.struct("key", F.lit(0).alias("x"), F.lit(0).alias("y")).alias("task"), "rep", "component", "n", F.lit(0).alias("side"), "band")
+    many = todo.where(F.col("size") > BLOCK)
+    if not many.take(1):
+        return few
+    parts = many.groupBy("key", "component").agg(F.count("*").alias("c"))
+    top = parts.groupBy("key").agg(F.max_by("component", "c").alias("top"), F.max("c").alias("inside"), F.sum("c").alias("all"))
+    blocks = lambda c: F.ceil(F.greatest(c, F.lit(1)) / BLOCK).cast("int")
+    top = scratch.keep(top.select("key", "top", blocks(F.col("all") - F.col("inside")).alias("outer"), blocks(F.col("inside")).alias("inner")), "largest")
+    r = many.join(checked_broadcast(top), "key").withColumn("inside", F.col("component") == F.col("top"))
+    r = r.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    # blocks of outsiders are numbered from 0, those of the largest component from -1 downwards
+    count = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    inside = r.where("inside").withColumn("x", F.explode(count("outer"))).withColumn("y", -1 - F.col("own")).withColumn("side", F.lit(1))
+    outside = r.where("not inside")
+    with_inner = outside.withColumn("y", F.explode(F.transform(count("inner"), lambda k: -1 - k))).withColumn("x", F.col("own")).withColumn("side", F.lit(0))
+    with_outer = outside.withColumn("_o", F.explode(count("outer"))).withColumn("x", F.least("own", "_o")).withColumn("y", F.greatest("own", "_o")).withColumn("side", F.when(F.col("own") == F.col("_o"), 0).otherwise(F.when(F.col("own") < F.col("_o"), 0).otherwise(1)))
+    out = few
+    for part in (inside, with_inner, with_outer):
+        out = out.unionByName(part.select(F.struct("key", "x", "y").alias("task"), "rep", "component", "n", "side", "band"))
+    return out
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -109,7 +109,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     data, offsets = raw(texts)
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (4 << 20), side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), side="right")) - 1)
         part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         g, g_off = shingles(*hashed(part, off), width)
         out += [np.unique(g[g_off[k] : g_off[k + 1]]) for k in range(j - i)]
