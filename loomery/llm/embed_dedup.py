@@ -58,6 +58,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows with rows in double precision: sums in order of the components, bounded by -1 and 1."""
+    dot, x, y = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for k in range(a.shape[1]):
+        u, v = a[:, k], b[:, k]
+        dot += u * v
+        x += u * u
+        y += v * v
+    return np.clip(dot / np.sqrt(x * y), -1.0, 1.0)
+
+
 def axes_of(rows: np.ndarray) -> np.ndarray:
     """The DIMS leading principal axes of unit rows, as columns."""
     _, vectors = np.linalg.eigh(rows.T @ rows - len(rows) * np.outer(rows.mean(axis=0), rows.mean(axis=0)))
@@ -148,9 +159,7 @@ def _matcher(axes: np.ndarray, threshold: float, eps: float):
                 shift = 0 if self_ else len(ids[0])
                 a_, b_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for a, b in _joined(u[0], u[1], p[0], p[1], threshold - slack, eps + slack, self_):
-                    va, vb = raw[0][a], raw[1][b]
-                    cos = np.einsum("ij,ij->i", va, vb) / (np.sqrt(np.einsum("ij,ij->i", va, va)) * np.sqrt(np.einsum("ij,ij->i", vb, vb)))
-                    keep = cos >= threshold
+                    keep = cosines(raw[0][a], raw[1][b]) >= threshold
                     a_.append(a[keep])
                     b_.append(b[keep])
                 a, b = np.concatenate(a_), np.concatenate(b_)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomery.llm.embed_dedup import matrix, unit, usable
+from loomery.llm.embed_dedup import cosines, matrix, unit, usable
 from loomery.runtime import Scratch
 
 SHARD = 8192
@@ -75,7 +75,6 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, nod
     """Scores and ids (-1: none) of each query's k best rows of one shard, best first."""
     uq, ux = unit(q), unit(x)
     best, who = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, dtype=np.int64)
-    q_norm, x_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
     slack = 1e-9
 
     def score(act: np.ndarray, lo: int, hi: int) -> None:
@@ -91,7 +90,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, nod
         if not len(a):
             return
         rows, cols = act[a], b + lo
-        s = np.einsum("ij,ij->i", q[rows], x[cols]) / (q_norm[rows] * x_norm[cols])
+        s = cosines(q[rows], x[cols])
         for i in np.unique(a):
             mine = a == i if len(a) < 64 else slice(np.searchsorted(a, i), np.searchsorted(a, i, side="right"))
             r = act[i]
