@@ -59,7 +59,9 @@ NAMES = ("chars", "words", "word_len", "line_len", "odd", "odd_per_word", "upper
 
 
 def with_statistics(df: DataFrame, text: str = "text", into: str = "_stats") -> DataFrame:
-    counted = df.withColumn("_q", F.struct(*[v.alias(k) for k, v in counts(F.col(text)).items()]))
+    # the one-row explode keeps the optimiser from copying the counts into a filter on what is derived from them,
+    # where every rule would scan the text again
+    counted = df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in counts(F.col(text)).items()]))).alias("_q"))
     return counted.withColumn(into, F.struct(*[v.alias(k) for k, v in statistics(F.col(text)).items()])).drop("_q")
 
 
