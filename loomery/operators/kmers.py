@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
-#: Residues that count as one in the reduced alphabet of sixteen classes, fixed values.
-CLASSES = ("A", "KR", "EDNQ", "C", "G", "H", "ILVM", "F", "Y", "W", "P", "S", "T")
+#: Residues that count as one, by class number; fixed values.
+CLASSES = ("C", "FY", "W", "ML", "IV", "G", "P", "A", "T", "S", "N", "H", "QE", "D", "R", "K")
 
 
-def reduced(seq: Column, classes: tuple[str, ...] = CLASSES) -> Column:
-    """Sequence over the classes' first letters; letters outside stay."""
-    from_ = "".join(c for g in classes for c in g)
-    to = "".join(g[0] for g in classes for _ in g)
-    return F.translate(F.upper(seq), from_, to)
+def reduced(seq: Column) -> Column:
+    """The sequence over the classes' first letters; other characters stay."""
+    return F.translate(F.upper(seq), "".join(c for g in CLASSES for c in g), "".join(g[0] for g in CLASSES for _ in g))
+
+
+def encoded(seq: Column) -> Column:
+    """The sequence as class numbers, a hexadecimal digit each; what is in no class counts as class 0."""
+    digits = F.translate(F.upper(seq), "".join(c for g in CLASSES for c in g), "".join(f"{k:x}" for k, g in enumerate(CLASSES) for _ in g))
+    return F.regexp_replace(digits, "[^0-9a-f]", "0")
 
 
 def kmers(seqs: DataFrame, k: int) -> DataFrame:

@@ -221,7 +221,7 @@ def alignment_rank(spark, sf):
     return kmers.ranked(kmer_candidates(spark, sf), probes(spark, sf), sequences(spark, sf), 3)
 
 
-@query("SELECT translate(upper(p_brand || p_type), 'KRRDNQEILVM', 'KKKEEEEIIII') AS code, count(*) AS n FROM part GROUP BY 1")
+@query("SELECT translate(upper(p_brand || p_type), 'YLVE', 'FMIQ') AS code, count(*) AS n FROM part GROUP BY 1")
 def reduced_alphabet(spark, sf):
-    p = table(spark, sf, "part").select(F.upper(F.concat("p_brand", "p_type")).alias("s"))
-    return p.select(F.translate("s", "KRRDNQEILVM", "KKKEEEEIIII").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    p = table(spark, sf, "part").select(kmers.reduced(F.concat("p_brand", "p_type")).alias("code"))
+    return p.groupBy("code").agg(F.count("*").alias("n"))

@@ -63,33 +63,60 @@ def mirror_state(spark: SparkSession, path: str, manifest: DataFrame) -> DataFra
 
 
 GENES = "sample string, gene string, contig string, strand string, start bigint, end bigint, complete boolean"
-_ROW = re.compile(r"^\s*(\d+)\s+([+-])\s+([<>]?)(\d+)\s+([<>]?)(\d+)\s+")
+_SECTION = re.compile(r"^\s*(Predicted genes|Predicted proteins:|Nucleotide sequence of predicted genes:|FASTA definition line:)(.*)$", re.M)
+_ROW = re.compile(r"^\s*(\d+)\s+([+-])\s+([<>]?)(\d+)\s+([<>]?)(\d+)\b", re.M)
+_RECORD = re.compile(r"^>([^|\s]*)[^\n]*\n([^>]*)", re.M)
+
+
+def _sections(text: str):
+    """(title, rest of the title's line, what follows it) of each section of a gene-caller report."""
+    found = list(_SECTION.finditer(text))
+    for k, m in enumerate(found):
+        end = found[k + 1].start() if k + 1 < len(found) else len(text)
+        yield m[1], m[2].strip(), text[m.end() : end]
 
 
 def parse_gene_report(text: str) -> list[tuple]:
-    """(gene, contig, strand, start, end, complete) of one gene-caller report.
+    """(number, contig, strand, start, end, complete) of the gene tables of one report.
 
-    A ``FASTA definition line:`` names the contig of the rows that follow; ``<`` and ``>`` mark ends that run off it.
-    Genes are numbered from 0 through the report.
+    ``<`` and ``>`` mark ends that run off the sequence. A definition line, where there is one, names the contig.
     """
     contig, out = None, []
-    for line in text.splitlines():
-        if line.startswith("FASTA definition line:"):
-            contig = (line.split(":", 1)[1].split() or [""])[0]
-        elif (m := _ROW.match(line)) and contig is not None:
-            out.append((len(out), contig, m[2], int(m[4]), int(m[6]), not (m[3] or m[5])))
+    for title, rest, body in _sections(text):
+        if title.startswith("FASTA"):
+            contig = (rest.split() or [""])[0]
+        elif title == "Predicted genes":
+            out += [(m[1], contig, m[2], int(m[4]), int(m[6]), not (m[3] or m[5])) for m in _ROW.finditer(body)]
     return out
 
 
-def gene_reports(reports: DataFrame) -> DataFrame:
-    """Genes of (sample, text) reports, a report being one row; gene names are sample_number."""
-
+def _by_report(reports: DataFrame, parse, schema: str, names: list[str]) -> DataFrame:
     def run(it):
         for pdf in it:
-            rows = [(s, f"{s}_{k}", *rest) for s, t in zip(pdf["sample"], pdf["text"], strict=True) for k, *rest in parse_gene_report(t or "")]
-            yield pd.DataFrame(rows, columns=["sample", "gene", "contig", "strand", "start", "end", "complete"])
+            rows = []
+            for s, t in zip(pdf["sample"], pdf["text"], strict=True):
+                short = (s or "").replace("-assembled", "")
+                rows += [(s, *r) for r in parse(t or "", short)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return reports.select("sample", "text").mapInPandas(run, schema)
+
+
+def gene_reports(reports: DataFrame) -> DataFrame:
+    """Genes of (sample, text) reports, a report being one row; a gene's name is sample_number."""
+    parse = lambda t, s: [(f"{s}_{k}", *rest) for k, *rest in parse_gene_report(t)]
+    return _by_report(reports, parse, GENES, ["sample", "gene", "contig", "strand", "start", "end", "complete"])
+
+
+def gene_sequences(reports: DataFrame) -> DataFrame:
+    """sample, gene, seq of the nucleotide sections of (sample, text) reports; ``gene`` in names becomes the sample."""
+
+    def parse(t: str, s: str):
+        for title, _, body in _sections(t):
+            if title.startswith("Nucleotide"):
+                yield from ((m[1].replace("gene", s), "".join(m[2].split())) for m in _RECORD.finditer(body))
 
-    return reports.select("sample", "text").mapInPandas(run, GENES)
+    return _by_report(reports, parse, "sample string, gene string, seq string", ["sample", "gene", "seq"])
 
 
 def contig_order(headers: DataFrame) -> DataFrame:

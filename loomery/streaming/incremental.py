@@ -1,4 +1,4 @@
-"""Batch operators kept up to date over streams. The reference material is all batch; these forms are extensions."""
+"""Batch operators kept up to date over streams."""
 
 from __future__ import annotations
 

@@ -46,9 +46,14 @@ def test_mirror(spark, tmp_path):
 
 
 def test_gene_report(spark):
-    text = "FASTA definition line: c1 len=9\nGene Strand\n 1 + 3 50 48 1\n 2 - <1 90 90 1\nFASTA definition line: c2\n 1 + 5 >70 66 1\n"
-    got = tabular.gene_reports(spark.createDataFrame([("s", text)], "sample string, text string")).collect()
-    assert [(r.gene, r.contig, r.strand, r.start, r.end, r.complete) for r in got] == [("s_0", "c1", "+", 3, 50, True), ("s_1", "c1", "-", 1, 90, False), ("s_2", "c2", "+", 5, 70, False)]
+    text = (
+        "FASTA definition line: c1 len=9\nPredicted genes\n   Gene Strand LeftEnd RightEnd\n   #\n 1 + 3 50 48 1\n 2 - <1 90 90 1\n\nPredicted proteins:\n>gene_1|x\nMK\n\n"
+        "Nucleotide sequence of predicted genes:\n>gene_1|GM|48_nt\nACG\nT\n\n>gene_2|GM\nGG\n\nFASTA definition line: c2\nPredicted genes\n   Gene\n   #\n 3 + 5 >70 66 1\n"
+    )
+    df = spark.createDataFrame([("s-assembled", text), ("t", None)], "sample string, text string")
+    got = tabular.gene_reports(df).collect()
+    assert [(r.gene, r.contig, r.strand, r.start, r.end, r.complete) for r in got] == [("s_1", "c1", "+", 3, 50, True), ("s_2", "c1", "-", 1, 90, False), ("s_3", "c2", "+", 5, 70, False)]
+    assert [(r.gene, r.seq) for r in tabular.gene_sequences(df).collect()] == [("s_1", "ACGT"), ("s_2", "GG")]
 
 
 def test_markup(spark):
