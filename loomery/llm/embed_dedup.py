@@ -31,7 +31,7 @@ from loomery.runtime import Scratch, checked_broadcast
 DIMS = 6
 BLOCK = 4096
 LEAF = 512
-#: Block pairs are dealt one to a task up to this many tasks.
+#: Block pairs are dealt to at most this many tasks.
 MAX_TASKS = 20_000
 #: Rows from which the axes are taken; any axes give exact results, they only decide how much is skipped.
 AXES_SAMPLE = 20_000
@@ -222,15 +222,17 @@ def _one_length(scratch: Scratch, classes: DataFrame, threshold: float, eps: flo
     blocks = scratch.keep(blocks.mapInArrow(_blocks(axes), "block bigint, n bigint, ids binary, copies binary, vectors binary, low array<double>, high array<double>"), "blocks")
     # boxes that may touch share a cell on the first axis, once one side is widened by a cell
     cell = lambda c, by: F.sequence(F.floor(F.col(c)[0] / eps) - by, F.floor(F.col("high" if c == "low" else c)[0] / eps) + by)
-    boxes = blocks.select("block", "low", "high")
-    x = boxes.select(F.col("block").alias("xblock"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.explode(cell("low", 1)).alias("cell"))
-    y = boxes.select(F.col("block").alias("yblock"), F.col("low").alias("yl"), F.col("high").alias("yh"), F.explode(cell("low", 0)).alias("cell"))
+    boxes = blocks.select("block", "n", "low", "high")
+    x = boxes.select(F.col("block").alias("xblock"), F.col("n").alias("xn"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.explode(cell("low", 1)).alias("cell"))
+    y = boxes.select(F.col("block").alias("yblock"), F.col("n").alias("yn"), F.col("low").alias("yl"), F.col("high").alias("yh"), F.explode(cell("low", 0)).alias("cell"))
     gap = F.aggregate(F.arrays_zip("xl", "xh", "yl", "yh"), F.lit(0.0), lambda s, d: s + F.pow(F.greatest(F.lit(0.0), d["xl"] - d["yh"], d["yl"] - d["xh"]), 2))
-    pairs = x.join(y, "cell").where("xblock <= yblock").where(gap <= (eps + 1e-9) ** 2).select("xblock", "yblock").distinct()
+    pairs = x.join(y, "cell").where("xblock <= yblock").where(gap <= (eps + 1e-9) ** 2).select("xblock", "yblock", "xn", "yn").distinct()
     pairs = scratch.keep(pairs, "pairs")
     side = lambda s: blocks.select(*[F.col(c).alias(f"{s}{c}") for c in ("block", "ids", "copies", "vectors")])
-    tasks = max(1, pairs.count())
-    both = pairs.join(side("x"), "xblock").join(side("y"), "yblock").repartition(min(tasks, MAX_TASKS), "xblock", "yblock")
+    # a task gets about as many comparisons as one pair of full blocks has
+    work = pairs.agg(F.sum(F.col("xn") * F.col("yn"))).first()[0] or 0
+    tasks = max(1, -(-work // (BLOCK * BLOCK)))
+    both = pairs.drop("xn", "yn").join(side("x"), "xblock").join(side("y"), "yblock").repartition(min(tasks, MAX_TASKS), "xblock", "yblock")
     return both.mapInArrow(_matcher(axes, threshold, eps), "rep bigint, links bigint, root bigint")
 
 
