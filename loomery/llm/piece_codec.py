@@ -27,15 +27,20 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from loomery.runtime import Scratch
+from loomery.runtime import Scratch, released
 
 MARK = "▁"
 GIANT = 65_536
 CHUNK = 16_384
-_CACHE = 400_000
+#: Words in the cache at most, characters of a word that it may hold, and bits of the pairs' slots.
+_CACHE = 200_000
+WORD = 40
+_PAIR_BITS = 21
 _loaded: dict[str, Codec] = {}
 
 
@@ -45,6 +50,64 @@ def default_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words as rows (0 behind their ends), plus one, and their lengths."""
+    lens = np.array([len(w) for w in words], dtype=np.int64)
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = np.zeros((len(words), int(lens.max(initial=0))), dtype=np.uint64)
+    out[np.arange(out.shape[1])[None, :] < lens[:, None]] = flat + np.uint64(1)
+    return out, lens
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+class _Lookup:
+    """Pieces' numbers by hash of their characters, for whole arrays: each piece lies in one of two slots."""
+
+    BITS = 20
+
+    def __init__(self, pieces: list[str]):
+        self.up = np.array([pow(_BASE, k, 1 << 64) for k in range(WORD + 1)], dtype=np.uint64)
+        inverse = pow(_BASE, -1, 1 << 64)
+        self.down = np.array([pow(inverse, k, 1 << 64) for k in range(WORD + 1)], dtype=np.uint64)
+        x, lens = _matrix(pieces)
+        h = (x * self.up[: x.shape[1]]).sum(axis=1, dtype=np.uint64)
+        for seed in range(1, 100):
+            self.mul = [np.uint64((0xD6E8FEB86659FD93 * (2 * seed + k) | 1) & (2**64 - 1)) for k in (0, 1)]
+            self.keys, self.numbers = np.zeros(2 << self.BITS, dtype=np.uint64), np.full(2 << self.BITS, -1, dtype=np.int32)
+            rest = np.arange(len(pieces))
+            for k in (0, 1):
+                at = self._slot(h[rest], k)
+                _, first = np.unique(at, return_index=True)
+                self.keys[at[first]], self.numbers[at[first]] = h[rest[first]], rest[first]
+                rest = np.delete(rest, first)
+            if not len(rest):
+                return
+        raise ValueError("no slots for the pieces")
+
+    def _slot(self, h: np.ndarray, k: int) -> np.ndarray:
+        return ((h * self.mul[k]) >> np.uint64(64 - self.BITS)).astype(np.int64) + (k << self.BITS)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 where there is none."""
+        a, b = self._slot(h, 0), self._slot(h, 1)
+        out = np.where(self.keys[a] == h, self.numbers[a], -1)
+        return np.where((out < 0) & (self.keys[b] == h), self.numbers[b], out)
+
+
+class _Words(dict):
+    """Ids of words as bytes; longer words than WORD are worked out and not kept."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, word: str) -> bytes:
+        c = self.codec
+        return np.array([i for p in c.path(word) for i in c.piece_ids(p)], dtype=np.int32).tobytes()
+
+
 class Codec:
     """A model's pieces, and the path rule over them."""
 
@@ -62,9 +125,24 @@ class Codec:
         self.safe = not any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.atoms = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if self.safe else r"(?s).+").findall
         self.cut = re.compile(rf"(?<=\n)|(?=\n)|(?<=[^{MARK}])(?={MARK})")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
-        self.cache: dict[str, list[int]] = {}
+        # pieces numbered in the order in which merging makes them, single characters first
+        order = sorted(self.ids, key=lambda p: (len(p) > 1, self.rank[p], p))
+        self.number = {p: k for k, p in enumerate(order)}
+        self.text, self.size = order, len(order)
+        self.sizes: dict[str, tuple[int, ...]] = {}
+        ends: dict[str, set[int]] = {}
+        for p in order:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.pairs: dict[int, bool] = {}
+        self.cache = _Words(self)
+        self.table = _Lookup(order)
+        self.id_of = np.array([self.ids[p] for p in order] or [0], dtype=np.int32)
+        #: Whether merging reaches a piece (-1: not looked at yet), and a cache of pairs by slot.
+        self.reached = np.full(max(1, self.size), -1, dtype=np.int8)
+        self.pair_key, self.pair_ok = np.full(1 << _PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << _PAIR_BITS, dtype=bool)
         text = {i: self.sp.id_to_piece(i).replace(MARK, " ").encode() for i in plain}
         self.bytes_of = [text.get(i, b"") for i in range(n)]
         for b, i in self.byte.items():
@@ -89,19 +167,72 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def split_of(self, k: int) -> tuple[int, int] | None:
+        """The two pieces whose merging makes piece k last; itself twice for one character, None if merging never makes it."""
+        found = self.halves.get(k, 0)
+        if found == 0:
+            piece = self.text[k]
+            if len(piece) == 1:
+                found = (k, k)
+            else:
+                rank, parts, found = self.rank, list(piece), None
+                while len(parts) > 2:
+                    ranks = [rank.get(parts[i] + parts[i + 1], np.inf) for i in range(len(parts) - 1)]
+                    best = min(ranks)
+                    if best == np.inf:
+                        break
+                    at = ranks.index(best)
+                    parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                if len(parts) == 2:
+                    found = (self.number[parts[0]], self.number[parts[1]])
+            self.halves[k] = found
+        return found
+
     def usable(self, piece: str) -> bool:
         """Whether a substring may be a piece of a path: one character, or a piece that merging reaches."""
-        found = self.own.get(piece)
-        if found is None:
-            found = self.own[piece] = len(piece) == 1 or (piece in self.ids and self.merged(piece) == [piece])
-        return found
+        return len(piece) == 1 or ((k := self.number.get(piece)) is not None and self.split_of(k) is not None)
+
+    def _beside(self, a: int, b: int) -> bool:
+        """Whether merging leaves pieces a and b as they are side by side.
+
+        Undoes merges from the latest on: what lies at the border must not have been merged before it was used up.
+        Of equal merges the left one comes first, hence the + 1 on the right side.
+        """
+        text, number, limit = self.text, self.number, 1 << 60
+        while True:
+            c = number.get(text[a] + text[b])
+            if c is not None and c < limit:
+                return False
+            if a > b:
+                right = self.split_of(a)[1]
+                if right != a:
+                    limit, a = a, right
+                    continue
+                left = self.split_of(b)[0]
+                if left == b:
+                    return True
+                limit, b = b + 1, left
+            else:
+                left = self.split_of(b)[0]
+                if left != b:
+                    limit, b = b + 1, left
+                    continue
+                right = self.split_of(a)[1]
+                if right == a:
+                    return True
+                limit, a = a, right
 
     def side_by_side(self, a: str, b: str) -> bool:
-        found = self.pairs.get((a, b))
+        """As _beside for usable pieces as text; characters of no piece never merge."""
+        x, y = self.number.get(a), self.number.get(b)
+        if x is None or y is None:
+            return True
+        key = x * self.size + y
+        found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) > 4 * _CACHE:
                 self.pairs.clear()
-            found = self.pairs[(a, b)] = self.merged(a + b) == [a, b]
+            found = self.pairs[key] = self._beside(x, y)
         return found
 
     def piece_ids(self, piece: str) -> list[int]:
@@ -114,41 +245,117 @@ class Codec:
 
     def path(self, text: str) -> list[str]:
         """The path through a text from its start: for each prefix, the piece that ends its encoding."""
-        ids, pairs, longest = self.ids, self.pairs, self.longest
-        last: list[str] = [""]
+        number, pairs, sizes, size, halves = self.number, self.pairs, self.sizes, self.size, self.halves
+        if len(pairs) > 4 * _CACHE:
+            pairs.clear()
+        # of each prefix the last piece's number (-1: the start or a character of no piece) and length
+        last, length = [-1], [0]
         for end in range(1, len(text) + 1):
-            chosen = text[end - 1]
-            for start in range(max(0, end - longest), end - 1):
-                piece = text[start:end]
-                if piece in ids and self.usable(piece):
-                    before = last[start]
-                    if not before or ((before, piece) in pairs and pairs[(before, piece)]) or ((before, piece) not in pairs and self.side_by_side(before, piece)):
-                        chosen = piece
-                        break
-            last.append(chosen)
+            for n in (*(sizes.get(text[end - 3 : end], ()) if end > 2 else ()), 2):
+                if n > end:
+                    continue
+                k = number.get(text[end - n : end])
+                if k is None or (halves.get(k) or self.split_of(k)) is None:
+                    continue
+                before = last[end - n]
+                if before >= 0:
+                    key = before * size + k
+                    ok = pairs.get(key)
+                    if ok is None:
+                        ok = pairs[key] = self._beside(before, k)
+                    if not ok:
+                        continue
+                last.append(k)
+                length.append(n)
+                break
+            else:
+                last.append(number.get(text[end - 1], -1))
+                length.append(1)
         out, end = [], len(text)
         while end:
-            out.append(last[end])
-            end -= len(last[end])
+            out.append(text[end - length[end] : end])
+            end -= length[end]
         return out[::-1]
 
-    def encode_normal(self, text: str) -> list[int]:
-        """Ids of a normalised text."""
-        out: list[int] = []
-        cache = self.cache
-        for atom in self.atoms(text):
-            ids = cache.get(atom)
-            if ids is None:
-                ids = [i for p in self.path(atom) for i in self.piece_ids(p)]
-                if len(atom) <= 40:
-                    if len(cache) > _CACHE:
-                        cache.clear()
-                    cache[atom] = ids
-            out += ids
+    def _besides(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """side_by_side for arrays of numbers."""
+        key = a.astype(np.int64) * self.size + b
+        slot = ((key.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
+        ok, new = self.pair_ok[slot], np.flatnonzero(self.pair_key[slot] != key)
+        if len(new):
+            keys, back = np.unique(key[new], return_inverse=True)
+            found = np.array([self._beside(k // self.size, k % self.size) for k in keys.tolist()], dtype=bool)
+            ok[new] = found[back]
+            self.pair_key[slot[new]], self.pair_ok[slot[new]] = key[new], ok[new]
+        return ok
+
+    def _usables(self, k: np.ndarray) -> np.ndarray:
+        state = self.reached[k]
+        for i in np.unique(k[state < 0]).tolist():
+            self.reached[i] = self.split_of(i) is not None
+        return self.reached[k] == 1
+
+    def paths(self, words: list[str]) -> list[bytes]:
+        """Ids (int32 bytes) of many words of at most WORD characters: ``path`` for all of them in step."""
+        by = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        x, lens = _matrix([words[i] for i in by])
+        rows, longest = x.shape
+        total = np.zeros((rows, longest + 1), dtype=np.uint64)
+        np.cumsum(x * self.table.up[:longest], axis=1, out=total[:, 1:])
+        last, size = np.full((rows, longest + 1), -1, dtype=np.int32), np.ones((rows, longest + 1), dtype=np.int8)
+        for end in range(1, longest + 1):
+            open_ = np.arange(int(np.searchsorted(-lens, -end, side="right")))
+            # a prefix has one encoding, so one size fits at most and any order of sizes finds it; short pieces are frequent
+            for n in range(2, min(self.longest, end) + 1):
+                k = self.table((total[open_, end] - total[open_, end - n]) * self.table.down[end - n])
+                hit = np.flatnonzero(k >= 0)
+                if not len(hit):
+                    continue
+                hit = hit[self._usables(k[hit])]
+                before = last[open_[hit], end - n]
+                ok = before < 0
+                ok[~ok] = self._besides(before[~ok], k[hit][~ok])
+                hit = hit[ok]
+                if len(hit):
+                    last[open_[hit], end], size[open_[hit], end] = k[hit], n
+                    keep = np.ones(len(open_), dtype=bool)
+                    keep[hit] = False
+                    open_ = open_[keep]
+            last[open_, end] = self.table((total[open_, end] - total[open_, end - 1]) * self.table.down[end - 1])
+        ends = np.zeros((rows, longest + 1), dtype=bool)
+        row, at = np.arange(rows), lens.copy()
+        while len(row):
+            ends[row, at] = True
+            at = at - size[row, at]
+            row, at = row[at > 0], at[at > 0]
+        r, e = np.nonzero(ends)
+        piece = last[r, e]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=rows))]) * 4
+        whole = self.id_of[piece].tobytes()
+        odd = set(r[piece < 0].tolist())
+        out: list[bytes] = [b""] * rows
+        for k, i in enumerate(by):
+            # words with characters of no piece need bytes
+            out[i] = whole[cuts[k] : cuts[k + 1]] if k not in odd else np.array([t for p in self.path(words[i]) for t in self.piece_ids(p)], dtype=np.int32).tobytes()
         return out
 
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of normalised texts; words that repeat are looked up, new ones go through ``paths`` together."""
+        atoms = [self.atoms(t) for t in texts]
+        if len(self.cache) > _CACHE:
+            self.cache.clear()
+        new = [a for a in set().union(*atoms).difference(self.cache) if len(a) <= WORD]
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            self.cache.update(zip(part, self.paths(part), strict=True))
+        return [np.frombuffer(b"".join(map(self.cache.__getitem__, own)), dtype=np.int32) for own in atoms]
+
+    def encode_normal(self, text: str) -> np.ndarray:
+        """Ids of one normalised text."""
+        return self.encode_batch([text])[0]
+
     def encode(self, text: str) -> list[int]:
-        return self.encode_normal(self.normal(text)) if text else []
+        return self.encode_normal(self.normal(text)).tolist() if text else []
 
     def decode(self, ids) -> str:
         of = self.bytes_of
@@ -208,7 +415,7 @@ class Codec:
             for piece, from_ in at[p].items():
                 for size in range(1, min(self.longest, len(ahead) - p) + 1):
                     nxt = ahead[p : p + size]
-                    if (size == 1 or nxt in self.ids) and self.usable(nxt) and (not piece or self.side_by_side(piece, nxt)):
+                    if self.usable(nxt) and (not piece or self.side_by_side(piece, nxt)):
                         had = at[p + size].get(nxt, 0)
                         at[p + size][nxt] = had | from_
                         if trace is not None and (p + size, nxt) not in trace:
@@ -226,7 +433,7 @@ class Codec:
     def trace_back(self, left: str, text: str, right: str, entry: tuple[str, int], exit_: tuple[str, int], free_out: bool) -> list[int]:
         """Ids of the pieces that begin in a chunk, its borders' states being known."""
         if not entry[0] and free_out:
-            return self.encode_normal(text)
+            return self.encode_normal(text).tolist()
         n, trace = len(text), {}
         self._reach(text, right, [entry], free_out, trace)
         if free_out:
@@ -264,19 +471,38 @@ def borders(matrices: list[np.ndarray]) -> list[int]:
     return at[::-1]
 
 
-def _encoder(path: str):
+def _pieces(batch: pa.RecordBatch, column: str, most: int):
+    """Slices of a batch whose column holds at most about ``most`` bytes, so that memory does not follow Arrow's batches."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)) if pa.types.is_string(batch.schema.field(column).type) or pa.types.is_large_string(batch.schema.field(column).type) else pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def _encoder(path: str, back: bool):
+    @released
     def run(batches):
         c = codec(path)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = [None if t is None else np.array(c.encode(t), dtype=np.int32) for t in texts]
-            col = pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[x for x, n in zip(batch.columns, batch.schema.names, strict=True)], col], [*batch.schema.names, "token_ids"])
+        for whole in batches:
+            for batch in _pieces(whole, "text", 2 << 20):
+                texts = batch.column("text").to_pylist()
+                done = iter(c.encode_batch([c.normal(t) for t in texts if t]))
+                ids = [None if t is None else next(done) if t else np.empty(0, np.int32) for t in texts]
+                more = [pa.array(ids, pa.list_(pa.int32()))]
+                if back:
+                    more.append(pa.array([None if i is None else c.decode(i.tolist()) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "token_ids", "decoded"][: batch.num_columns + len(more)])
+        # workers go on to other stages
+        c.cache.clear()
 
     return run
 
 
 def _chunker(path: str):
+    @released
     def run(batches):
         c = codec(path)
         for batch in batches:
@@ -294,6 +520,7 @@ def _chunker(path: str):
 
 
 def _transferrer(path: str):
+    @released
     def run(batches):
         c = codec(path)
         for batch in batches:
@@ -314,6 +541,7 @@ def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _tracer(path: str):
+    @released
     def run(batches):
         c = codec(path)
         for batch in batches:
@@ -327,17 +555,18 @@ def _tracer(path: str):
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT) -> DataFrame:
-    """docs with token_ids and n_tokens; texts of more than ``giant`` characters go through the chunked scan."""
+def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, decoded: bool = False) -> DataFrame:
+    """docs with token_ids and n_tokens; texts of more than ``giant`` characters go through the chunked scan.
+
+    With decoded, also the text that the ids decode to, in the same pass.
+    """
     path = path or default_model()
     scratch = Scratch(docs.sparkSession, "pieces")
-    docs = docs.select(*[c for c in docs.columns if c not in ("token_ids", "n_tokens")])
-
-
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
-
+    docs = docs.select(*[c for c in docs.columns if c not in ("token_ids", "n_tokens", *(["decoded"] if decoded else []))])
     whole = StructType([*docs.schema.fields]).add("token_ids", ArrayType(IntegerType()))
-    small = docs.where(F.col("text").isNull() | (F.length("text") <= giant)).mapInArrow(_encoder(path), whole)
+    if decoded:
+        whole = whole.add("decoded", StringType())
+    small = docs.where(F.col("text").isNull() | (F.length("text") <= giant)).mapInArrow(_encoder(path, decoded), whole)
     large = scratch.keep(docs.where(F.length("text") > giant).withColumn("_key", F.monotonically_increasing_id()), "giants")
     chunks = scratch.keep(large.select("_key", "text").mapInArrow(_chunker(path), "_key bigint, chunk int, before string, body string, after string, free_in boolean, free_out boolean"), "chunks")
     dealt = chunks.repartition("_key", "chunk")
@@ -346,25 +575,28 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT) -> Data
     states = scratch.keep(matrices.groupBy("_key").applyInPandas(_scan, "_key bigint, chunk int, entry int, exit int"), "states")
     traced = chunks.join(states, ["_key", "chunk"]).mapInArrow(_tracer(path), "_key bigint, chunk int, ids array<int>")
     ids = traced.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts")).select("_key", F.flatten(F.col("parts.ids")).alias("token_ids"))
-    out = small.unionByName(large.join(ids, "_key").drop("_key"))
-    return out.withColumn("n_tokens", F.size("token_ids").cast("bigint")).withColumn("n_tokens", F.when(F.col("token_ids").isNotNull(), F.col("n_tokens")))
+    long = scratch.keep(large.join(ids, "_key").drop("_key"), "long")
+    out = small.unionByName(decode(long, path) if decoded else long)
+    return out.withColumn("n_tokens", F.when(F.col("token_ids").isNotNull(), F.size("token_ids").cast("bigint")))
 
 
 def _decoder(path: str):
+    @released
     def run(batches):
         c = codec(path)
-        for batch in batches:
-            texts = [None if i is None else c.decode(i) for i in batch.column("token_ids").to_pylist()]
-            keep = [(x, n) for x, n in zip(batch.columns, batch.schema.names, strict=True) if n != "decoded"]
-            yield pa.RecordBatch.from_arrays([*[x for x, _ in keep], pa.array(texts, pa.string())], [*[n for _, n in keep], "decoded"])
+        for whole in batches:
+            for batch in _pieces(whole, "token_ids", 1 << 20):
+                col = batch.column("token_ids")
+                off, flat = col.offsets.to_numpy(), col.values.to_numpy()
+                texts = [c.decode(flat[off[k] : off[k + 1]].tolist()) if ok else None for k, ok in enumerate(col.is_valid().to_pylist())]
+                keep = [(x, n) for x, n in zip(batch.columns, batch.schema.names, strict=True) if n != "decoded"]
+                yield pa.RecordBatch.from_arrays([*[x for x, _ in keep], pa.array(texts, pa.string())], [*[n for _, n in keep], "decoded"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded (with token_ids) and the decoded text."""
-    from pyspark.sql.types import StringType, StructType
-
     encoded = encoded.select(*[c for c in encoded.columns if c != "decoded"])
     whole = StructType([*encoded.schema.fields]).add("decoded", StringType())
     return encoded.mapInArrow(_decoder(path or default_model()), whole)
