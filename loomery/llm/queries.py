@@ -96,6 +96,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _TAILS = r"(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\])"
 
 SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
+w AS (
+  SELECT doc_id, k, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS s FROM l),
+c AS (SELECT s, len(s) AS n, min({'d': doc_id, 'k': k}) AS first, row_number() OVER () AS c FROM w WHERE len(s) >= 5 GROUP BY s),
+t AS (SELECT c, n, first, unnest(s) AS t FROM c),
+f AS (SELECT t, count(*) AS f FROM t GROUP BY t),
+p AS (SELECT c, n, first, t, row_number() OVER (PARTITION BY c ORDER BY f, t) AS r FROM t JOIN f USING (t)),
+x AS (SELECT * FROM p WHERE r <= n - (8 * n + 9) // 10 + 1),
+q AS (SELECT DISTINCT x.c AS a, y.c AS b FROM x JOIN x y ON x.t = y.t AND y.first < x.first AND 10 * y.n >= 8 * x.n AND 10 * x.n >= 8 * y.n),
+g AS (SELECT DISTINCT a AS c FROM q JOIN c u ON u.c = a JOIN c v ON v.c = b WHERE 9 * len(list_intersect(u.s, v.s)) >= 4 * (u.n + v.n)),
+z AS (
+  SELECT l.doc_id, l.k, line, c.c IS NOT NULL AND (c.first <> {'d': l.doc_id, 'k': l.k} OR g.c IS NOT NULL) AS gone
+  FROM l JOIN w USING (doc_id, k) LEFT JOIN c ON c.s = w.s LEFT JOIN g ON g.c = c.c),
+o AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n FROM z GROUP BY doc_id)
+SELECT doc_id, length(text)::BIGINT AS kept_chars, sha256(text) AS text_sha256, n::BIGINT AS lines_removed
+FROM o WHERE n = 0 OR regexp_matches(text, '[^ \t\r\n]')
+UNION ALL SELECT doc_id, NULL, NULL, 0 FROM documents WHERE text IS NULL""",
     "op3_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
