@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.operators.graph import connected_components, smallest_reachable
-from loomery.runtime import Scratch, checked_broadcast
+from loomery.runtime import Scratch, checked_broadcast, released
 
 DIMS = 6
 BLOCK = 4096
@@ -76,6 +76,7 @@ def axes_of(rows: np.ndarray) -> np.ndarray:
 
 
 def _projector(axes: np.ndarray, eps: float):
+    @released
     def run(batches):
         for batch in batches:
             p = unit(matrix(batch.column("vec"))) @ axes
@@ -99,6 +100,7 @@ def _blocks(axes: np.ndarray):
             [pa.array([int.from_bytes(hashlib.md5(ids.tobytes() + m.tobytes()).digest()[:8], "little", signed=True)]), pa.array([len(ids)]), one(ids), one(t["copies"].to_numpy().astype(np.int64)), one(m), pa.array([p.min(axis=0)], pa.list_(pa.float64())), pa.array([p.max(axis=0)], pa.list_(pa.float64()))], names
         )
 
+    @released
     def run(batches):
         held, n = [], 0
         for batch in batches:
@@ -147,6 +149,7 @@ def _matcher(axes: np.ndarray, threshold: float, eps: float):
     # rows scaled to length one carry rounding of a few ulps: what is this close is decided by the plain formula
     slack = 1e-9
 
+    @released
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():

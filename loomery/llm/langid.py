@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.quality_rules import held_out
 from loomery.llm.words import mix
-from loomery.runtime import Scratch
+from loomery.runtime import Scratch, released
 
 BITS = 14
 SIZE = 1 << BITS
@@ -71,6 +71,7 @@ def _parts(texts: list):
         i = j
 
 
+@released
 def _frequencies(batches):
     """Document frequencies of the buckets over a task's documents; bucket -1 counts documents."""
     df, n = np.zeros(SIZE, dtype=np.int64), 0
@@ -84,6 +85,7 @@ def _frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1).astype(np.int32)), pa.array(np.append(df[hit], n))], ["bucket", "df"])
 
 
+@released
 def _features(batches):
     """Distinct buckets and their counts of each document."""
     for batch in batches:
@@ -183,6 +185,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
 
 def _predictor(shared):
+    @released
     def run(batches):
         m: Model = shared.value
         for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from loomery.llm import words
 from loomery.operators.graph import connected_components
-from loomery.runtime import Scratch, checked_broadcast
+from loomery.runtime import Scratch, checked_broadcast, released
 
 N_BINS = 192
 #: Parity bits of a small set, and the most shingles of one.
@@ -70,6 +70,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signer(rows: int):
+    @released
     def run(batches):
         for batch in batches:
             sets = words.shingle_sets(batch.column("text"))
@@ -85,6 +86,7 @@ def _signer(rows: int):
 
 
 def _verifier(percent: int):
+    @released
     def run(batches):
         for batch in batches:
             left, right = words.shingle_sets(batch.column("ta")), words.shingle_sets(batch.column("tb"))
@@ -140,6 +142,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def _sketcher(rows: int, percent: int):
     """rep, 32 bits of each band's key, parity bits (small sets), a byte of each minimum (large sets)."""
 
+    @released
     def run(batches):
         for batch in batches:
             out = []
@@ -191,6 +194,7 @@ def _compare(percent: int):
     """Candidate pairs out of rows sorted by task."""
     names = ("rep", "component", "n", "side", "band", "frags", "parity", "minima")
 
+    @released
     def run(batches):
         task, held = None, {k: [] for k in names}
 
