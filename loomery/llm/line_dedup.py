@@ -2,17 +2,21 @@
 
 A line's set holds its distinct lower-cased words (see ``words``). Lines with fewer than ``MIN_WORDS`` distinct
 words (headings, list marks, closing braces) are structure and stay. Two lines match when 10 * overlap >= 8 * union.
-Lines are ordered by (doc_id, hash of the document's text, line number), a null doc_id last; a line is removed when
-any line before it matches it, whether or not that earlier line is itself removed.
+Lines are ordered by (doc_id, line number), a null doc_id last, then by their words' hash; a line is removed when any
+line before it matches it, whether or not that earlier line is itself removed.
 
 Lines with equal sets first become one class. Words are put in order of rarity; a class is posted under each word of
-its prefix (the first n - ceil(0.8 n) + 1 words). Classes that meet under a word are pruned by length, by the word's positions and by an upper bound from 128 parity bits, all inside the join, and the
-pairs that are left are confirmed on their whole sets. Rarity comes from counts over all lines in ``BUCKETS`` hashed
-counters: any fixed order gives exact results, the counts only make prefixes rare, and the table's size is fixed.
+its prefix (the first n - ceil(0.8 n) + 1 words). Classes that meet under a word are pruned by length, by the word's
+positions and by an upper bound from 128 parity bits, and the pairs that are left are confirmed on their whole sets.
+One earlier match decides about a line, so under each word a class names only its ``FIRST`` earliest partners that
+pass, which keeps large groups of near copies linear; a class with more partners than that, none of which was
+confirmed, is matched again with 4096 times as many, among the postings of its words alone, until none is open. Rarity comes from counts over all lines
+in ``BUCKETS`` hashed counters: any fixed order gives exact results, the counts only make prefixes rare, and the
+table's size is fixed.
 
 Null and empty texts pass unchanged. A document all of whose text was removed goes, since earlier documents hold it;
-one that had no text to begin with stays. Rows that are equal in doc_id and text count as one document, so they are
-treated alike. Other columns pass through; n_chars, where present, is brought up to date.
+one that had no text to begin with stays. Rows that repeat a doc_id are one document to the order: lines of theirs
+with one number and equal sets are treated alike. Other columns pass through; n_chars, where present, is brought up to date.
 """
 
 from __future__ import annotations
@@ -23,14 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm import words
-from loomery.runtime import Scratch, checked_broadcast
+from loomery.runtime import Scratch, checked_broadcast, released
 
 MIN_WORDS = 5
 BUCKETS = 1 << 20
-_LINES = "kind int, bucket int, cnt bigint, sig_a bigint, sig_b bigint, n int, doc_id bigint, doc_hash bigint, line_no int"
-_POSTS = "token bigint, sig_a bigint, sig_b bigint, n int, pos int, bits_a bigint, bits_b bigint"
-#: The order of lines.
-_AT = ("doc_id is null", "doc_id", "doc_hash", "line_no")
+#: Earliest partners that a class names under one word in the first round.
+FIRST = 8
+_NO_ID = (1 << 63) - 1
+_LINES = "kind int, bucket int, cnt bigint, sig_a bigint, sig_b bigint, n int, doc bigint, doc_hash bigint, line int"
+_POSTS = "token bigint, sig bigint, size_pos bigint, bits_a bigint, bits_b bigint, doc bigint, line int"
 
 
 def _lines(texts: pa.Array):
@@ -38,7 +43,7 @@ def _lines(texts: pa.Array):
     data, offsets = words.raw(texts)
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (4 << 20), side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), side="right")) - 1)
         part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts = np.sort(np.concatenate([off[:-1], np.flatnonzero(part == 10) + 1]), kind="stable")
         # a newline that ends a document starts an empty last line there; the next document starts at the same byte
@@ -69,18 +74,19 @@ def _signatures(keys: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _sums(words.mix(keys), off).view(np.int64), _sums(words.mix(keys ^ np.uint64(0x5851F42D4C957F2D)), off).view(np.int64)
 
 
+@released
 def _scan(batches):
     """A row for each line of MIN_WORDS words or more, and at the end this task's word counts."""
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("cnt", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("doc_hash", pa.int64()), ("line_no", pa.int32())])
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("cnt", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("n", pa.int32()), ("doc", pa.int64()), ("doc_hash", pa.int64()), ("line", pa.int32())])
     for batch in batches:
-        ids, hashes = batch.column("doc_id").cast(pa.int64()), batch.column("doc_hash").cast(pa.int64())
+        ids, hashes = batch.column("doc"), batch.column("doc_hash")
         for start, first, h, off in _lines(batch.column("text")):
             keys, k_off = _distinct(h, off)
             n = np.diff(k_off)
             use = np.flatnonzero(n >= MIN_WORDS)
             a, b = _signatures(keys, k_off)
-            counts += np.bincount((keys & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            counts += np.bincount((keys >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
             doc = np.searchsorted(first, use, side="right") - 1
             at = pa.array(start + doc)
             none = pa.nulls(len(use), pa.int64())
@@ -95,119 +101,224 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), pa.array(part.astype(np.int32)), pa.array(counts[part]), none, none, none.cast(pa.int32()), none, none, none.cast(pa.int32())], schema=schema)
 
 
+def _prefixes(keys: np.ndarray, k_off: np.ndarray, use: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the chosen sets' prefixes, rarest first, which of the chosen sets each is of, and its position.
+
+    A word stands as its rarity above 56 bits of its hash. A counter of one means that no other line has the word.
+    """
+    order = (rank[(keys >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8))
+    for i in use.tolist():
+        order[k_off[i] : k_off[i + 1]].sort()
+    size = np.diff(k_off)[use]
+    take = size - (8 * size + 9) // 10 + 1
+    row = np.repeat(np.arange(len(use)), take)
+    pos = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+    token = order[k_off[use][row] + pos]
+    hit = np.flatnonzero(token >> np.uint64(56))
+    return token[hit], row[hit], pos[hit]
+
+
+def _words_of(rarity):
+    """The prefix words of whole sets."""
+
+    @released
+    def run(batches):
+        for batch in batches:
+            col = batch.column("tokens")
+            off = col.offsets.to_numpy().astype(np.int64)
+            keys = col.values.to_numpy().view(np.uint64)
+            token, _, _ = _prefixes(keys, off, np.arange(len(col)), rarity.value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(token).view(np.int64))], ["token"])
+
+    return run
+
+
 def _poster(rarity):
     """Prefix postings of each distinct set. rarity: broadcast ranks of the hashed counters."""
 
+    @released
     def run(batches):
-        rank, seen = rarity.value, set()
-        schema = pa.schema([("token", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("bits_a", pa.int64()), ("bits_b", pa.int64())])
+        rank, seen = rarity.value, {}
+        schema = pa.schema([("token", pa.int64()), ("sig", pa.int64()), ("size_pos", pa.int64()), ("bits_a", pa.int64()), ("bits_b", pa.int64()), ("doc", pa.int64()), ("line", pa.int32())])
         for batch in batches:
-            for _, _, h, off in _lines(batch.column("text")):
-                # the signature is of the hashes themselves, as in _scan; the order key puts rarity above 56 bits of hash
+            ids = batch.column("doc").to_numpy()
+            for start, first, h, off in _lines(batch.column("text")):
                 keys, k_off = _distinct(h, off)
-                a, b = _signatures(keys, k_off)
+                sig = _signatures(keys, k_off)[0]
                 n = np.diff(k_off)
                 use = np.flatnonzero(n >= MIN_WORDS)
-                if not len(use):
-                    continue
-                # a set that this task has posted before needs no second posting (the memory is bounded; repeats do no harm)
-                if len(seen) > 500_000:
+                d = np.searchsorted(first, use, side="right") - 1
+                doc, line = ids[start + d], use - first[d]
+                # a set that this task has posted from an earlier line needs no second posting; the memory is bounded
+                if len(seen) > 100_000:
                     seen.clear()
-                fresh = [i for i, s in zip(use.tolist(), a[use].tolist(), strict=True) if not (s in seen or seen.add(s))]
+                fresh = []
+                for i, place in enumerate(zip(sig[use].tolist(), doc.tolist(), line.tolist(), strict=True)):
+                    had = seen.get(place[0])
+                    if had is None or place[1:] < had:
+                        seen[place[0]] = place[1:]
+                        fresh.append(i)
                 if not fresh:
                     continue
-                use = np.array(fresh)
+                use, doc, line = use[fresh], doc[fresh], line[fresh]
                 one = np.uint64(1)
-                bits = []
-                for shift in (0, 6):
-                    flag = np.left_shift(one, (keys >> np.uint64(shift)) & np.uint64(63))
-                    bits.append(np.bitwise_xor.reduceat(flag, np.minimum(k_off[:-1], len(flag) - 1))[use].view(np.int64))
-                order = (rank[(keys & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8))
-                for i in use.tolist():
-                    order[k_off[i] : k_off[i + 1]].sort()
+                flag = np.left_shift(one, keys & np.uint64(63))
+                low = (keys >> np.uint64(6)) & one
+                at = np.minimum(k_off[:-1], len(flag) - 1)
+                bits = [np.bitwise_xor.reduceat(np.where(low == half, flag, np.uint64(0)), at)[use].view(np.int64) for half in (0, 1)]
                 size = n[use]
-                take = size - (8 * size + 9) // 10 + 1
-                row = np.repeat(np.arange(len(use)), take)
-                pos = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-                token = order[k_off[use][row] + pos]
-                # a counter of one means that no other line has the word
-                hit = np.flatnonzero(token >> np.uint64(56))
-                row, pos = row[hit], pos[hit]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[hit].view(np.int64)), pa.array(a[use][row]), pa.array(b[use][row]), pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(bits[0][row]), pa.array(bits[1][row])],
-                    schema=schema,
-                )
+                token, row, pos = _prefixes(keys, k_off, use, rank)
+                cols = (token.view(np.int64), sig[use][row], (size[row].astype(np.int64) << 32) | pos, bits[0][row], bits[1][row], doc[row], line[row].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
+
+    return run
+
+
+def _pairs_of(t: dict[str, np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of postings sorted by token: (class, earlier partner, whether it may have more partners) that pass the filters."""
+    by = np.lexsort((t["line"], t["doc"], t["sig"], t["token"]))
+    t = {k: v[by] for k, v in t.items()}
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (t["token"][1:] != t["token"][:-1]) | (t["sig"][1:] != t["sig"][:-1])
+    t = {k: v[new] for k, v in t.items()}
+    by = np.lexsort((t["sig"], t["line"], t["doc"], t["token"]))
+    t = {k: v[by] for k, v in t.items()}
+    start = np.ones(len(by), dtype=bool)
+    start[1:] = t["token"][1:] != t["token"][:-1]
+    at = np.flatnonzero(start)
+    begin = np.repeat(at, np.diff(np.append(at, len(by))))
+    place = np.arange(len(by)) - begin
+    n, pos = t["size_pos"] >> 32, t["size_pos"] & 0xFFFFFFFF
+    found = np.zeros(len(by), dtype=np.int32)
+    open_ = np.flatnonzero((place > 0) & t["ask"])
+    xs, ys, k = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    while len(open_):
+        x, y = open_, begin[open_] + k
+        total = n[x] + n[y]
+        ok = (10 * np.minimum(n[x], n[y]) >= 8 * np.maximum(n[x], n[y])) & (9 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= 4 * total)
+        x, y, total = x[ok], y[ok], total[ok]
+        differ = np.bitwise_count((t["bits_a"][x] ^ t["bits_a"][y]).view(np.uint64)).astype(np.int64) + np.bitwise_count((t["bits_b"][x] ^ t["bits_b"][y]).view(np.uint64))
+        ok = 9 * differ <= total
+        xs.append(x[ok])
+        ys.append(y[ok])
+        found[x[ok]] += 1
+        k += 1
+        open_ = open_[(place[open_] > k) & (found[open_] < first)]
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    return t["sig"][x], t["sig"][y], found[x] >= first
+
+
+def _matcher(first: int):
+    """Candidate pairs out of postings that are sorted by token within their partition."""
+    names = ("token", "sig", "size_pos", "bits_a", "bits_b", "doc", "line", "ask")
+
+    @released
+    def run(batches):
+        held: list[dict[str, np.ndarray]] = []
+        rows = 0
+
+        def flush(keep_last: bool):
+            nonlocal held, rows
+            t = {k: np.concatenate([h[k] for h in held]) for k in names}
+            end = len(t["token"])
+            if keep_last:
+                end = int(np.searchsorted(t["token"], t["token"][-1], side="left"))
+            x, y, more = _pairs_of({k: v[:end] for k, v in t.items()}, first)
+            held = [{k: v[end:] for k, v in t.items()}]
+            rows = len(t["token"]) - end
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(more)], ["x", "y", "more"])
+
+        limit = 200_000
+        for batch in batches:
+            held.append({k: batch.column(k).to_numpy(zero_copy_only=False) for k in names})
+            rows += batch.num_rows
+            if rows > limit:
+                yield from flush(True)
+                # a word's postings are kept together: where they alone exceed the limit, wait for more
+                limit = max(200_000, 2 * rows)
+        if rows:
+            yield from flush(False)
 
     return run
 
 
+@released
 def _fetch(batches):
     """The whole sets of the lines asked for: column want lists line numbers."""
     for batch in batches:
-        want = batch.column("want").to_pylist()
-        a_, b_, sets = [], [], []
-        for start, first, h, off in _lines(batch.column("text")):
-            keys, k_off = _distinct(h, off)
-            a, b = _signatures(keys, k_off)
-            for d in range(len(first)):
-                for line in want[start + d]:
-                    i = first[d] + line
-                    a_.append(a[i])
-                    b_.append(b[i])
-                    sets.append(keys[k_off[i] : k_off[i + 1]].view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sig_a", "sig_b", "tokens"])
+        lines = []
+        for text, want in zip(batch.column("text").to_pylist(), batch.column("want").to_pylist(), strict=True):
+            own = text.split("\n")
+            lines += [own[k] for k in want]
+        data, off = words.raw(pa.array(lines, pa.string()))
+        keys, k_off = _distinct(*words.hashed(data, off))
+        a, _ = _signatures(keys, k_off)
+        sets = pa.ListArray.from_arrays(pa.array(k_off.astype(np.int32)), pa.array(keys.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), sets], ["sig", "tokens"])
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, doc_hash and the sorted line numbers to remove, for each document that loses any. docs has doc_hash."""
+    """doc, doc_hash and the sorted numbers of the lines to remove, for each document that loses any."""
     spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "doc_hash", F.col("text").cast("string").alias("text"))
+    src = docs.select("doc", "doc_hash", F.col("text").cast("string").alias("text"))
     scanned = scratch.keep(src.mapInArrow(_scan, _LINES), "scanned")
     # BUCKETS counters at most come to the driver and are broadcast, whatever the input's size
     rank = np.zeros(BUCKETS, dtype=np.uint8)
     total = scanned.where("kind = 0").groupBy("bucket").agg(F.sum("cnt").alias("cnt")).toArrow()
     rank[total["bucket"].to_numpy()] = np.minimum(255, np.log2(total["cnt"].to_numpy()) * 8).astype(np.uint8)
-    lines = scanned.where("kind = 1").drop("kind", "bucket", "cnt").withColumn("at", F.struct(*[F.expr(x).alias(f"k{i}") for i, x in enumerate(_AT)]))
-    sig = ["sig_a", "sig_b"]
-    classes = scratch.keep(lines.groupBy(*sig).agg(F.min("at").alias("first"), F.min("n").alias("n")), "classes")
-
-    # one shuffle by word serves both the removal of repeated postings and, reused, both sides of the join
-    posts = src.select("text").mapInArrow(_poster(spark.sparkContext.broadcast(rank)), _POSTS).repartition("token").dropDuplicates(["token", *sig])
-    side = lambda c: posts.select("token", *[F.col(k).alias(f"{c}_{k}") for k in ("sig_a", "sig_b", "n", "pos", "bits_a", "bits_b")])
-    pairs = side("x").join(side("y"), "token").where(
-        "(y_n < x_n or (y_n = x_n and (y_sig_a < x_sig_a or (y_sig_a = x_sig_a and y_sig_b < x_sig_b)))) and 10 * y_n >= 8 * x_n"
-        " and 9 * least(x_n - x_pos, y_n - y_pos) >= 4 * (x_n + y_n)"
-        " and 9 * bit_count(x_bits_a ^ y_bits_a) <= x_n + y_n and 9 * bit_count(x_bits_b ^ y_bits_b) <= x_n + y_n"
-    )
-    pairs = scratch.keep(pairs.select("x_sig_a", "x_sig_b", "x_n", "y_sig_a", "y_sig_b", "y_n").distinct(), "pairs")
-    beaten = None
-    if pairs.take(1):
-        ends = pairs.select(F.col("x_sig_a").alias("sig_a"), F.col("x_sig_b").alias("sig_b")).union(pairs.select("y_sig_a", "y_sig_b")).distinct()
-        where = classes.join(ends, sig).select("first.*").groupBy("k0", "k1", "k2").agg(F.collect_set("k3").alias("want"))
-        where = scratch.keep(where.withColumnsRenamed({"k1": "doc_id", "k2": "doc_hash"}).drop("k0"), "where")
-        same = (F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))) & (F.col("s.doc_hash") == F.col("w.doc_hash"))
-        sets = src.alias("s").join(checked_broadcast(where, 200_000).alias("w"), same).select("text", "want").mapInArrow(_fetch, "sig_a bigint, sig_b bigint, tokens array<bigint>").dropDuplicates(sig)
-        sets = scratch.keep(sets.join(classes, sig), "sets")
-        side = lambda c: sets.select(*[F.col(k).alias(f"{c}_{k}") for k in ("sig_a", "sig_b", "tokens", "first")])
-        both = pairs.join(side("x"), ["x_sig_a", "x_sig_b"]).join(side("y"), ["y_sig_a", "y_sig_b"])
-        both = both.where("9 * size(array_intersect(x_tokens, y_tokens)) >= 4 * (x_n + y_n)")
-        later = F.when(F.col("x_first") > F.col("y_first"), F.struct(F.col("x_sig_a").alias("sig_a"), F.col("x_sig_b").alias("sig_b"))).otherwise(F.struct(F.col("y_sig_a").alias("sig_a"), F.col("y_sig_b").alias("sig_b")))
-        beaten = scratch.keep(both.select(later.alias("s")).select("s.*").distinct(), "beaten")
-    out = lines.join(classes.select(*sig, "first"), sig)
+    rarity = spark.sparkContext.broadcast(rank)
+    lines = scanned.where("kind = 1").select("sig_a", "sig_b", "doc", "doc_hash", "line")
+    place = F.struct("doc", "line", "doc_hash")
+    classes = scratch.keep(lines.groupBy("sig_a", "sig_b").agg(F.min(place).alias("first")), "classes")
+
+    beaten, tested, sets, width, open_ = None, None, None, FIRST, None
+    while True:
+        posts = src.select("doc", "text").mapInArrow(_poster(rarity), _POSTS)
+        if open_ is None:
+            posts = posts.withColumn("ask", F.lit(True))
+        else:
+            # only the open classes' words matter now
+            asked = scratch.keep(sets.join(open_, "sig", "left_semi").mapInArrow(_words_of(rarity), "token bigint").distinct(), "words")
+            posts = posts.join(checked_broadcast(asked), "token", "left_semi").join(checked_broadcast(open_), "sig", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        found = posts.repartition("token").sortWithinPartitions("token").mapInArrow(_matcher(width), "x bigint, y bigint, more boolean")
+        pairs = scratch.keep(found.groupBy("x", "y").agg(F.max("more").alias("more")), "pairs")
+        if not pairs.take(1):
+            break
+        fresh = pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti")
+        ends = fresh.select(F.col("x").alias("sig_a")).union(fresh.select("y")).distinct()
+        want = classes.join(ends, "sig_a").select("first.*").groupBy("doc", "doc_hash").agg(F.collect_set("line").alias("want"))
+        want = scratch.keep(want, "want")
+        texts = src.join(checked_broadcast(want, 200_000), ["doc", "doc_hash"]).select("text", "want")
+        got = texts.mapInArrow(_fetch, "sig bigint, tokens array<bigint>").dropDuplicates(["sig", "tokens"])
+        # signatures of 64 bits name candidates; should two sets share one, both are compared
+        sets = scratch.keep(got if sets is None else got.union(sets).dropDuplicates(["sig", "tokens"]), "sets")
+        side = lambda c: sets.select(F.col("sig").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+        both = fresh.join(side("x"), "x").join(side("y"), "y")
+        both = both.where("9 * size(array_intersect(x_tokens, y_tokens)) >= 4 * (size(x_tokens) + size(y_tokens))").select("x", "y").distinct()
+        hit = scratch.keep(both.select(F.col("x").alias("sig")).distinct(), "hit")
+        beaten = hit if beaten is None else scratch.keep(beaten.union(hit).distinct(), "beaten")
+        tested = pairs.select("x", "y")
+        open_ = scratch.keep(pairs.where("more").select(F.col("x").alias("sig")).distinct().join(hit, "sig", "left_anti").withColumn("ask", F.lit(True)), "open")
+        if not open_.take(1):
+            break
+        width *= 4096
+    out = lines.join(classes, ["sig_a", "sig_b"])
+    later = (F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line"))
     if beaten is not None:
-        out = out.join(beaten.withColumn("beaten", F.lit(True)), sig, "left").where("beaten or at <> first")
+        out = out.join(checked_broadcast(beaten.select(F.col("sig").alias("sig_a"), F.lit(True).alias("beaten"))), "sig_a", "left").where(later | F.col("beaten"))
     else:
-        out = out.where("at <> first")
-    return scratch.keep(out.groupBy("doc_id", "doc_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "removed")
+        out = out.where(later)
+    return scratch.keep(out.groupBy("doc", "doc_hash").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
 
 
 def dedup_lines(docs: DataFrame, details: bool = False) -> DataFrame:
     """docs without later near-duplicate lines; columns unchanged, or with details also lines_removed."""
     scratch = Scratch(docs.sparkSession, "lines")
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    gone = removed_lines(hashed.select("doc_id", F.col("_hash").alias("doc_hash"), "text"), scratch)
-    gone = gone.withColumnsRenamed({"doc_id": "_id", "doc_hash": "_gone_hash", "removed": "_removed"})
-    out = hashed.join(checked_broadcast(gone, 200_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_gone_hash")), "left")
+    hashed = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)))
+    gone = removed_lines(hashed.select(F.col("_doc").alias("doc"), F.col("_hash").alias("doc_hash"), "text"), scratch)
+    gone = gone.withColumnsRenamed({"doc": "_doc", "doc_hash": "_hash", "removed": "_removed"})
+    out = hashed.join(checked_broadcast(gone, 200_000), ["_doc", "_hash"], "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i))
     out = out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     out = out.where("_removed is null or trim(both ' \t\r\n' from text) <> ''")
