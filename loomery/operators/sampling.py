@@ -21,11 +21,11 @@ def rarefied(profile: DataFrame, depth: int, seed: str = "") -> DataFrame:
     units = units.withColumn("_o", md5_order(*([F.lit(seed)] if seed else []), F.col("sample"), F.col("entity"), F.col("unit")))
     head = F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / float(1 << 32)
     share = 1.5 * depth / F.col("_t") + 10.0 / F.sqrt(F.col("_t"))
-    near = F.col("_near")
-    units = units.withColumn("_near", head < share)
-    enough = F.sum(near.cast("int")).over(Window.partitionBy("sample")) >= depth
-    units = units.withColumn("_enough", enough).where(near | ~F.col("_enough"))
-    ranked = units.withColumn("_r", F.row_number().over(Window.partitionBy("sample").orderBy("_o"))).where(F.col("_r") <= depth)
+    near = units.where(head < share)
+    # counts combine before their shuffle, so only the near units are ever moved, unless a sample comes out short
+    short = units.groupBy("sample").agg(F.sum((head < share).cast("int")).alias("_c")).where(F.col("_c") < depth).select("sample")
+    picked = near.join(short, "sample", "left_anti").unionByName(units.join(short, "sample", "left_semi"))
+    ranked = picked.withColumn("_r", F.row_number().over(Window.partitionBy("sample").orderBy("_o"))).where(F.col("_r") <= depth)
     return ranked.groupBy("sample", "entity").agg(F.count("*").alias("n"))
 
 

@@ -43,6 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB: what a Python worker and its JVM hold outside the heap follows them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 class Scratch:
     """Intermediate Parquet tables under the shared folder.
 
@@ -50,6 +56,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, tag: str):
+        bound_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:
