@@ -31,10 +31,15 @@ from loomery.runtime import Scratch, checked_broadcast, released
 
 MIN_WORDS = 5
 BUCKETS = 1 << 20
+RANGES = 64
+#: Postings that one task matches, about.
+PART = 80_000
 #: Earliest partners that a class names under one word in the first round.
 FIRST = 8
 _NO_ID = (1 << 63) - 1
-_LINES = "kind int, bucket int, cnt bigint, sig_a bigint, sig_b bigint, n int, doc bigint, doc_hash bigint, line int"
+_LINES = "kind int, bucket int, packed binary, sig_a bigint, sig_b bigint, n int, doc bigint, doc_hash bigint, line int"
+_COLUMNS = ("token", "sig", "size_pos", "bits_a", "bits_b", "doc", "line")
+_KINDS = ("i8", "i8", "i8", "i8", "i8", "i8", "i4")
 _POSTS = "token bigint, sig bigint, size_pos bigint, bits_a bigint, bits_b bigint, doc bigint, line int"
 
 
@@ -78,7 +83,7 @@ def _signatures(keys: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _scan(batches):
     """A row for each line of MIN_WORDS words or more, and at the end this task's word counts."""
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("cnt", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("n", pa.int32()), ("doc", pa.int64()), ("doc_hash", pa.int64()), ("line", pa.int32())])
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("n", pa.int32()), ("doc", pa.int64()), ("doc_hash", pa.int64()), ("line", pa.int32())])
     for batch in batches:
         ids, hashes = batch.column("doc"), batch.column("doc_hash")
         for start, first, h, off in _lines(batch.column("text")):
@@ -91,14 +96,28 @@ def _scan(batches):
             at = pa.array(start + doc)
             none = pa.nulls(len(use), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(use), np.int32)), none.cast(pa.int32()), none, pa.array(a[use]), pa.array(b[use]), pa.array(n[use].astype(np.int32)), ids.take(at), hashes.take(at), pa.array((use - first[doc]).astype(np.int32))],
+                [pa.array(np.ones(len(use), np.int32)), none.cast(pa.int32()), pa.nulls(len(use), pa.binary()), pa.array(a[use]), pa.array(b[use]), pa.array(n[use].astype(np.int32)), ids.take(at), hashes.take(at), pa.array((use - first[doc]).astype(np.int32))],
                 schema=schema,
             )
-    hit = np.flatnonzero(counts)
-    for k in range(0, len(hit), 100_000):
-        part = hit[k : k + 100_000]
-        none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), pa.array(part.astype(np.int32)), pa.array(counts[part]), none, none, none.cast(pa.int32()), none, none, none.cast(pa.int32())], schema=schema)
+    # the task's counts leave as one packed row for each range of counters
+    for k in range(RANGES):
+        part = counts[k * (BUCKETS // RANGES) : (k + 1) * (BUCKETS // RANGES)]
+        hit = np.flatnonzero(part)
+        blob = hit.astype(np.uint32).tobytes() + part[hit].astype(np.uint64).tobytes()
+        yield pa.RecordBatch.from_pylist([{"kind": 0, "bucket": k, "packed": blob}], schema=schema)
+
+
+@released
+def _sum_counts(batches):
+    """Counters of the ranges dealt to a task, added up row by row."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            n = len(blob) // 12
+            at = np.frombuffer(blob, np.uint32, n)
+            total.setdefault(k, np.zeros(BUCKETS // RANGES, np.uint64))[at] += np.frombuffer(blob, np.uint64, n, 4 * n)
+    for k, x in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["bucket", "packed"])
 
 
 def _prefixes(keys: np.ndarray, k_off: np.ndarray, use: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,6 +193,75 @@ def _poster(rarity):
     return run
 
 
+def _packer(rarity, parts: int):
+    """Postings packed by the part that a hash of their word falls in: a row for each part and few hundred thousand postings."""
+
+    @released
+    def run(batches):
+        inner, held, rows = _poster(rarity), [], 0
+
+        def flush():
+            t = pa.Table.from_batches(held)
+            token = t["token"].to_numpy()
+            part = (words.mix(token.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[by], np.arange(parts + 1))
+            cols = [t[c].to_numpy()[by] for c in _COLUMNS]
+            full = np.flatnonzero(np.diff(cuts))
+            blobs = [b"".join(c[cuts[k] : cuts[k + 1]].tobytes() for c in cols) for k in full.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.diff(cuts)[full]), pa.array(blobs, pa.binary())], ["part", "n", "packed"])
+
+        for batch in inner(batches):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > PART:
+                yield flush()
+                held, rows = [], 0
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _unpacked(n: int, blob: bytes) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for name, kind in zip(_COLUMNS, _KINDS, strict=True):
+        out[name] = np.frombuffer(blob, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _part_matcher(first: int):
+    """Candidate pairs out of packed postings that are sorted by part within their partition."""
+
+    @released
+    def run(batches):
+        part, held = None, []
+
+        def done():
+            if held:
+                t = {k: np.concatenate([h[k] for h in held]) for k in _COLUMNS}
+                by = np.argsort(t["token"], kind="stable")
+                token = t["token"][by]
+                # a word that one posting alone has joins nothing
+                same = np.concatenate([[False], token[1:] == token[:-1], [False]])
+                by = by[same[1:] | same[:-1]]
+                t = {k: v[by] for k, v in t.items()} | {"ask": np.ones(len(by), dtype=bool)}
+                x, y, more = _pairs_of(t, first)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(more)], ["x", "y", "more"])
+
+        for batch in batches:
+            for p, n, blob in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if p != part:
+                    yield from done()
+                    part, held = p, []
+                held.append(_unpacked(n, blob))
+        yield from done()
+
+    return run
+
+
 def _pairs_of(t: dict[str, np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of postings sorted by token: (class, earlier partner, whether it may have more partners) that pass the filters."""
     by = np.lexsort((t["line"], t["doc"], t["sig"], t["token"]))
@@ -265,23 +353,28 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scanned = scratch.keep(src.mapInArrow(_scan, _LINES), "scanned")
     # BUCKETS counters at most come to the driver and are broadcast, whatever the input's size
     rank = np.zeros(BUCKETS, dtype=np.uint8)
-    total = scanned.where("kind = 0").groupBy("bucket").agg(F.sum("cnt").alias("cnt")).toArrow()
-    rank[total["bucket"].to_numpy()] = np.minimum(255, np.log2(total["cnt"].to_numpy()) * 8).astype(np.uint8)
+    total = scanned.where("kind = 0").select("bucket", "packed").repartition(RANGES, "bucket").mapInArrow(_sum_counts, "bucket int, packed binary").toArrow()
+    for k, blob in zip(total["bucket"].to_pylist(), total["packed"].to_pylist(), strict=True):
+        own = np.frombuffer(blob, np.uint64).astype(float)
+        rank[k * len(own) : (k + 1) * len(own)] = np.minimum(255, np.log2(np.maximum(own, 1)) * 8).astype(np.uint8)
     rarity = spark.sparkContext.broadcast(rank)
+    # a fifth of the distinct words of each line, and one more
+    parts = max(1, int(scanned.where("kind = 1").agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0) // PART)
     lines = scanned.where("kind = 1").select("sig_a", "sig_b", "doc", "doc_hash", "line")
     place = F.struct("doc", "line", "doc_hash")
     classes = scratch.keep(lines.groupBy("sig_a", "sig_b").agg(F.min(place).alias("first")), "classes")
 
     beaten, tested, sets, width, open_ = None, None, None, FIRST, None
     while True:
-        posts = src.select("doc", "text").mapInArrow(_poster(rarity), _POSTS)
         if open_ is None:
-            posts = posts.withColumn("ask", F.lit(True))
+            packed = src.select("doc", "text").mapInArrow(_packer(rarity, parts), "part int, n bigint, packed binary")
+            found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_part_matcher(width), "x bigint, y bigint, more boolean")
         else:
             # only the open classes' words matter now
+            posts = src.select("doc", "text").mapInArrow(_poster(rarity), _POSTS)
             asked = scratch.keep(sets.join(open_, "sig", "left_semi").mapInArrow(_words_of(rarity), "token bigint").distinct(), "words")
             posts = posts.join(checked_broadcast(asked), "token", "left_semi").join(checked_broadcast(open_), "sig", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        found = posts.repartition("token").sortWithinPartitions("token").mapInArrow(_matcher(width), "x bigint, y bigint, more boolean")
+            found = posts.repartition("token").sortWithinPartitions("token").mapInArrow(_matcher(width), "x bigint, y bigint, more boolean")
         pairs = scratch.keep(found.groupBy("x", "y").agg(F.max("more").alias("more")), "pairs")
         if not pairs.take(1):
             break

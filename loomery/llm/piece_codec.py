@@ -38,10 +38,11 @@ MARK = "▁"
 GIANT = 65_536
 CHUNK = 16_384
 #: Words in the cache at most, characters of a word that it may hold, and bits of the pairs' slots.
-_CACHE = 200_000
+_CACHE = 100_000
 WORD = 40
-_PAIR_BITS = 21
+_PAIR_BITS = 20
 _loaded: dict[str, Codec] = {}
+_learned: dict[str, tuple] = {}
 
 
 def default_model() -> str:
@@ -65,7 +66,7 @@ _BASE = 0x9E3779B97F4A7C15
 class _Lookup:
     """Pieces' numbers by hash of their characters, for whole arrays: each piece lies in one of two slots."""
 
-    BITS = 20
+    BITS = 19
 
     def __init__(self, pieces: list[str]):
         self.up = np.array([pow(_BASE, k, 1 << 64) for k in range(WORD + 1)], dtype=np.uint64)
@@ -345,8 +346,8 @@ class Codec:
         if len(self.cache) > _CACHE:
             self.cache.clear()
         new = [a for a in set().union(*atoms).difference(self.cache) if len(a) <= WORD]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), 10_000):
+            part = new[k : k + 10_000]
             self.cache.update(zip(part, self.paths(part), strict=True))
         return [np.frombuffer(b"".join(map(self.cache.__getitem__, own)), dtype=np.int32) for own in atoms]
 
@@ -453,7 +454,9 @@ def codec(path: str | None = None) -> Codec:
     if path not in _loaded:
         if not Path(path).exists():
             raise FileNotFoundError(path)
-        _loaded[path] = Codec(path)
+        c = _loaded[path] = Codec(path)
+        if path in _learned:
+            c.reached, c.pair_key, c.pair_ok, c.halves = _learned[path]
     return _loaded[path]
 
 
@@ -487,7 +490,7 @@ def _encoder(path: str, back: bool):
     def run(batches):
         c = codec(path)
         for whole in batches:
-            for batch in _pieces(whole, "text", 2 << 20):
+            for batch in _pieces(whole, "text", 1 << 20):
                 texts = batch.column("text").to_pylist()
                 done = iter(c.encode_batch([c.normal(t) for t in texts if t]))
                 ids = [None if t is None else next(done) if t else np.empty(0, np.int32) for t in texts]
@@ -495,8 +498,9 @@ def _encoder(path: str, back: bool):
                 if back:
                     more.append(pa.array([None if i is None else c.decode(i.tolist()) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "token_ids", "decoded"][: batch.num_columns + len(more)])
-        # workers go on to other stages
-        c.cache.clear()
+        # workers go on to other stages: what is left of the codec is what its tasks have learned of the pieces
+        _learned[path] = (c.reached, c.pair_key, c.pair_ok, c.halves)
+        _loaded.pop(path, None)
 
     return run
 
