@@ -38,11 +38,10 @@ MARK = "▁"
 GIANT = 65_536
 CHUNK = 16_384
 #: Words in the cache at most, characters of a word that it may hold, and bits of the pairs' slots.
-_CACHE = 100_000
+_CACHE = 200_000
 WORD = 40
 _PAIR_BITS = 20
 _loaded: dict[str, Codec] = {}
-_learned: dict[str, tuple] = {}
 
 
 def default_model() -> str:
@@ -454,9 +453,7 @@ def codec(path: str | None = None) -> Codec:
     if path not in _loaded:
         if not Path(path).exists():
             raise FileNotFoundError(path)
-        c = _loaded[path] = Codec(path)
-        if path in _learned:
-            c.reached, c.pair_key, c.pair_ok, c.halves = _learned[path]
+        _loaded[path] = Codec(path)
     return _loaded[path]
 
 
@@ -498,9 +495,8 @@ def _encoder(path: str, back: bool):
                 if back:
                     more.append(pa.array([None if i is None else c.decode(i.tolist()) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "token_ids", "decoded"][: batch.num_columns + len(more)])
-        # workers go on to other stages: what is left of the codec is what its tasks have learned of the pieces
-        _learned[path] = (c.reached, c.pair_key, c.pair_ok, c.halves)
-        _loaded.pop(path, None)
+        # workers go on to other stages
+        c.cache.clear()
 
     return run
 
