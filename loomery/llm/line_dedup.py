@@ -1,13 +1,13 @@
 """Near-duplicate lines: an exact set-similarity join over lines as sets of words, later matches removed.
 
-A line's set holds its distinct lower-cased words (see ``words``). Lines with fewer than ``MIN_WORDS`` distinct
-words (headings, list marks, closing braces) are structure and stay. Two lines match when 10 * overlap >= 8 * union.
+A line's set holds its distinct lower-cased words (see ``words``). Lines with fewer than ``min_words`` distinct
+words stay; by default only lines without words do. Two lines match when 10 * overlap >= 8 * union.
 Lines are ordered by (doc_id, line number), a null doc_id last, then by their words' hash; a line is removed when any
 line before it matches it, whether or not that earlier line is itself removed.
 
 Lines with equal sets first become one class. Words are put in order of rarity; a class is posted under each word of
-its prefix (the first n - ceil(0.8 n) + 1 words). Classes that meet under a word are pruned by length, by the word's
-positions and by an upper bound from 128 parity bits, and the pairs that are left are confirmed on their whole sets.
+its prefix (the first n - ceil(0.8 n) + 1 words), but for sets of up to three words, which match equal sets alone.
+Classes that meet under a word are pruned by length, by the word's positions and by an upper bound from 128 parity bits, and the pairs that are left are confirmed on their whole sets.
 One earlier match decides about a line, so under each word a class names only its ``FIRST`` earliest partners that
 pass, which keeps large groups of near copies linear; a class with more partners than that, none of which was
 confirmed, is matched again with 4096 times as many, among the postings of its words alone, until none is open. Rarity comes from counts over all lines
@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from loomery.llm import words
 from loomery.runtime import Scratch, checked_broadcast, released
 
-MIN_WORDS = 5
+#: Fewest distinct words of a line that takes part.
+MIN_WORDS = 1
+#: Fewest distinct words of a set that matches sets other than its equals (four words of five).
+POSTED = 4
 BUCKETS = 1 << 20
 RANGES = 64
 #: Postings that one task matches, about.
@@ -79,32 +82,36 @@ def _signatures(keys: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _sums(words.mix(keys), off).view(np.int64), _sums(words.mix(keys ^ np.uint64(0x5851F42D4C957F2D)), off).view(np.int64)
 
 
-@released
-def _scan(batches):
-    """A row for each line of MIN_WORDS words or more, and at the end this task's word counts."""
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("n", pa.int32()), ("doc", pa.int64()), ("doc_hash", pa.int64()), ("line", pa.int32())])
-    for batch in batches:
-        ids, hashes = batch.column("doc"), batch.column("doc_hash")
-        for start, first, h, off in _lines(batch.column("text")):
-            keys, k_off = _distinct(h, off)
-            n = np.diff(k_off)
-            use = np.flatnonzero(n >= MIN_WORDS)
-            a, b = _signatures(keys, k_off)
-            counts += np.bincount((keys >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            doc = np.searchsorted(first, use, side="right") - 1
-            at = pa.array(start + doc)
-            none = pa.nulls(len(use), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(use), np.int32)), none.cast(pa.int32()), pa.nulls(len(use), pa.binary()), pa.array(a[use]), pa.array(b[use]), pa.array(n[use].astype(np.int32)), ids.take(at), hashes.take(at), pa.array((use - first[doc]).astype(np.int32))],
-                schema=schema,
-            )
-    # the task's counts leave as one packed row for each range of counters
-    for k in range(RANGES):
-        part = counts[k * (BUCKETS // RANGES) : (k + 1) * (BUCKETS // RANGES)]
-        hit = np.flatnonzero(part)
-        blob = hit.astype(np.uint32).tobytes() + part[hit].astype(np.uint64).tobytes()
-        yield pa.RecordBatch.from_pylist([{"kind": 0, "bucket": k, "packed": blob}], schema=schema)
+def _scanner(min_words: int):
+    """A row for each line of min_words words or more, and at the end each task's word counts."""
+
+    @released
+    def run(batches):
+        counts = np.zeros(BUCKETS, dtype=np.int64)
+        schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("n", pa.int32()), ("doc", pa.int64()), ("doc_hash", pa.int64()), ("line", pa.int32())])
+        for batch in batches:
+            ids, hashes = batch.column("doc"), batch.column("doc_hash")
+            for start, first, h, off in _lines(batch.column("text")):
+                keys, k_off = _distinct(h, off)
+                n = np.diff(k_off)
+                use = np.flatnonzero(n >= min_words)
+                a, b = _signatures(keys, k_off)
+                counts += np.bincount((keys >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                doc = np.searchsorted(first, use, side="right") - 1
+                at = pa.array(start + doc)
+                none = pa.nulls(len(use), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ones(len(use), np.int32)), none.cast(pa.int32()), pa.nulls(len(use), pa.binary()), pa.array(a[use]), pa.array(b[use]), pa.array(n[use].astype(np.int32)), ids.take(at), hashes.take(at), pa.array((use - first[doc]).astype(np.int32))],
+                    schema=schema,
+                )
+        # the task's counts leave as one packed row for each range of counters
+        for k in range(RANGES):
+            part = counts[k * (BUCKETS // RANGES) : (k + 1) * (BUCKETS // RANGES)]
+            hit = np.flatnonzero(part)
+            blob = hit.astype(np.uint32).tobytes() + part[hit].astype(np.uint64).tobytes()
+            yield pa.RecordBatch.from_pylist([{"kind": 0, "bucket": k, "packed": blob}], schema=schema)
+
+    return run
 
 
 @released
@@ -152,8 +159,8 @@ def _words_of(rarity):
     return run
 
 
-def _poster(rarity):
-    """Prefix postings of each distinct set. rarity: broadcast ranks of the hashed counters."""
+def _poster(rarity, min_words: int):
+    """Prefix postings of each distinct set that may match others. rarity: broadcast ranks of the hashed counters."""
 
     @released
     def run(batches):
@@ -165,7 +172,7 @@ def _poster(rarity):
                 keys, k_off = _distinct(h, off)
                 sig = _signatures(keys, k_off)[0]
                 n = np.diff(k_off)
-                use = np.flatnonzero(n >= MIN_WORDS)
+                use = np.flatnonzero(n >= max(min_words, POSTED))
                 d = np.searchsorted(first, use, side="right") - 1
                 doc, line = ids[start + d], use - first[d]
                 # a set that this task has posted from an earlier line needs no second posting; the memory is bounded
@@ -193,12 +200,12 @@ def _poster(rarity):
     return run
 
 
-def _packer(rarity, parts: int):
+def _packer(rarity, parts: int, min_words: int):
     """Postings packed by the part that a hash of their word falls in: a row for each part and few hundred thousand postings."""
 
     @released
     def run(batches):
-        inner, held, rows = _poster(rarity), [], 0
+        inner, held, rows = _poster(rarity, min_words), [], 0
 
         def flush():
             t = pa.Table.from_batches(held)
@@ -346,11 +353,11 @@ def _fetch(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a), sets], ["sig", "tokens"])
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, doc_hash and the sorted numbers of the lines to remove, for each document that loses any."""
     spark = docs.sparkSession
     src = docs.select("doc", "doc_hash", F.col("text").cast("string").alias("text"))
-    scanned = scratch.keep(src.mapInArrow(_scan, _LINES), "scanned")
+    scanned = scratch.keep(src.mapInArrow(_scanner(max(min_words, 1)), _LINES), "scanned")
     # BUCKETS counters at most come to the driver and are broadcast, whatever the input's size
     rank = np.zeros(BUCKETS, dtype=np.uint8)
     total = scanned.where("kind = 0").select("bucket", "packed").repartition(RANGES, "bucket").mapInArrow(_sum_counts, "bucket int, packed binary").toArrow()
@@ -359,7 +366,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         rank[k * len(own) : (k + 1) * len(own)] = np.minimum(255, np.log2(np.maximum(own, 1)) * 8).astype(np.uint8)
     rarity = spark.sparkContext.broadcast(rank)
     # a fifth of the distinct words of each line, and one more
-    parts = max(1, int(scanned.where("kind = 1").agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0) // PART)
+    parts = max(1, int(scanned.where(f"kind = 1 and n >= {POSTED}").agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0) // PART)
     lines = scanned.where("kind = 1").select("sig_a", "sig_b", "doc", "doc_hash", "line")
     place = F.struct("doc", "line", "doc_hash")
     classes = scratch.keep(lines.groupBy("sig_a", "sig_b").agg(F.min(place).alias("first")), "classes")
@@ -367,11 +374,11 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     beaten, tested, sets, width, open_ = None, None, None, FIRST, None
     while True:
         if open_ is None:
-            packed = src.select("doc", "text").mapInArrow(_packer(rarity, parts), "part int, n bigint, packed binary")
+            packed = src.select("doc", "text").mapInArrow(_packer(rarity, parts, min_words), "part int, n bigint, packed binary")
             found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_part_matcher(width), "x bigint, y bigint, more boolean")
         else:
             # only the open classes' words matter now
-            posts = src.select("doc", "text").mapInArrow(_poster(rarity), _POSTS)
+            posts = src.select("doc", "text").mapInArrow(_poster(rarity, min_words), _POSTS)
             asked = scratch.keep(sets.join(open_, "sig", "left_semi").mapInArrow(_words_of(rarity), "token bigint").distinct(), "words")
             posts = posts.join(checked_broadcast(asked), "token", "left_semi").join(checked_broadcast(open_), "sig", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
             found = posts.repartition("token").sortWithinPartitions("token").mapInArrow(_matcher(width), "x bigint, y bigint, more boolean")
@@ -405,11 +412,11 @@ def removed_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(out.groupBy("doc", "doc_hash").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
 
 
-def dedup_lines(docs: DataFrame, details: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, details: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without later near-duplicate lines; columns unchanged, or with details also lines_removed."""
     scratch = Scratch(docs.sparkSession, "lines")
     hashed = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)))
-    gone = removed_lines(hashed.select(F.col("_doc").alias("doc"), F.col("_hash").alias("doc_hash"), "text"), scratch)
+    gone = removed_lines(hashed.select(F.col("_doc").alias("doc"), F.col("_hash").alias("doc_hash"), "text"), scratch, min_words)
     gone = gone.withColumnsRenamed({"doc": "_doc", "doc_hash": "_hash", "removed": "_removed"})
     out = hashed.join(checked_broadcast(gone, 200_000), ["_doc", "_hash"], "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i))

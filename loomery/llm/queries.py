@@ -14,6 +14,8 @@ from loomery.runtime import Scratch, table
 NEAR_PERCENT = 85
 COSINE = 0.9
 K = 5
+#: The floor that the SQL of op1_line_dedup states; op1_line_dedup_whole has none.
+SQL_MIN_WORDS = 5
 #: The mixing plan: levels of the tree, weights by path, and the part of all tokens to take.
 MIX_WEIGHTS = {("d0",): 2.0, ("d1",): 1.0, ("d2",): 1.0, ("d0", "en"): 2.0, ("d1", "en"): 2.0, ("d2", "en"): 2.0}
 MIX_SHARE = 0.6
@@ -26,12 +28,20 @@ def mix_levels() -> dict[str, F.Column]:
     return {"domain": F.concat(F.lit("d"), F.pmod(digit, F.lit(3)).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
 
 
-def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_digests(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = line_dedup.dedup_lines(docs.select("doc_id", "text"), details=True)
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text"), details=True, min_words=min_words)
     return out.select("doc_id", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256"), F.col("lines_removed").cast("bigint").alias("lines_removed"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_digests(spark, sf_dir, SQL_MIN_WORDS)
+
+
+def op1_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_digests(spark, sf_dir, line_dedup.MIN_WORDS)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
@@ -90,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_embedding_dedup, op4_chat_format, op5_piece_codec, op6_minhash, op7_warc, op8_mixing, op9_vptree, op10_langid, pipeline)
+    f.__name__: f for f in (op1_line_dedup, op1_line_dedup_whole, op2_quality_rules, op3_embedding_dedup, op4_chat_format, op5_piece_codec, op6_minhash, op7_warc, op8_mixing, op9_vptree, op10_langid, pipeline)
 }
 
 _TAILS = r"(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\])"

@@ -71,3 +71,10 @@ def test_edges(spark):
 
 def test_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_lines_are_matched(spark):
+    rows = [(1, "Les.\nhome\na b c\na b c d"), (2, "les.\nother\nhome  HOME\nb a c\nkept"), (3, "e d c b a\na b c d e f g\n\u4e2d\u6587\u6bb5\u843d\n\n"), (4, "\u4e2d\u6587\u6bb5\u843d\nd c b\n - \n\n"), (5, "Les.")]
+    check(spark, rows)
+    got = dict(line_dedup.dedup_lines(spark.createDataFrame([(*r, 0, 1) for r in rows], SCHEMA)).select("doc_id", "text").collect())
+    assert got == {1: rows[0][1], 2: "other\nkept", 3: "a b c d e f g\n\u4e2d\u6587\u6bb5\u843d\n\n", 4: "d c b\n - \n\n"}
