@@ -96,6 +96,41 @@ def filter_relations(spark, sf):
     return relations.filter_ends(containment_pairs(spark, sf), ids, either=True)
 
 
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences(spark, sf).unionByName(probes(spark, sf))
+
+
+WHOLE = f"u AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), t AS (SELECT min(id) AS id, text FROM u WHERE length(text) >= {MIN_CONTAINED} GROUP BY text), k AS (SELECT a.id AS src, 'C' AS rel, b.id AS dst FROM t a JOIN t b ON length(a.text) < length(b.text) AND contains(b.text, a.text)), e AS (SELECT id AS src, '=' AS rel, kept AS dst FROM (SELECT id, min(id) OVER (PARTITION BY text) AS kept FROM u) WHERE id <> kept)"
+
+
+@query(f"WITH {WHOLE} SELECT src, rel, dst FROM k")
+def containment_whole(spark, sf):
+    """Containments among documents and passages alike; copies stand as their smallest id."""
+    return dedup.contained(corpus(spark, sf), MIN_CONTAINED)
+
+
+@query(f"WITH {WHOLE} SELECT DISTINCT e.src, k.rel, k.dst FROM e JOIN k ON e.dst = k.src")
+def relation_compose_whole(spark, sf):
+    return relations.compose(dedup.duplicate_relations(corpus(spark, sf)), containment_whole(spark, sf))
+
+
+@query(f"WITH {WHOLE}, a AS (SELECT * FROM k UNION ALL SELECT k.src, 'R', k.dst FROM k WHERE dst % 2 = 0) SELECT src, min(rel) AS rel, dst FROM a GROUP BY src, dst")
+def relation_collapse_whole(spark, sf):
+    c = containment_whole(spark, sf)
+    return relations.collapse(c.unionByName(c.where("dst % 2 = 0").withColumn("rel", F.lit("R"))))
+
+
+@query(f"WITH {WHOLE} SELECT DISTINCT id FROM u WHERE id NOT IN (SELECT src FROM k UNION SELECT src FROM e)")
+def unexplained_whole(spark, sf):
+    c = corpus(spark, sf)
+    return relations.unexplained(c.select("id").distinct(), dedup.duplicate_relations(c), containment_whole(spark, sf))
+
+
+@query(f"WITH {WHOLE} SELECT DISTINCT src, rel, dst FROM k WHERE dst % 3 = 0 OR src % 3 = 0")
+def filter_relations_whole(spark, sf):
+    return relations.filter_ends(containment_whole(spark, sf), corpus(spark, sf).select("id").where("id % 3 = 0"), either=True)
+
+
 @query(f"WITH RECURSIVE {COMPONENTS} SELECT node, component FROM c")
 def connected_components(spark, sf):
     return graph.connected_components(edges(spark, sf), "v0", "v1")
