@@ -187,8 +187,13 @@ def great_circle_pairs(spark, sf):
 OVERLAP = "s AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS x FROM lineitem WHERE l_quantity > 45), z AS (SELECT id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY ALL)"
 
 
-def overlaps(spark, sf):
-    s = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("x")).distinct()
+#: The same over whole sets.
+OVERLAP_WHOLE = OVERLAP.replace(" WHERE l_quantity > 45", "")
+
+
+def overlaps(spark, sf, rows="true"):
+    """Overlap coefficients of the suppliers' sets of parts, over the rows of lineitem that meet a condition."""
+    s = table(spark, sf, "lineitem").where(rows).select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("x")).distinct()
     n = s.groupBy("id").agg(F.count("*").alias("n"))
     m = s.withColumnRenamed("id", "a").join(s.withColumnRenamed("id", "b"), "x").where("a < b").groupBy("a", "b").agg(F.count("*").alias("m"))
     return m.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", (F.col("m") / F.least("na", "nb")).alias("score"))
@@ -196,6 +201,11 @@ def overlaps(spark, sf):
 
 @query(f"WITH {OVERLAP} SELECT a, b, round(m / least(x.n, y.n), 6) AS score FROM o JOIN z x ON x.id = a JOIN z y ON y.id = b")
 def overlap_coefficient(spark, sf):
+    return overlaps(spark, sf, "l_quantity > 45").withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {OVERLAP_WHOLE} SELECT a, b, round(m / least(x.n, y.n), 6) AS score FROM o JOIN z x ON x.id = a JOIN z y ON y.id = b")
+def overlap_coefficient_whole(spark, sf):
     return overlaps(spark, sf).withColumn("score", F.round("score", 6))
 
 
