@@ -63,9 +63,10 @@ def alignment_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([local_score(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-def ranked(pairs: DataFrame, queries: DataFrame, seqs: DataFrame, top: int) -> DataFrame:
-    """Candidates by descending alignment score, ties to the smaller id."""
+def ranked(pairs: DataFrame, queries: DataFrame, seqs: DataFrame, top: int | None = None) -> DataFrame:
+    """All candidates, or the best ``top`` of each query, by descending alignment score, ties to the smaller id."""
     q = queries.select(F.col("id").alias("query"), F.col("seq").alias("qs"))
     p = pairs.join(q, "query").join(seqs, "id").withColumn("score", alignment_score("qs", "seq"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query", "rank", "id", "score")
+    out = p.withColumn("rank", F.row_number().over(w))
+    return (out if top is None else out.where(F.col("rank") <= top)).select("query", "rank", "id", "score")

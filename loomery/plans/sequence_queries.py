@@ -253,7 +253,7 @@ def kmer_candidates(spark, sf):
 
 @query()
 def alignment_rank(spark, sf):
-    return kmers.ranked(kmer_candidates(spark, sf), probes(spark, sf), sequences(spark, sf), 3)
+    return kmers.ranked(kmer_candidates(spark, sf), probes(spark, sf), sequences(spark, sf))
 
 
 @query("SELECT translate(upper(p_brand || p_type), 'YLVE', 'FMIQ') AS code, count(*) AS n FROM part GROUP BY 1")
