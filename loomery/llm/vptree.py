@@ -71,6 +71,10 @@ def _indexer(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r["shard"]], pa.int32()), pa.array([r["dim"]], pa.int32()), one(ids[order]), one(x[order]), one(nodes), one(radii)], ["shard", "dim", "ids", "vectors", "nodes", "radii"])
 
 
+#: Room for the error of distances: where 2 - 2 * dot nearly cancels, its root is off by some 1e-8.
+SLACK = 1e-6
+
+
 def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, nodes: np.ndarray, radii: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids (-1: none) of each query's k best rows of one shard, best first."""
     uq, ux = unit(q), unit(x)
@@ -119,7 +123,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, nod
                 if not first:
                     bound = np.abs(d - radii[node])
                     worst = np.sqrt(np.maximum(0.0, 2 - 2 * np.maximum(best[act, -1], -1.0)))
-                    go = mask & (bound <= worst * factor + slack)
+                    go = mask & (bound <= worst * factor + SLACK)
                 if child >= 0 and go.any():
                     walk(int(child), act[go])
 

@@ -88,3 +88,15 @@ def test_factor_trades_recall(spark):
     assert len(exact & fast) >= 0.5 * len(exact)
     assert vptree.nearest(df.limit(0), index).count() == 0
     assert vptree.nearest(df, vptree.build_index(df.limit(0))).count() == 0
+
+
+def test_copies_in_both_halves():
+    n, dim = 3000, 16
+    x = np.zeros((n, dim))
+    x[:, 3] = 2.0
+    order, nodes, radii = vptree.build(vptree.unit(x))
+    # equal rows may come out at such a distance; the smallest ids lie in the far halves
+    radii[radii == 0] = 2.1e-8
+    ids = np.arange(n)[::-1].copy()
+    best, who = vptree.search(x[:2], np.array([n, 1]), x[order], ids, nodes, radii, 5, 1.0)
+    assert (best == 1).all() and who.tolist() == [[0, 1, 2, 3, 4], [0, 2, 3, 4, 5]]
