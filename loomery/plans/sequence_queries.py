@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.operators import dedup, graph, kmers, relations, taxonomy
@@ -217,15 +217,25 @@ def first_mappable_hit(spark, sf):
     return taxonomy.first_hit(hits(spark, sf).join(p, "target", "left"), "query", ["at", "target"], "kingdom").select("query", "target", "kingdom")
 
 
-@query(f"WITH {TREE}, {HITS}, f AS (SELECT query, evalue AS lim FROM h WHERE pos = 1), k AS (SELECT h.query, 'x' AS one, target % 250 AS page_id FROM h JOIN f USING (query) WHERE evalue <= lim), q AS (SELECT query, path FROM k JOIN p USING (page_id) JOIN w ON w.id = array_to_string(s, '/')), m AS (SELECT query, min(path) AS lo, max(path) AS hi FROM q GROUP BY 1) SELECT query, list_filter(lo, lambda x, i: lo[1:i] = hi[1:i])[-1] AS lca FROM m")
-def neighbourhood_lca(spark, sf):
+def _neighbourhood_lca(spark: SparkSession, sf: str, n_pages: Column) -> DataFrame:
     h = hits(spark, sf)
     limits = h.where("at = 1").select("query", F.col("evalue").alias("limit"))
-    near = taxonomy.neighbourhood(h, limits, "query").select("query", (F.col("target") % 250).alias("page_id"))
+    near = taxonomy.neighbourhood(h, limits, "query").select("query", (F.col("target") % n_pages).alias("page_id"))
     ids = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", URL, 1).alias("id"))
     return taxonomy.lca(near.join(ids, "page_id").select("query", "id"), taxonomy.root_paths(page_nodes(spark, sf)), "query").select("query", "lca")
 
 
+@query(f"WITH {TREE}, {HITS}, f AS (SELECT query, evalue AS lim FROM h WHERE pos = 1), k AS (SELECT h.query, 'x' AS one, target % 250 AS page_id FROM h JOIN f USING (query) WHERE evalue <= lim), q AS (SELECT query, path FROM k JOIN p USING (page_id) JOIN w ON w.id = array_to_string(s, '/')), m AS (SELECT query, min(path) AS lo, max(path) AS hi FROM q GROUP BY 1) SELECT query, list_filter(lo, lambda x, i: lo[1:i] = hi[1:i])[-1] AS lca FROM m")
+def neighbourhood_lca(spark, sf):
+    return _neighbourhood_lca(spark, sf, F.lit(250))
+
+
+@query(f"WITH {TREE}, {HITS}, f AS (SELECT query, evalue AS lim FROM h WHERE pos = 1), k AS (SELECT h.query, 'x' AS one, target % (SELECT count(*) FROM pages) AS page_id FROM h JOIN f USING (query) WHERE evalue <= lim), q AS (SELECT query, path FROM k JOIN p USING (page_id) JOIN w ON w.id = array_to_string(s, '/')), m AS (SELECT query, min(path) AS lo, max(path) AS hi FROM q GROUP BY 1) SELECT query, list_filter(lo, lambda x, i: lo[1:i] = hi[1:i])[-1] AS lca FROM m")
+def neighbourhood_lca_whole(spark, sf):
+    """Hits on all pages: targets by their remainder by the number of pages."""
+    return _neighbourhood_lca(spark, sf, F.lit(max(1, table(spark, sf, "pages").count())))
+
+
 @query(f"WITH {TREE}, t AS (SELECT id, parent, rank FROM n UNION ALL SELECT '1', '1', 'root'), c AS (SELECT p_partkey AS entity, CASE WHEN p_partkey % 5 = 0 THEN p_brand END AS species, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS kingdom, array_to_string(s, '/') AS predicted FROM part LEFT JOIN p ON page_id = p_partkey) SELECT entity, coalesce(species, kingdom, CASE WHEN rank = 'leaf' THEN parent ELSE predicted END, '1') AS label FROM c LEFT JOIN t ON t.id = predicted")
 def reconcile_labels(spark, sf):
     n = page_nodes(spark, sf).withColumn("rank", F.when(F.col("rank") == "leaf", "species").otherwise(F.col("rank")))
