@@ -8,11 +8,12 @@ all minima; an empty bin borrows from the first non-empty bin of its own random
 Equal sets collapse to one representative first, so a group of exact copies costs one row in the buckets. Each
 bucket then links its centre with its members (a star, not all pairs). The centre is the member that meets most others
 over all its buckets, so in a group of near copies it is the text that they derive from. Links are confirmed on the
-full sets and components formed. Where a bucket still holds several components, only pairs across components are
-looked at, inside tasks of bounded size: 1024 parity bits of the sets give an upper bound on the overlap of sets of up
-to 600 shingles, larger ones must agree in as many of the minima as a pair at the threshold has but for six standard
-deviations. Pairs that pass are emitted once, whatever number of buckets they share, and confirmed on the full sets.
-So the components are those of all bucketed pairs, while groups that are linked stop costing anything.
+full sets, by 128 bits of each shingle: a centre's members are dealt to tasks in blocks of ``SPOKES``, each of which
+gets the centre's text once. Where a bucket still holds several components, only pairs across components are
+looked at, inside tasks of bounded size: parity bits of the sets, as many as a set's size asks for, bound the overlap
+from above, so no pair that reaches the threshold is dropped. Pairs that pass are emitted once, whatever number of
+buckets they share, and confirmed on the full sets. So the components are those of all bucketed pairs, while groups
+that are linked stop costing anything.
 
 Null and empty texts, and texts without words, have n_shingles 0 and link with nothing. Rows that repeat a
 doc_id are one document whose texts are compared separately: each row is returned, with the id's component.
@@ -22,8 +23,6 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +34,13 @@ from loomery.operators.graph import connected_components
 from loomery.runtime import Scratch, checked_broadcast, released
 
 N_BINS = 192
-#: Parity bits of a small set, and the most shingles of one.
-PARITY, SMALL = 1024, 600
-#: Rows of one bucket that are compared in one task.
+#: Fewest parity bits of a set; larger sets have at least twice as many as shingles.
+PARITY = 1024
+#: Rows of one bucket that are compared in one task, and members of one centre that are confirmed in one.
 BLOCK = 2048
+SPOKES = 128
+#: Bytes of parity bits that are compared at once.
+_SLAB = 8 << 20
 _SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
 _EDGES = (np.arange(N_BINS, dtype=np.uint64) * np.uint64((1 << 64) // N_BINS)).astype(np.uint64)
 _BORROW = np.stack([np.random.default_rng(7919 + i).permutation(N_BINS) for i in range(N_BINS)])
@@ -74,11 +76,11 @@ def _signer(rows: int):
     def run(batches):
         for batch in batches:
             sets = words.shingle_sets(batch.column("text"))
-            keys = [band_keys(signature(g), rows).view(np.int64) if len(g) else None for g in sets]
-            a = np.array([g.sum(dtype=np.uint64) for g in sets], dtype=np.uint64).view(np.int64)
-            b = np.array([words.mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for g in sets], dtype=np.uint64).view(np.int64)
+            keys = [band_keys(signature(g), rows).view(np.int64) if len(g) else None for g, _ in sets]
+            a = np.array([words.mix(g).sum(dtype=np.uint64) for g, _ in sets], dtype=np.uint64).view(np.int64)
+            b = np.array([words.mix(g).sum(dtype=np.uint64) for _, g in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(g) for g, _ in sets], pa.int64()), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
             )
 
@@ -86,24 +88,42 @@ def _signer(rows: int):
 
 
 def _verifier(percent: int):
+    """Links between hubs and members, out of rows sorted by hub and block, the hub's own text before its members'."""
+
     @released
     def run(batches):
+        task, hubs = None, []
         for batch in batches:
-            left, right = words.shingle_sets(batch.column("ta")), words.shingle_sets(batch.column("tb"))
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
+            hub, block, own = (batch.column(k).to_pylist() for k in ("hub", "block", "own"))
+            sets = words.shingle_sets(batch.column("text"))
+            member, keep = batch.column("member"), []
+            for i, x in enumerate(sets):
+                if (hub[i], block[i]) != task:
+                    task, hubs = (hub[i], block[i]), []
+                if own[i]:
+                    hubs.append(x)
+                    keep.append(False)
+                    continue
+                n = [(words.overlap(x, y), len(y[0])) for y in hubs]
+                keep.append(any(both and 100 * both >= percent * (len(x[0]) + size - both) for both, size in n))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("hub").filter(keep), member.filter(keep)], ["a", "b"])
 
     return run
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    x = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    y = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(_verifier(percent), "a bigint, b bigint")
+    """The written pairs (hub, member) whose full sets reach the threshold, as (a, b).
+
+    A text travels once for each pair on its member's side, and once for each SPOKES of them on the hub's.
+    """
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("blocks"))
+    member = pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), "member")
+    rows = member.join(texts, F.col("member") == F.col("rep")).select("hub", "block", F.lit(0).alias("own"), "member", "text")
+    own = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    own = own.join(texts, F.col("hub") == F.col("rep")).select("hub", "block", F.lit(1).alias("own"), F.col("hub").alias("member"), "text")
+    dealt = rows.unionByName(own).repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("own"))
+    return dealt.mapInArrow(_verifier(percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -126,7 +146,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     ids = scratch.keep(buckets.select("rep").distinct(), "ids")
     if ids.count():
         # one row for each candidate text, fetched once for all rounds
-        texts = scratch.keep(docs.join(checked_broadcast(ids.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct(), "texts")
+        texts = docs.join(checked_broadcast(ids.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+        if real.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").take(1):
+            texts = texts.distinct()
+        texts = scratch.keep(texts, "texts")
         links = _linked(scratch, buckets, texts, percent)
     edges = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     if links is not None:
@@ -134,65 +157,74 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     comp = connected_components(edges, scratch=scratch)
     # both sides are written tables, so the join keeps AQE's freedom to split or broadcast
     comp = scratch.keep(comp, "components")
+    scratch.keep_only(signed, comp)
     out = signed.select("doc_id", "n_shingles").join(checked_broadcast(comp.withColumnsRenamed({"node": "doc_id"})), "doc_id", "left")
     cid = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(cid == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _sketcher(rows: int, percent: int):
-    """rep, 32 bits of each band's key, parity bits (small sets), a byte of each minimum (large sets)."""
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles by hash, at least twice as many bits as shingles, a power of two."""
+    width = PARITY
+    while width < 2 * len(grams):
+        width *= 2
+    at = ((grams >> np.uint64(8)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _sketcher(rows: int):
+    """rep, 32 bits of each band's key, parity bits."""
 
     @released
     def run(batches):
         for batch in batches:
-            out = []
-            for g in words.shingle_sets(batch.column("text")):
-                sig = signature(g)
-                bits = np.zeros(PARITY // 64, dtype=np.uint64)
-                if len(g) <= SMALL:
-                    at = (g >> np.uint64(8)) & np.uint64(PARITY - 1)
-                    np.bitwise_xor.at(bits, (at >> np.uint64(6)).astype(np.int64), np.left_shift(np.uint64(1), at & np.uint64(63)))
-                out.append((band_keys(sig, rows).astype(np.uint32).tobytes(), bits.tobytes() if len(g) <= SMALL else b"", words.mix(sig).astype(np.uint8).tobytes() if 100 * len(g) >= percent * SMALL else b""))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), *[pa.array(c, pa.binary()) for c in cols]], ["rep", "frags", "parity", "minima"])
+            sets = [g for g, _ in words.shingle_sets(batch.column("text"))]
+            frags = [band_keys(signature(g), rows).astype(np.uint32).tobytes() for g in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(frags, pa.binary()), pa.array([parity(g).tobytes() for g in sets], pa.binary())], ["rep", "frags", "parity"])
 
     return run
 
 
 def _across(t: dict, percent: int) -> tuple[list[int], list[int]]:
-    """Pairs of one task's rows, of different components, that may reach the threshold and meet first in this bucket."""
-    rep, comp, n = np.array(t["rep"]), np.array(t["component"]), np.array(t["n"])
-    side, band = np.array(t["side"]), t["band"][0]
+    """Pairs of one task's rows, of different components, that may reach the threshold and meet first in this bucket.
+
+    Sets differ in at least as many shingles as in parity bits, so a pair with too many different bits is below it.
+    Wide parities fold to half their width; sets whose sizes may match differ by one folding at most.
+    """
+    rep, comp, n, side = (np.array(t[k]) for k in ("rep", "component", "n", "side"))
+    band = t["band"][0]
     frags = np.frombuffer(b"".join(t["frags"]), np.uint32).reshape(len(rep), -1)
-    small = n <= SMALL
-    parity = np.frombuffer(b"".join(p or bytes(PARITY // 8) for p in t["parity"]), np.uint64).reshape(len(rep), -1)
-    minima = np.frombuffer(b"".join(m or bytes(N_BINS) for m in t["minima"]), np.uint8).reshape(len(rep), -1)
-    s = percent / 100
-    agree = N_BINS * s - 6 * math.sqrt(N_BINS * s * (1 - s))
-    out_a, out_b = [], []
+    width = np.array([len(p) for p in t["parity"]])
     one_side = side.min() == side.max()
-    for lo in range(0, len(rep), 64):
-        x = np.arange(lo, min(lo + 64, len(rep)))[:, None]
-        y = np.arange(len(rep))[None, :]
-        ok = (comp[x] != comp[y]) & (rep[x] < rep[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-        if not one_side:
-            ok &= side[x] != side[y]
-        a, b = np.nonzero(ok)
-        a = a + lo
-        tiny = small[a] & small[b]
-        differ = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
-        same = (minima[a] == minima[b]).sum(axis=1)
-        ok = np.where(tiny, (100 + percent) * differ <= (100 - percent) * (n[a] + n[b]), same >= agree)
-        a, b = a[ok], b[ok]
-        ok = (frags[a] == frags[b]).argmax(axis=1) == band
-        out_a += rep[a[ok]].tolist()
-        out_b += rep[b[ok]].tolist()
+    out_a, out_b = [], []
+    for w in np.unique(width).tolist():
+        own, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        bits = [np.frombuffer(t["parity"][i], np.uint64) for i in own.tolist()]
+        bits += [(x := np.frombuffer(t["parity"][i], np.uint64))[: len(x) // 2] ^ x[len(x) // 2 :] for i in wide.tolist()]
+        bits, at = np.array(bits), np.concatenate([own, wide])
+        step = max(1, _SLAB // (w * len(at)))
+        for lo in range(0, len(own), step):
+            x, y = np.arange(lo, min(lo + step, len(own)))[:, None], np.arange(len(at))[None, :]
+            i, j = at[x], at[y]
+            ok = (x < y) & (comp[i] != comp[j]) & (rep[i] != rep[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            if not one_side:
+                ok &= side[i] != side[j]
+            x, y = np.nonzero(ok)
+            x = x + lo
+            i, j = at[x], at[y]
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            ok = (100 + percent) * differ <= (100 - percent) * (n[i] + n[j])
+            i, j = i[ok], j[ok]
+            ok = (frags[i] == frags[j]).argmax(axis=1) == band
+            i, j = rep[i[ok]], rep[j[ok]]
+            out_a += np.minimum(i, j).tolist()
+            out_b += np.maximum(i, j).tolist()
     return out_a, out_b
 
 
 def _compare(percent: int):
     """Candidate pairs out of rows sorted by task."""
-    names = ("rep", "component", "n", "side", "band", "frags", "parity", "minima")
+    names = ("rep", "component", "n", "side", "band", "frags", "parity")
 
     @released
     def run(batches):
@@ -226,9 +258,11 @@ def _linked(scratch: Scratch, buckets: DataFrame, texts: DataFrame, percent: int
     popular = scratch.keep(buckets.groupBy("rep").agg(F.sum("size").alias("pop")), "popular")
     met = buckets.join(popular, "rep")
     centres = scratch.keep(met.groupBy("key").agg(F.max(F.struct(F.col("pop"), (-F.col("rep")).alias("minus"), F.col("n"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("m")), "centres")
-    pairs = buckets.join(centres, "key").where("rep <> centre").where(near).select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+    pairs = buckets.join(centres, "key").where("rep <> centre").where(near).select(F.col("centre").alias("hub"), F.col("rep").alias("member")).distinct()
+    # two centres may name each other in different buckets: the smaller one is the hub of such a pair
+    pairs = pairs.groupBy(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).agg(F.min("hub").alias("hub")).select("a", "b", "hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
     tested = scratch.keep(pairs, "tested")
-    links = scratch.keep(_confirmed(tested, texts, percent), "links")
+    links = scratch.keep(_confirmed(tested.select("hub", "member"), texts, percent), "links")
     comp = scratch.keep(connected_components(links, scratch=scratch), "round")
     open_ = buckets.where("size > 2").join(checked_broadcast(comp.withColumnRenamed("node", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = scratch.keep(open_, "open")
@@ -236,11 +270,11 @@ def _linked(scratch: Scratch, buckets: DataFrame, texts: DataFrame, percent: int
     todo = scratch.keep(open_.join(checked_broadcast(scratch.keep(mixed, "mixed")), "key", "left_semi"), "todo")
     if not todo.take(1):
         return links
-    sketches = scratch.keep(texts.join(checked_broadcast(scratch.keep(todo.select("rep").distinct(), "who")), "rep", "left_semi").mapInArrow(_sketcher(rows_per_band(percent), percent), "rep bigint, frags binary, parity binary, minima binary"), "sketches")
+    sketches = scratch.keep(texts.join(checked_broadcast(scratch.keep(todo.select("rep").distinct(), "who")), "rep", "left_semi").mapInArrow(_sketcher(rows_per_band(percent)), "rep bigint, frags binary, parity binary"), "sketches")
     rows = _tasks(scratch, todo).join(sketches, "rep")
-    found = rows.repartition("task").sortWithinPartitions("task").select("task", "rep", "component", "n", "side", "band", "frags", "parity", "minima").mapInArrow(_compare(percent), "a bigint, b bigint")
-    found = scratch.keep(found, "found")
-    more = scratch.keep(_confirmed(found.distinct().join(tested, ["a", "b"], "left_anti"), texts, percent), "more")
+    found = rows.repartition("task").sortWithinPartitions("task").select("task", "rep", "component", "n", "side", "band", "frags", "parity").mapInArrow(_compare(percent), "a bigint, b bigint")
+    found = scratch.keep(found.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("hub"), F.col("b").alias("member")), "found")
+    more = scratch.keep(_confirmed(found, texts, percent), "more")
     return links.union(more)
 
 

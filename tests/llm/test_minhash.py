@@ -64,3 +64,36 @@ def test_chance_of_a_miss_is_small():
     for percent in (80, 85):
         r = minhash.rows_per_band(percent)
         assert (1 - (percent / 100) ** r) ** (minhash.N_BINS // r) < 1e-6
+
+
+def thue_morse(flip):
+    return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(1024))
+
+
+def test_structured_words_do_not_collide(spark):
+    long = "x" * 300
+    rows = [(1, thue_morse(0)), (2, thue_morse(1)), (3, f"{thue_morse(0)} b c d e f"), (4, f"{thue_morse(1)} b c d e f"), (5, long + "a"), (6, long + "b"), (7, long.upper() + "A")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 85)
+
+
+def test_giant_star_and_large_sets(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SPOKES", 16)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[:100], f"x{k}", *base[101:]])) for k in range(400)]
+    rows += [(1000 + k, t) for k, t in enumerate(family(rng, 12, 3000, 70))] + [(2000 + k, t) for k, t in enumerate(family(rng, 12, 3000, 130))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 85)
+
+
+def test_parity_bounds_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 500, 700, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n - n // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
+        p, q = minhash.parity(x), minhash.parity(y)
+        assert len(p) * 64 >= 2 * len(x) and len(p) == len(q)
+        assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(x, y))
