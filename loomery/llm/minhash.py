@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = classes.select("set_a", "set_b", "rep", "n", F.posexplode("bands").alias("band", "key"))
     shared = sets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = scratch.keep(shared, "shared")
-    buckets = scratch.keep(sets.join(shared, "key").select("key", "band", "rep", "n", "size"), "buckets")
+    buckets = scratch.keep(sets.join(checked_broadcast(shared), "key").select("key", "band", "rep", "n", "size"), "buckets")
     links = None
     ids = scratch.keep(buckets.select("rep").distinct(), "ids")
     if ids.count():
