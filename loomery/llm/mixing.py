@@ -2,143 +2,173 @@
 
 Each node's budget goes to its children in proportion to their weights, bounded by what a child holds: tokens times
 ``max_epochs``. What a full child cannot take is dealt among its siblings, again by weight; only when all siblings
-are full does the shortage reach the parent, whose own siblings take it. Since a parent's capacity is its children's
-sum, water-filling from the root down does exactly this.
+are full does the shortage reach the parent, whose own siblings take it. Since a parent's capacity is the sum of what
+its children may take, water-filling from the root down does exactly this. It is done level by level on tables of
+nodes: a child is full where its capacity over its weight lies under its parent's water level, which a window over
+the distinct ratios of the children finds. Leaves' shares are rounded to whole tokens along one fixed order of leaves,
+so that each is less than one token off and all of them add up to the budget.
 
 A leaf then takes a prefix of tokens from its seeded epochs: epoch e holds all its documents in an order of their own
-(a hash of seed, epoch and doc_id). Whole epochs that fit are taken whole, from the next one the longest prefix that
-stays within the budget. To keep a hot leaf out of a single task the prefix is found in two steps: sums by leading
-hash bits (``SLICES`` to a leaf) name the slice in which the budget ends, and only that slice is sorted.
-
-Tokens are runs of characters other than white space. Null domain, lang or source is a value of its own, null and
-empty texts hold no tokens and are taken with any epoch of their leaf that is taken whole. Weights default to 1;
-nodes without a stated weight use that. Documents with equal hashes are ordered by doc_id and text; rows that are
-equal in all of these count together. Columns of the input pass through; ``epoch`` tells the copies apart.
-The tree must have at most ``MAX_LEAVES`` leaves (checked; it is a plan that people state), documents any number.
+(md5 of seed, epoch, doc_id and the text's md5). Whole epochs that fit are taken whole; of the next one documents
+are taken in order, and the one in which the budget ends is cut after the last token that fits, so a leaf takes its
+budget to the token. To keep a hot leaf out of a single task the prefix is found in two steps: sums by leading hash
+digits (16 ** ``SLICE_DIGITS`` slices to a leaf) name the slice in which the budget ends, and only that one is sorted.
+
+Tokens are runs of characters other than space and \\t \\n \\v \\f \\r. Null domain, lang or source is a value of its
+own. Null and empty texts hold no tokens and are taken with what surrounds them in the order; a leaf without any token
+is taken whole, once. Nodes of weight zero take nothing. Weights default to 1; nodes without a stated weight use that.
+Rows equal in doc_id and text share a place in the order; where the budget ends among them, the others columns decide.
+Columns of the input pass through, but ``epoch`` and ``n_tokens`` are replaced, and text and n_chars are those taken.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomery.runtime import Scratch
+from loomery.runtime import Scratch, checked_broadcast, unused
 
-SLICES = 1024
-MAX_LEAVES = 200_000
+SLICE_DIGITS = 3
+TOKEN = r"[^\x20\x09-\x0D]+"
+#: Shares of a token are counted in these parts when leaves' budgets are rounded.
+_PARTS = 1_000_000_000
 
 
 def n_tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
-
-
-def fill(budget: float, weights: list[float], capacity: list[float]) -> list[float]:
-    """Shares of a budget in proportion to weights, none above its capacity, all of it dealt if capacity allows."""
-    out, open_ = [0.0] * len(weights), [i for i, w in enumerate(weights) if w > 0 and capacity[i] > 0]
-    left = min(budget, sum(capacity[i] for i in open_))
-    while open_:
-        per = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * per >= capacity[i]]
-        if not full:
-            for i in open_:
-                out[i] = weights[i] * per
-            break
-        for i in full:
-            out[i] = capacity[i]
-            left = max(0.0, left - capacity[i])
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("bigint")
+
+
+def first_tokens(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th token."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{TOKEN}"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
+def place(seed: int, epoch: Column, key: Column) -> Column:
+    """A document's place in an epoch; key: what ``document_key`` gives."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), epoch.cast("string"), key))
+
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
 
-def leaf_budgets(leaves: Mapping[tuple, float], budget: float, weights: Mapping[tuple, float], max_epochs: float) -> dict[tuple, float]:
-    """leaves: path to tokens. weights: path or part of one, as a tuple from the root, to weight (1 where unstated)."""
-    out: dict[tuple, float] = {}
-
-    def down(prefix: tuple, paths: list[tuple], amount: float) -> None:
-        if len(prefix) == len(paths[0]):
-            out[prefix] = amount
-            return
-        kids: dict[tuple, list[tuple]] = {}
-        for p in paths:
-            kids.setdefault(p[: len(prefix) + 1], []).append(p)
-        names = sorted(kids, key=lambda k: tuple((x is None, str(x)) for x in k))
-        shares = fill(amount, [float(weights.get(k, 1.0)) for k in names], [sum(leaves[p] for p in kids[k]) * max_epochs for k in names])
-        for k, s in zip(names, shares, strict=True):
-            down(k, kids[k], s)
-
-    if leaves:
-        down((), list(leaves), budget)
+
+def _path(levels: list[Column]) -> Column:
+    """A leaf's path as one string, every value with its length before it."""
+    one = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.concat(*[one(c.cast("string")) for c in levels])
+
+
+def _weight(names: list[str], weights: Mapping[tuple, float]) -> Column:
+    """The stated weight of the node that the columns name, else 1."""
+    out = F.lit(1.0)
+    for path, w in weights.items():
+        if len(path) == len(names):
+            here = F.lit(True)
+            for n, value in zip(names, path, strict=True):
+                here = here & F.col(n).eqNullSafe(F.lit(value))
+            out = F.when(here, F.lit(float(w))).otherwise(out)
     return out
 
 
+def leaf_budgets(leaves: DataFrame, names: list[str], share: float, weights: Mapping[tuple, float], max_epochs: int, scratch: Scratch) -> DataFrame:
+    """leaf, tokens, take (whole tokens) of the written table (leaf, names..., tokens)."""
+    alive = F.lit(True)
+    for k in range(1, len(names) + 1):
+        alive = alive & (_weight(names[:k], weights) > 0)
+    low = leaves.select("leaf", "tokens", F.lit(0).alias("root"), *names, alive.alias("alive"), F.when(alive, F.col("tokens") * max_epochs).otherwise(0).cast("bigint").alias("cap"))
+    low = scratch.keep(low, "leaves")
+    totals = low.agg(F.sum("tokens").alias("tokens"), F.sum("cap").alias("cap")).first()
+    budget = min(math.floor(share * (totals["tokens"] or 0) + 1e-9), totals["cap"] or 0)
+    above = low.limit(1).select("root", F.lit(float(budget)).alias("budget"))
+    for k in range(1, len(names) + 1):
+        parent, own = ["root", *names[: k - 1]], ["root", *names[:k]]
+        kids = low.where("cap > 0").groupBy(*own).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(names[:k], weights))
+        kids = scratch.keep(_null_safe_join(kids, above, parent).withColumn("r", F.col("cap") / F.col("w")), f"level{k}")
+        # children of one ratio fill at one water level: a window holds distinct ratios, of which there are few
+        ratios = kids.groupBy(*parent, "r").agg(F.sum("cap").alias("cap"), F.sum(F.col("w").cast("decimal(24,9)")).alias("w"), F.first("budget").alias("budget"))
+        order = Window.partitionBy(*parent).orderBy("r")
+        before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+        level = ratios.withColumn("level", (F.col("budget") - before) / rest.cast("double")).where("r > level").groupBy(*parent).agg(F.min_by("level", "r").alias("level"))
+        got = _null_safe_join(kids, level, parent, "left")
+        above = scratch.keep(got.select(*own, F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("cap").cast("double"))).alias("budget")), f"budgets{k}")
+    exact = _null_safe_join(low, above, ["root", *names], "left").select("leaf", "tokens", "alive", "cap", F.coalesce("budget", F.lit(0.0)).alias("budget"), F.md5("leaf").alias("at"))
+    exact = exact.withColumn("whole", F.floor("budget")).withColumn("part", F.floor((F.col("budget") - F.col("whole")) * _PARTS)).withColumn("slice", F.substring("at", 1, 2))
+    exact = scratch.keep(exact, "exact")
+    # rounded along the order of leaves: sums of 256 slices first, then within each
+    slices = exact.groupBy("slice").agg(F.sum("part").alias("part")).withColumn("before", F.coalesce(F.sum("part").over(Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    upto = F.col("before") + F.sum("part").over(Window.partitionBy("slice").orderBy("at", "leaf").rowsBetween(Window.unboundedPreceding, 0))
+    out = exact.join(F.broadcast(slices.select("slice", "before")), "slice").withColumn("upto", upto + _PARTS // 2)
+    take = F.expr(f"least(cap, whole + (upto div {_PARTS}) - ((upto - part) div {_PARTS}))")
+    return out.select("leaf", "tokens", "alive", take.cast("bigint").alias("take"))
+
+
 def mix(docs: DataFrame, levels: Mapping[str, Column], share: float, weights: Mapping[tuple, float], max_epochs: int = 1, seed: int = 7) -> DataFrame:
-    """docs' rows as often as they are taken, with ``epoch`` (from 0) and ``n_tokens``.
+    """docs' rows as often as they are taken, with ``epoch`` (from 0) and ``n_tokens`` (those taken).
 
     levels: names and expressions of the tree's levels, root first. share: budget as a part of all tokens.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    names = [f"_level{i}" for i in range(len(levels))]
-    marked = docs.withColumns({**dict(zip(names, levels.values(), strict=True)), "_tokens": n_tokens(F.col("text"))})
-    marked = marked.withColumn("_key", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
-    facts = scratch.keep(marked.select(*names, "_tokens", "_key", "doc_id"), "facts")
-    per_leaf = facts.groupBy(*names).agg(F.sum("_tokens").alias("tokens"))
-    rows = per_leaf.limit(MAX_LEAVES + 1).collect()
-    if len(rows) > MAX_LEAVES:
-        raise ValueError(f"the mixing tree has more than {MAX_LEAVES} leaves")
-    leaves = {tuple(r[:-1]): float(r[-1]) for r in rows}
-    plan = leaf_budgets(leaves, share * sum(leaves.values()), weights, max_epochs)
-    kinds = [facts.schema[n].dataType.simpleString() for n in names]
-    table = []
-    for path, budget in sorted(plan.items(), key=lambda x: str(x[0])):
-        held = leaves[path]
-        whole = min(max_epochs, int((budget + 1e-6) // held)) if held else (1 if budget >= 0 and weights.get(path, 1.0) > 0 else 0)
-        table.append((*path, whole, float(max(0.0, budget - whole * held)) if whole < max_epochs else 0.0))
-    schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)) + ", _whole int, _rest double"
-    plan_df = F.broadcast(spark.createDataFrame(table, schema))
-
-    def with_plan(df: DataFrame) -> DataFrame:
-        cond = None
-        right = plan_df.withColumnsRenamed({n: f"_p{n}" for n in names})
-        for n in names:
-            c = F.col(n).eqNullSafe(F.col(f"_p{n}"))
-            cond = c if cond is None else cond & c
-        return df.join(right, cond).drop(*[f"_p{n}" for n in names])
-
-    # each document's place in its leaf's partial epoch
-    place = F.xxhash64(F.lit(seed), F.col("_whole"), F.col("_key"))
-    slice_ = F.shiftrightunsigned(place, 64 - (SLICES.bit_length() - 1)).cast("int")
-    placed = scratch.keep(with_plan(facts).where("_rest > 0").select(*names, "_whole", "_rest", "_tokens", place.alias("_place"), slice_.alias("_slice")), "placed")
-    sums = placed.groupBy(*names, "_slice").agg(F.sum("_tokens").alias("t"), F.first("_rest").alias("_rest"))
-    upto = F.coalesce(F.sum("t").over(Window.partitionBy(*names).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # one row for each leaf: the slice in which the budget ends and what is left for it; if it never ends, all slices fit
-    last = sums.withColumn("before", upto).where("before + t > _rest").groupBy(*names).agg(F.min(F.struct("_slice", "before")).alias("m"))
-    last = scratch.keep(last.select(*names, F.col("m._slice").alias("_end"), F.col("m.before").alias("_before")), "last")
-    on = lambda df, other: _null_safe_join(df, other, names)
-    ending = on(placed, last).where("_slice = _end")
-    # rows with one place count together, so that what is taken is decided by place alone
-    per_place = ending.groupBy(*names, "_place", "_rest", "_before").agg(F.sum("_tokens").alias("t"))
-    running = F.sum("t").over(Window.partitionBy(*names).orderBy(F.shiftrightunsigned("_place", 1), "_place"))
-    first_out = per_place.withColumn("upto", F.col("_before") + running).where("upto > _rest").groupBy(*names).agg(F.min(F.struct(F.shiftrightunsigned("_place", 1).alias("hi"), F.col("_place").alias("lo"))).alias("_stop"))
-    stop = scratch.keep(first_out, "stop")
-    # at most one row for each leaf, and leaves are bounded by MAX_LEAVES
-    out = with_plan(marked)
-    out = _null_safe_join(out, F.broadcast(stop), names, "left")
-    out = out.withColumn("_place", place)
-    order = F.struct(F.shiftrightunsigned("_place", 1).alias("hi"), F.col("_place").alias("lo"))
-    partly = (F.col("_rest") > 0) & (F.col("_stop").isNull() | (order < F.col("_stop")))
-    taken = F.col("_whole") + F.when(partly, 1).otherwise(0)
-    out = out.withColumn("_taken", taken).where("_taken > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_taken") - 1)))
-    return out.select(*[c for c in docs.columns if c not in ("epoch", "n_tokens")], "epoch", F.col("_tokens").alias("n_tokens"))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    names = [f"level{i}" for i in range(len(levels))]
+    leaf, held, key = unused(docs, "leaf", "held", "key")
+    values = list(levels.values())
+    marked = docs.withColumns({leaf: _path(values), held: n_tokens(F.col("text")), key: document_key(F.col("doc_id"), F.col("text"))})
+    facts = scratch.keep(marked.select(F.col(leaf).alias("leaf"), *[v.cast("string").alias(n) for n, v in zip(names, values, strict=True)], F.col(held).alias("tokens"), F.col(key).alias("key")), "facts")
+    leaves = scratch.keep(facts.groupBy("leaf", *names).agg(F.sum("tokens").alias("tokens")), "sums")
+    budgets = leaf_budgets(leaves, names, share, weights, max_epochs, scratch)
+    whole = F.when(F.col("tokens") > 0, F.expr("take div tokens")).otherwise(F.col("alive").cast("bigint"))
+    plan = budgets.withColumn("whole", whole).select("leaf", F.col("whole").cast("int").alias("whole"), F.when(F.col("tokens") > 0, F.col("take") - F.col("whole") * F.col("tokens")).otherwise(0).alias("rest"))
+    plan = scratch.keep(plan.where("whole > 0 or rest > 0"), "plan")
+
+    placed = facts.join(checked_broadcast(plan.where("rest > 0")), "leaf").select("leaf", "rest", "tokens", place(seed, F.col("whole"), F.col("key")).alias("place"))
+    placed = scratch.keep(placed.withColumn("slice", F.substring("place", 1, SLICE_DIGITS)), "placed")
+    sums = placed.groupBy("leaf", "slice").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
+    upto = F.sum("t").over(Window.partitionBy("leaf").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
+    last = scratch.keep(sums.withColumn("upto", upto).where("upto >= rest and upto - t < rest").select("leaf", "slice", (F.col("upto") - F.col("t")).alias("before")), "last")
+    # rows of one place count together, so a window holds distinct places of one slice of a leaf
+    places = placed.join(checked_broadcast(last), ["leaf", "slice"]).groupBy("leaf", "place").agg(F.sum("tokens").alias("t"), F.count("*").alias("copies"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    upto = F.col("before") + F.sum("t").over(Window.partitionBy("leaf").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    ends = places.withColumn("upto", upto).where("upto >= rest and upto - t < rest").select("leaf", F.col("place").alias("stop"), (F.col("rest") - F.col("upto") + F.col("t")).alias("need"), "copies")
+    plan = scratch.keep(plan.join(ends, "leaf", "left"), "ends")
+    twice = bool(plan.where("copies > 1").take(1))
+    scratch.keep_only(plan)
+
+    w, stop, need, copies, at, cut, nth, taken = unused(marked, "whole", "stop", "need", "copies", "at", "cut", "nth", "taken")
+    plan = plan.select(F.col("leaf").alias(leaf), F.col("whole").alias(w), F.col("stop").alias(stop), F.col("need").alias(need), F.col("copies").alias(copies))
+    out = marked.join(checked_broadcast(plan), leaf).withColumn(at, place(seed, F.col(w), F.col(key))).where((F.col(w) > 0) | (F.col(at) <= F.col(stop)))
+    # tokens of the partial epoch's copy: null where there is none
+    edge = F.col(at) == F.col(stop)
+    part = F.when(F.col(at) < F.col(stop), F.col(held)).when(edge, F.least(held, need))
+    if twice:
+        border = out.where(edge & (F.col(copies) > 1)).withColumn(nth, F.row_number().over(Window.partitionBy(leaf).orderBy(F.to_json(F.struct(*docs.columns)))))
+        left = F.col(need) - (F.col(nth) - 1) * F.col(held)
+        border = border.withColumn(cut, F.when(left > 0, F.least(F.col(held), left))).drop(nth)
+        out = out.where(~F.coalesce(edge & (F.col(copies) > 1), F.lit(False))).withColumn(cut, part).unionByName(border)
+    else:
+        out = out.withColumn(cut, part)
+    full = F.when(F.col(w) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(w) - 1, F.lit(0))), lambda e: F.struct(e.alias("epoch"), F.col(held).alias("n")))).otherwise(F.array().cast("array<struct<epoch:int,n:bigint>>"))
+    more = F.when(F.col(cut).isNotNull(), F.array(F.struct(F.col(w).alias("epoch"), F.col(cut).alias("n")))).otherwise(F.array().cast("array<struct<epoch:int,n:bigint>>"))
+    out = out.withColumn(taken, F.explode(F.concat(full, more)))
+    shorter = F.col(taken)["n"] < F.col(held)
+    text = F.when(shorter, first_tokens(F.col("text"), F.col(taken)["n"])).otherwise(F.col("text"))
+    columns = []
+    for c in docs.columns:
+        if c == "text":
+            columns.append(text.alias(c))
+        elif c == "n_chars":
+            columns.append(F.when(shorter, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+        elif c not in ("epoch", "n_tokens"):
+            columns.append(F.col(f"`{c}`"))
+    return out.select(*columns, F.col(taken)["epoch"].alias("epoch"), F.col(taken)["n"].alias("n_tokens"))
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     right = right.withColumnsRenamed({n: f"_r{n}" for n in names})
-    cond = None
+    cond = F.lit(True)
     for n in names:
-        c = F.col(n).eqNullSafe(F.col(f"_r{n}"))
-        cond = c if cond is None else cond & c
+        cond = cond & F.col(n).eqNullSafe(F.col(f"_r{n}"))
     return left.join(right, cond, how).drop(*[f"_r{n}" for n in names])
