@@ -7,12 +7,15 @@ line before it matches it, whether or not that earlier line is itself removed.
 
 Lines with equal sets first become one class. Words are put in order of rarity; a class is posted under each word of
 its prefix (the first n - ceil(0.8 n) + 1 words), but for sets of up to three words, which match equal sets alone.
-Classes that meet under a word are pruned by length, by the word's positions and by an upper bound from 128 parity bits, and the pairs that are left are confirmed on their whole sets.
+Where such a word is one of ``HOT`` lines or more, the class is posted under pairs of it and another word of the prefix
+that is one word longer, since sets that match and share a prefix word share two words of the longer prefixes: so no
+frequent word gathers all its lines in one task. Classes that meet are pruned by length, by the word's positions and by
+an upper bound from 128 parity bits, and the pairs that are left are confirmed on their whole sets.
 One earlier match decides about a line, so under each word a class names only its ``FIRST`` earliest partners that
 pass, which keeps large groups of near copies linear; a class with more partners than that, none of which was
-confirmed, is matched again with 4096 times as many, among the postings of its words alone, until none is open. Rarity comes from counts over all lines
-in ``BUCKETS`` hashed counters: any fixed order gives exact results, the counts only make prefixes rare, and the
-table's size is fixed.
+confirmed, is matched again with 4096 times as many, among the postings of its words alone, until none is open. Rarity
+comes from counts over all lines in ``BUCKETS`` hashed counters: any fixed order gives exact results, the counts only
+make prefixes rare, and the table's size is fixed.
 
 Null and empty texts pass unchanged. A document all of whose text was removed goes, since earlier documents hold it;
 one that had no text to begin with stays. Rows that repeat a doc_id are one document to the order: lines of theirs
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm import words
-from loomery.runtime import Scratch, checked_broadcast, released
+from loomery.runtime import Scratch, checked_broadcast, released, unused
 
 #: Fewest distinct words of a line that takes part.
 MIN_WORDS = 1
@@ -39,6 +42,8 @@ RANGES = 64
 PART = 80_000
 #: Earliest partners that a class names under one word in the first round.
 FIRST = 8
+#: Lines from which on a word is posted in pairs with others.
+HOT = 100_000
 _NO_ID = (1 << 63) - 1
 _LINES = "kind int, bucket int, packed binary, sig_a bigint, sig_b bigint, n int, doc bigint, doc_hash bigint, line int"
 _COLUMNS = ("token", "sig", "size_pos", "bits_a", "bits_b", "doc", "line")
@@ -73,13 +78,19 @@ def _distinct(keys: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[new], np.concatenate([[0], np.cumsum(new)])[off]
 
 
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """Eighths of powers of two of hashed counters, 0 for words of one line at most."""
+    return np.minimum(255, np.log2(np.maximum(counts, 1)) * 8).astype(np.uint8)
+
+
 def _sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
     return total[off[1:]] - total[off[:-1]]
 
 
-def _signatures(keys: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _sums(words.mix(keys), off).view(np.int64), _sums(words.mix(keys ^ np.uint64(0x5851F42D4C957F2D)), off).view(np.int64)
+def _signature(keys: np.ndarray, off: np.ndarray, which: int = 0) -> np.ndarray:
+    """One of two 64-bit sums over each set's words."""
+    return _sums(words.mix(keys ^ np.uint64(0x5851F42D4C957F2D * which)), off).view(np.int64)
 
 
 def _scanner(min_words: int):
@@ -95,7 +106,7 @@ def _scanner(min_words: int):
                 keys, k_off = _distinct(h, off)
                 n = np.diff(k_off)
                 use = np.flatnonzero(n >= min_words)
-                a, b = _signatures(keys, k_off)
+                a, b = _signature(keys, k_off), _signature(keys, k_off, 1)
                 counts += np.bincount((keys >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                 doc = np.searchsorted(first, use, side="right") - 1
                 at = pa.array(start + doc)
@@ -127,25 +138,37 @@ def _sum_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["bucket", "packed"])
 
 
-def _prefixes(keys: np.ndarray, k_off: np.ndarray, use: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of the chosen sets' prefixes, rarest first, which of the chosen sets each is of, and its position.
+def _prefixes(keys: np.ndarray, k_off: np.ndarray, use: np.ndarray, rank: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the chosen sets are posted under, which of the chosen sets each posting is of, and the word's position.
 
-    A word stands as its rarity above 56 bits of its hash. A counter of one means that no other line has the word.
+    A word stands as its rarity above 56 bits of its hash. A counter of one means that no other line has the word. Words
+    of a rank of ``hot`` or more stand in pairs with each other word of the prefix that is one word longer.
     """
     order = (rank[(keys >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8))
-    for i in use.tolist():
-        order[k_off[i] : k_off[i + 1]].sort()
-    size = np.diff(k_off)[use]
+    for a, b in zip(k_off[use].tolist(), k_off[use + 1].tolist(), strict=True):
+        order[a:b].sort()
+    begin, size = k_off[use], np.diff(k_off)[use]
     take = size - (8 * size + 9) // 10 + 1
     row = np.repeat(np.arange(len(use)), take)
     pos = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-    token = order[k_off[use][row] + pos]
-    hit = np.flatnonzero(token >> np.uint64(56))
-    return token[hit], row[hit], pos[hit]
-
-
-def _words_of(rarity):
-    """The prefix words of whole sets."""
+    token = order[begin[row] + pos]
+    rarity = token >> np.uint64(56)
+    hit = np.flatnonzero((rarity > 0) & (rarity < hot))
+    many = np.flatnonzero(rarity >= hot)
+    if not len(many):
+        return token[hit], row[hit], pos[hit]
+    others = take[row[many]]
+    at = np.repeat(many, others)
+    second = np.arange(others.sum()) - np.repeat(np.cumsum(others) - others, others)
+    second += second >= pos[at]
+    second = order[begin[row[at]] + second]
+    shared = np.flatnonzero(second >> np.uint64(56))
+    at, second = at[shared], second[shared]
+    return np.concatenate([token[hit], words.mix(token[at] ^ words.mix(second))]), np.concatenate([row[hit], row[at]]), np.concatenate([pos[hit], pos[at]])
+
+
+def _words_of(rarity, hot: int):
+    """What whole sets are posted under."""
 
     @released
     def run(batches):
@@ -153,13 +176,13 @@ def _words_of(rarity):
             col = batch.column("tokens")
             off = col.offsets.to_numpy().astype(np.int64)
             keys = col.values.to_numpy().view(np.uint64)
-            token, _, _ = _prefixes(keys, off, np.arange(len(col)), rarity.value)
+            token, _, _ = _prefixes(keys, off, np.arange(len(col)), rarity.value, hot)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(token).view(np.int64))], ["token"])
 
     return run
 
 
-def _poster(rarity, min_words: int):
+def _poster(rarity, min_words: int, hot: int):
     """Prefix postings of each distinct set that may match others. rarity: broadcast ranks of the hashed counters."""
 
     @released
@@ -170,7 +193,7 @@ def _poster(rarity, min_words: int):
             ids = batch.column("doc").to_numpy()
             for start, first, h, off in _lines(batch.column("text")):
                 keys, k_off = _distinct(h, off)
-                sig = _signatures(keys, k_off)[0]
+                sig = _signature(keys, k_off)
                 n = np.diff(k_off)
                 use = np.flatnonzero(n >= max(min_words, POSTED))
                 d = np.searchsorted(first, use, side="right") - 1
@@ -193,19 +216,19 @@ def _poster(rarity, min_words: int):
                 at = np.minimum(k_off[:-1], len(flag) - 1)
                 bits = [np.bitwise_xor.reduceat(np.where(low == half, flag, np.uint64(0)), at)[use].view(np.int64) for half in (0, 1)]
                 size = n[use]
-                token, row, pos = _prefixes(keys, k_off, use, rank)
+                token, row, pos = _prefixes(keys, k_off, use, rank, hot)
                 cols = (token.view(np.int64), sig[use][row], (size[row].astype(np.int64) << 32) | pos, bits[0][row], bits[1][row], doc[row], line[row].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
 
     return run
 
 
-def _packer(rarity, parts: int, min_words: int):
+def _packer(rarity, parts: int, min_words: int, hot: int):
     """Postings packed by the part that a hash of their word falls in: a row for each part and few hundred thousand postings."""
 
     @released
     def run(batches):
-        inner, held, rows = _poster(rarity, min_words), [], 0
+        inner, held, rows = _poster(rarity, min_words, hot), [], 0
 
         def flush():
             t = pa.Table.from_batches(held)
@@ -247,14 +270,7 @@ def _part_matcher(first: int):
 
         def done():
             if held:
-                t = {k: np.concatenate([h[k] for h in held]) for k in _COLUMNS}
-                by = np.argsort(t["token"], kind="stable")
-                token = t["token"][by]
-                # a word that one posting alone has joins nothing
-                same = np.concatenate([[False], token[1:] == token[:-1], [False]])
-                by = by[same[1:] | same[:-1]]
-                t = {k: v[by] for k, v in t.items()} | {"ask": np.ones(len(by), dtype=bool)}
-                x, y, more = _pairs_of(t, first)
+                x, y, more = _pairs_of({k: np.concatenate([h[k] for h in held]) for k in _COLUMNS}, first)
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(more)], ["x", "y", "more"])
 
@@ -270,22 +286,39 @@ def _part_matcher(first: int):
 
 
 def _pairs_of(t: dict[str, np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of postings sorted by token: (class, earlier partner, whether it may have more partners) that pass the filters."""
-    by = np.lexsort((t["line"], t["doc"], t["sig"], t["token"]))
-    t = {k: v[by] for k, v in t.items()}
-    new = np.ones(len(by), dtype=bool)
-    new[1:] = (t["token"][1:] != t["token"][:-1]) | (t["sig"][1:] != t["sig"][:-1])
-    t = {k: v[new] for k, v in t.items()}
-    by = np.lexsort((t["sig"], t["line"], t["doc"], t["token"]))
+    """Of postings: (class, earlier partner, whether it may have more partners) that pass the filters.
+
+    Postings are put in order of token, place and sig, each class once under a token, at its first place.
+    """
+    by = np.argsort(t["token"])
+    token = t["token"][by]
+    # a word that one posting alone has joins nothing
+    same = np.concatenate([[False], token[1:] == token[:-1], [False]])
+    by, new = by[same[1:] | same[:-1]], ~same[:-1][same[1:] | same[:-1]]
+    group = np.cumsum(new) - 1
+    sig, doc, line = t["sig"][by], t["doc"][by], t["line"][by]
+    if len(by) and doc.min() >= 0 and doc.max() < 1 << 40 and line.max() < 1 << 22:
+        at = doc << 22 | line
+        order = np.argsort(at)
+        tied = (at[order[1:]] == at[order[:-1]]) & (sig[order[1:]] != sig[order[:-1]])
+        order = np.lexsort((sig, at)) if tied.any() else order
+    else:
+        order = np.lexsort((sig, line, doc))
+    rank = np.empty(len(by), dtype=np.int64)
+    rank[order] = np.arange(len(by))
+    order = np.argsort(group << 32 | rank)
+    by, group = by[order], group[order]
+    _, once = np.unique(words.mix(t["sig"][by].view(np.uint64) ^ words.mix(group.astype(np.uint64))), return_index=True)
+    once.sort()
+    by, group = by[once], group[once]
     t = {k: v[by] for k, v in t.items()}
-    start = np.ones(len(by), dtype=bool)
-    start[1:] = t["token"][1:] != t["token"][:-1]
-    at = np.flatnonzero(start)
+    ask = t.get("ask", True)
+    at = np.flatnonzero(np.diff(group, prepend=-1))
     begin = np.repeat(at, np.diff(np.append(at, len(by))))
     place = np.arange(len(by)) - begin
     n, pos = t["size_pos"] >> 32, t["size_pos"] & 0xFFFFFFFF
     found = np.zeros(len(by), dtype=np.int32)
-    open_ = np.flatnonzero((place > 0) & t["ask"])
+    open_ = np.flatnonzero((place > 0) & ask)
     xs, ys, k = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     while len(open_):
         x, y = open_, begin[open_] + k
@@ -315,6 +348,9 @@ def _matcher(first: int):
         def flush(keep_last: bool):
             nonlocal held, rows
             t = {k: np.concatenate([h[k] for h in held]) for k in names}
+            held, rows = [], 0
+            if not len(t["token"]):
+                return
             end = len(t["token"])
             if keep_last:
                 end = int(np.searchsorted(t["token"], t["token"][-1], side="left"))
@@ -342,18 +378,21 @@ def _matcher(first: int):
 def _fetch(batches):
     """The whole sets of the lines asked for: column want lists line numbers."""
     for batch in batches:
+        want = batch.column("want")
+        w_off, wanted = want.offsets.to_numpy(), want.values.to_numpy()
+        data, offsets = words.raw(batch.column("text"))
         lines = []
-        for text, want in zip(batch.column("text").to_pylist(), batch.column("want").to_pylist(), strict=True):
-            own = text.split("\n")
-            lines += [own[k] for k in want]
-        data, off = words.raw(pa.array(lines, pa.string()))
-        keys, k_off = _distinct(*words.hashed(data, off))
-        a, _ = _signatures(keys, k_off)
+        for k in range(batch.num_rows):
+            text = data[offsets[k] : offsets[k + 1]]
+            cuts = np.concatenate([[0], np.flatnonzero(text == 10) + 1, [len(text) + 1]])
+            lines += [text[a : b - 1] for a, b in ((cuts[i], cuts[i + 1]) for i in wanted[w_off[k] : w_off[k + 1]].tolist())]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in lines], dtype=np.int64)]).astype(np.int64)
+        keys, k_off = _distinct(*words.hashed(np.concatenate(lines) if lines else np.empty(0, np.uint8), off))
         sets = pa.ListArray.from_arrays(pa.array(k_off.astype(np.int32)), pa.array(keys.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(a), sets], ["sig", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(_signature(keys, k_off)), sets], ["sig", "tokens"])
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
     """doc, doc_hash and the sorted numbers of the lines to remove, for each document that loses any."""
     spark = docs.sparkSession
     src = docs.select("doc", "doc_hash", F.col("text").cast("string").alias("text"))
@@ -363,23 +402,23 @@ def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     total = scanned.where("kind = 0").select("bucket", "packed").repartition(RANGES, "bucket").mapInArrow(_sum_counts, "bucket int, packed binary").toArrow()
     for k, blob in zip(total["bucket"].to_pylist(), total["packed"].to_pylist(), strict=True):
         own = np.frombuffer(blob, np.uint64).astype(float)
-        rank[k * len(own) : (k + 1) * len(own)] = np.minimum(255, np.log2(np.maximum(own, 1)) * 8).astype(np.uint8)
-    rarity = spark.sparkContext.broadcast(rank)
-    # a fifth of the distinct words of each line, and one more
-    parts = max(1, int(scanned.where(f"kind = 1 and n >= {POSTED}").agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0) // PART)
-    lines = scanned.where("kind = 1").select("sig_a", "sig_b", "doc", "doc_hash", "line")
+        rank[k * len(own) : (k + 1) * len(own)] = _rank(own)
+    rarity, hot = spark.sparkContext.broadcast(rank), max(1, int(_rank(np.array([hot]))[0]))
+    lines = scanned.where("kind = 1").select("sig_a", "sig_b", "n", "doc", "doc_hash", "line")
     place = F.struct("doc", "line", "doc_hash")
-    classes = scratch.keep(lines.groupBy("sig_a", "sig_b").agg(F.min(place).alias("first")), "classes")
+    classes = scratch.keep(lines.groupBy("sig_a", "sig_b").agg(F.min(place).alias("first"), F.count("*").alias("lines"), F.first("n").alias("n")), "classes")
+    # a fifth of the distinct words of each set, and one more
+    parts = max(1, int(classes.where(f"n >= {POSTED}").agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0) // PART)
 
     beaten, tested, sets, width, open_ = None, None, None, FIRST, None
     while True:
         if open_ is None:
-            packed = src.select("doc", "text").mapInArrow(_packer(rarity, parts, min_words), "part int, n bigint, packed binary")
+            packed = src.select("doc", "text").mapInArrow(_packer(rarity, parts, min_words, hot), "part int, n bigint, packed binary")
             found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_part_matcher(width), "x bigint, y bigint, more boolean")
         else:
             # only the open classes' words matter now
-            posts = src.select("doc", "text").mapInArrow(_poster(rarity, min_words), _POSTS)
-            asked = scratch.keep(sets.join(open_, "sig", "left_semi").mapInArrow(_words_of(rarity), "token bigint").distinct(), "words")
+            posts = src.select("doc", "text").mapInArrow(_poster(rarity, min_words, hot), _POSTS)
+            asked = scratch.keep(sets.join(open_, "sig", "left_semi").mapInArrow(_words_of(rarity, hot), "token bigint").distinct(), "words")
             posts = posts.join(checked_broadcast(asked), "token", "left_semi").join(checked_broadcast(open_), "sig", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
             found = posts.repartition("token").sortWithinPartitions("token").mapInArrow(_matcher(width), "x bigint, y bigint, more boolean")
         pairs = scratch.keep(found.groupBy("x", "y").agg(F.max("more").alias("more")), "pairs")
@@ -389,7 +428,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
         ends = fresh.select(F.col("x").alias("sig_a")).union(fresh.select("y")).distinct()
         want = classes.join(ends, "sig_a").select("first.*").groupBy("doc", "doc_hash").agg(F.collect_set("line").alias("want"))
         want = scratch.keep(want, "want")
-        texts = src.join(checked_broadcast(want, 200_000), ["doc", "doc_hash"]).select("text", "want")
+        texts = src.join(checked_broadcast(want), ["doc", "doc_hash"]).select("text", "want")
         got = texts.mapInArrow(_fetch, "sig bigint, tokens array<bigint>").dropDuplicates(["sig", "tokens"])
         # signatures of 64 bits name candidates; should two sets share one, both are compared
         sets = scratch.keep(got if sets is None else got.union(sets).dropDuplicates(["sig", "tokens"]), "sets")
@@ -403,25 +442,30 @@ def removed_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
         if not open_.take(1):
             break
         width *= 4096
-    out = lines.join(classes, ["sig_a", "sig_b"])
+    # the classes that lose lines: those of more than one line, and those with an earlier match
+    losing = classes.withColumn("beaten", F.lit(False)) if beaten is None else classes.join(checked_broadcast(beaten.select(F.col("sig").alias("sig_a"), F.lit(True).alias("beaten"))), "sig_a", "left").withColumn("beaten", F.coalesce("beaten", F.lit(False)))
+    losing = scratch.keep(losing.where("lines > 1 or beaten").select("sig_a", "sig_b", "first", "beaten"), "losing")
     later = (F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line"))
-    if beaten is not None:
-        out = out.join(checked_broadcast(beaten.select(F.col("sig").alias("sig_a"), F.lit(True).alias("beaten"))), "sig_a", "left").where(later | F.col("beaten"))
-    else:
-        out = out.where(later)
-    return scratch.keep(out.groupBy("doc", "doc_hash").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    out = lines.join(checked_broadcast(losing), ["sig_a", "sig_b"]).where(later | F.col("beaten"))
+    out = scratch.keep(out.groupBy("doc", "doc_hash").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    rarity.unpersist()
+    scratch.keep_only(out)
+    return out
 
 
-def dedup_lines(docs: DataFrame, details: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, details: bool = False, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
     """docs without later near-duplicate lines; columns unchanged, or with details also lines_removed."""
     scratch = Scratch(docs.sparkSession, "lines")
-    hashed = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)))
-    gone = removed_lines(hashed.select(F.col("_doc").alias("doc"), F.col("_hash").alias("doc_hash"), "text"), scratch, min_words)
-    gone = gone.withColumnsRenamed({"doc": "_doc", "doc_hash": "_hash", "removed": "_removed"})
-    out = hashed.join(checked_broadcast(gone, 200_000), ["_doc", "_hash"], "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i))
-    out = out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    out = out.where("_removed is null or trim(both ' \t\r\n' from text) <> ''")
+    hash_, doc, removed, text = unused(docs, "hash", "doc", "removed", "text")
+    hashed = docs.withColumns({hash_: F.xxhash64("text"), doc: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID))})
+    gone = removed_lines(hashed.select(F.col(doc).alias("doc"), F.col(hash_).alias("doc_hash"), "text"), scratch, min_words, hot)
+    gone = gone.withColumnsRenamed({"doc": doc, "doc_hash": hash_, "removed": removed})
+    out = hashed.join(checked_broadcast(gone), [doc, hash_], "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(removed, i))
+    out = out.withColumn(text, F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    out = out.where(F.col(removed).isNull() | (F.btrim(F.col(text), F.lit(" \t\r\n")) != ""))
+    new = {"text": F.col(text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns, *([F.coalesce(F.size("_removed"), F.lit(0)).alias("lines_removed")] if details else []))
+        new["n_chars"] = F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    columns = [new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns if not (details and c.lower() == "lines_removed")]
+    return out.select(*columns, *([F.coalesce(F.size(removed), F.lit(0)).alias("lines_removed")] if details else []))

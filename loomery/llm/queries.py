@@ -14,8 +14,6 @@ from loomery.runtime import Scratch, table
 NEAR_PERCENT = 85
 COSINE = 0.9
 K = 5
-#: The floor that the SQL of op1_line_dedup states; op1_line_dedup_whole has none.
-SQL_MIN_WORDS = 5
 #: The mixing plan: levels of the tree, weights by path, and the part of all tokens to take.
 MIX_WEIGHTS = {("d0",): 2.0, ("d1",): 1.0, ("d2",): 1.0, ("d0", "en"): 2.0, ("d1", "en"): 2.0, ("d2", "en"): 2.0}
 MIX_SHARE = 0.6
@@ -28,20 +26,12 @@ def mix_levels() -> dict[str, F.Column]:
     return {"domain": F.concat(F.lit("d"), F.pmod(digit, F.lit(3)).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
 
 
-def _line_digests(spark: SparkSession, sf_dir: str, min_words: int) -> DataFrame:
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = line_dedup.dedup_lines(docs.select("doc_id", "text"), details=True, min_words=min_words)
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text"), details=True)
     return out.select("doc_id", F.length("text").cast("bigint").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256"), F.col("lines_removed").cast("bigint").alias("lines_removed"))
 
 
-def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_digests(spark, sf_dir, SQL_MIN_WORDS)
-
-
-def op1_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_digests(spark, sf_dir, line_dedup.MIN_WORDS)
-
-
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
@@ -79,7 +69,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix(docs, mix_levels(), MIX_SHARE, MIX_WEIGHTS, MIX_EPOCHS)
-    return out.select("doc_id", "lang", "source", F.col("epoch").cast("int").alias("epoch"), "n_tokens")
+    return out.select("doc_id", "lang", "source", F.col("epoch").cast("int").alias("epoch"), "n_tokens", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,18 +90,56 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op1_line_dedup_whole, op2_quality_rules, op3_embedding_dedup, op4_chat_format, op5_piece_codec, op6_minhash, op7_warc, op8_mixing, op9_vptree, op10_langid, pipeline)
+    f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_embedding_dedup, op4_chat_format, op5_piece_codec, op6_minhash, op7_warc, op8_mixing, op9_vptree, op10_langid, pipeline)
 }
 
 _TAILS = r"(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\])"
 
+
+
+def _mixing_sql() -> str:
+    """The mixing query level by level; the weights are those of MIX_WEIGHTS."""
+    names = ("domain", "lang", "source")
+    one = lambda c: f"coalesce(length({c}) || ':' || {c}, '-')"
+    ctes = [
+        "t AS (SELECT doc_id, text, coalesce(text, '') AS x, lang, source, 'd' || (coalesce(try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9])$', 1), '') AS INT), 0) % 3) AS domain FROM documents)",
+        rf"d AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))::BIGINT AS n, md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(x)) AS key, {' || '.join(map(one, names))} AS leaf FROM t)",
+        f"l AS (SELECT leaf, domain, lang, source, sum(n)::BIGINT AS tokens, (sum(n) * {MIX_EPOCHS})::BIGINT AS cap FROM d GROUP BY ALL)",
+        f"b0 AS (SELECT least(floor({MIX_SHARE}::DOUBLE * sum(tokens)::DOUBLE + 1e-9), sum(cap)::DOUBLE) AS budget FROM l)",
+    ]
+    for k in range(1, 4):
+        own, parent = ", ".join(names[:k]), names[: k - 1]
+        weight = "CASE " + " ".join(f"WHEN {' AND '.join(f'{n} = {v!r}' for n, v in zip(names, p, strict=False))} THEN {w}::DOUBLE" for p, w in MIX_WEIGHTS.items() if len(p) == k) + " ELSE 1::DOUBLE END" if k < 3 else "1::DOUBLE"
+        same = lambda a, b, p=parent: " AND ".join([f"{a}.{n} IS NOT DISTINCT FROM {b}.{n}" for n in p] or ["true"])
+        cols, by = "".join(f"{n}, " for n in parent), f"PARTITION BY {', '.join(parent)} " if parent else ""
+        ctes += [
+            f"n{k} AS (SELECT {own}, sum(cap)::BIGINT AS cap, {weight} AS w FROM l WHERE cap > 0 GROUP BY {own})",
+            f"k{k} AS (SELECT n.*, b.budget, n.cap::DOUBLE / n.w AS r FROM n{k} n JOIN b{k - 1} b ON {same('n', 'b')})",
+            f"g{k} AS (SELECT {cols}r, sum(cap)::BIGINT AS cap, sum(w) AS w, any_value(budget) AS budget FROM k{k} GROUP BY {cols}r)",
+            f"v{k} AS (SELECT {cols}r, (budget - coalesce(sum(cap) OVER ({by}ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / sum(w) OVER ({by}ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM g{k})",
+            f"w{k} AS (SELECT {cols}min_by(level, r) AS level FROM v{k} WHERE r > level GROUP BY {', '.join(parent) or 'ALL'})",
+            f"b{k} AS (SELECT {', '.join('k.' + n for n in names[:k])}, least(k.cap::DOUBLE, coalesce(w.level * k.w, k.cap::DOUBLE)) AS budget FROM k{k} k LEFT JOIN w{k} w ON {same('k', 'w')})",
+        ]
+    ctes += [
+        "e AS (SELECT l.*, md5(leaf) AS a, coalesce(budget, 0) AS budget FROM l LEFT JOIN b3 b ON " + " AND ".join(f"l.{n} IS NOT DISTINCT FROM b.{n}" for n in names) + ")",
+        "f AS (SELECT *, floor(budget)::BIGINT AS i, floor((budget - floor(budget)) * 1e9)::BIGINT AS p FROM e)",
+        "s AS (SELECT *, (sum(p) OVER (ORDER BY a, leaf ROWS UNBOUNDED PRECEDING) + 500000000)::BIGINT AS u FROM f)",
+        "q AS (SELECT leaf, tokens, least(cap, i + u // 1000000000 - (u - p) // 1000000000) AS take FROM s)",
+        "z AS (SELECT leaf, tokens, CASE WHEN tokens > 0 THEN take // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN take % tokens ELSE 0 END AS rest FROM q)",
+        "o AS (SELECT d.*, whole, rest, sum(n) OVER (PARTITION BY leaf ORDER BY md5('7/' || whole || '/' || key) ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN z USING (leaf) WHERE rest > 0)",
+        "c AS (SELECT doc_id, text, lang, source, e AS epoch, n, n AS taken FROM (SELECT d.*, unnest(range(whole)) AS e FROM d JOIN z USING (leaf)) UNION ALL SELECT doc_id, text, lang, source, whole, n, least(n, rest - upto + n) FROM o WHERE upto - n < rest)",
+    ]
+    cut = r"length(array_to_string(list_slice(regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+'), 1, taken), ''))"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, lang, source, epoch::INT AS epoch, taken::BIGINT AS n_tokens, (CASE WHEN taken < n THEN {cut} ELSE length(text) END)::BIGINT AS n_chars FROM c"
+
+
 SQL: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text IS NOT NULL),
 w AS (
   SELECT doc_id, k, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS s FROM l),
-c AS (SELECT s, len(s) AS n, min({'d': doc_id, 'k': k}) AS first, row_number() OVER () AS c FROM w WHERE len(s) >= 5 GROUP BY s),
+c AS (SELECT s, len(s) AS n, min({'d': doc_id, 'k': k}) AS first, row_number() OVER () AS c FROM w WHERE len(s) >= 1 GROUP BY s),
 t AS (SELECT c, n, first, unnest(s) AS t FROM c),
 f AS (SELECT t, count(*) AS f FROM t GROUP BY t),
 p AS (SELECT c, n, first, t, row_number() OVER (PARTITION BY c ORDER BY f, t) AS r FROM t JOIN f USING (t)),
@@ -176,6 +204,7 @@ s AS (
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_mixing": _mixing_sql(),
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, encode(coalesce(html, '')) AS b FROM pages),
 f AS (SELECT sha256(h) AS d, min(page_id) AS first FROM p WHERE octet_length(b) >= 100 GROUP BY 1)

@@ -28,9 +28,9 @@ def brute(rows):
     return out
 
 
-def check(spark, rows):
+def check(spark, rows, **kw):
     df = spark.createDataFrame([(*r, 0, 1) for r in rows], SCHEMA)
-    got = line_dedup.dedup_lines(df)
+    got = line_dedup.dedup_lines(df, **kw)
     assert got.columns == df.columns
     key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
     assert sorted(((r[0], r[1]) for r in got.collect()), key=key) == sorted(brute(rows), key=key)
@@ -78,3 +78,20 @@ def test_short_lines_are_matched(spark):
     check(spark, rows)
     got = dict(line_dedup.dedup_lines(spark.createDataFrame([(*r, 0, 1) for r in rows], SCHEMA)).select("doc_id", "text").collect())
     assert got == {1: rows[0][1], 2: "other\nkept", 3: "a b c d e f g\n\u4e2d\u6587\u6bb5\u843d\n\n", 4: "d c b\n - \n\n"}
+
+
+def test_frequent_words_are_posted_in_pairs(spark):
+    rng = random.Random(6)
+    vocab = [f"w{k}" for k in range(14)]
+    rows = [(d, "\n".join(" ".join(rng.choice(vocab) for _ in range(rng.choice([4, 5, 6, 9, 12]))) for _ in range(6))) for d in range(70)]
+    for hot in (1, 40, 100_000):
+        check(spark, rows, hot=hot)
+
+
+def test_clashing_columns(spark):
+    schema = "doc_id bigint, text string, _removed int, _hash string, _doc int, LINES_REMOVED int, doc int, line int"
+    line = "one two three four five"
+    df = spark.createDataFrame([(1, line, 1, "h", 2, 3, 4, 5), (2, f"{line}\nsix", 1, "h", 2, 3, 4, 5)], schema)
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, line, 1, "h", 2, 3, 4, 5), (2, "six", 1, "h", 2, 3, 4, 5)]
+    assert sorted(r.lines_removed for r in line_dedup.dedup_lines(df, details=True).collect()) == [0, 1]
