@@ -6,9 +6,11 @@ axis by axis. The sorted sequence is cut into blocks; two blocks are joined only
 within eps of each other, and inside a joined pair intervals are halved recursively, dropping halves whose boxes are
 farther apart, until leaves are compared in full: dot products of the original vectors in double precision.
 
-Vectors with equal components collapse first and count with their multiplicity, so copies cost one row. A block
-pair returns link counts by vector and a spanning forest of its links, never the links themselves: the forests have
-the links' components.
+Blocks that follow each other form groups, and two groups form a tile: a task gets each block of its tile once, holds
+one group and streams the other past it, so that a block travels once for each group that it may meet, not for each
+block. Vectors with equal components collapse first and count with their multiplicity, so copies cost one row. A tile
+returns link counts by vector and a spanning forest of its links, never the links themselves: the forests have the
+links' components.
 
 Null vectors, zero vectors, and those with a null or non-finite component or another length than the most common
 one link with nothing of another length: each length is joined on its own. Unusable vectors come back with no links,
@@ -18,8 +20,6 @@ with other vec_ids. A null vec_id takes no part. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,10 +31,11 @@ from loomery.runtime import Scratch, checked_broadcast, released
 DIMS = 6
 BLOCK = 4096
 LEAF = 512
-#: Block pairs are dealt to at most this many tasks.
-MAX_TASKS = 20_000
-#: Rows from which the axes are taken; any axes give exact results, they only decide how much is skipped.
+#: Bytes of vectors in a group of blocks at most, about.
+GROUP_BYTES = 32 << 20
+#: Rows and bytes from which the axes are taken at most; any axes give exact results, they only decide what is skipped.
 AXES_SAMPLE = 20_000
+AXES_BYTES = 32 << 20
 
 
 def usable(column: str = "embedding") -> F.Column:
@@ -58,8 +59,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near one, where squares could leave the range."""
+    most = np.abs(x).max(axis=1, initial=0.0)
+    if not len(x) or (most.max() < 1e100 and most.min() > 1e-100):
+        return x
+    return np.ldexp(x, -np.frexp(most)[1][:, None])
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of rows with rows in double precision: sums in order of the components, bounded by -1 and 1."""
+    a, b = _scaled(a), _scaled(b)
     dot, x, y = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for k in range(a.shape[1]):
         u, v = a[:, k], b[:, k]
@@ -87,22 +97,25 @@ def _projector(axes: np.ndarray, eps: float):
 
 
 def _blocks(axes: np.ndarray):
-    """Rows sorted within a partition, cut into blocks: ids, multiplicities, vectors and the box on the axes."""
+    """Rows sorted within a partition, cut into blocks: ids, multiplicities, vectors and the box on the axes.
+
+    Blocks are numbered along the whole sequence, since partitions hold ranges of it.
+    """
 
-    def made(parts):
+    def made(parts, seq):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         t = pa.Table.from_batches(parts)
         m = matrix(t["vec"])
         p = unit(m) @ axes
-        names = ["block", "n", "ids", "copies", "vectors", "low", "high"]
-        ids = t["rep"].to_numpy().astype(np.int64)
         one = lambda x: pa.array([x.tobytes()], pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([int.from_bytes(hashlib.md5(ids.tobytes() + m.tobytes()).digest()[:8], "little", signed=True)]), pa.array([len(ids)]), one(ids), one(t["copies"].to_numpy().astype(np.int64)), one(m), pa.array([p.min(axis=0)], pa.list_(pa.float64())), pa.array([p.max(axis=0)], pa.list_(pa.float64()))], names
-        )
+        columns = [pa.array([part], pa.int32()), pa.array([(part << 24) + seq]), one(t["rep"].to_numpy().astype(np.int64)), one(t["copies"].to_numpy().astype(np.int64)), one(m), pa.array([p.min(axis=0)], pa.list_(pa.float64())), pa.array([p.max(axis=0)], pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, ["part", "block", "ids", "copies", "vectors", "low", "high"])
 
     @released
     def run(batches):
-        held, n = [], 0
+        held, n, seq = [], 0, 0
         for batch in batches:
             while batch.num_rows:
                 part = batch.slice(0, BLOCK - n)
@@ -110,10 +123,10 @@ def _blocks(axes: np.ndarray):
                 n += part.num_rows
                 batch = batch.slice(part.num_rows)
                 if n == BLOCK:
-                    yield made(held)
-                    held, n = [], 0
+                    yield made(held, seq)
+                    held, n, seq = [], 0, seq + 1
         if held:
-            yield made(held)
+            yield made(held, seq)
 
     return run
 
@@ -146,32 +159,48 @@ def _joined(x, y, px, py, low: float, eps: float, self_: bool, i: int = 0, j: in
 
 
 def _matcher(axes: np.ndarray, threshold: float, eps: float):
+    """Link counts and forests of tiles, out of blocks sorted by tile, the held group's blocks first."""
     # rows scaled to length one carry rounding of a few ulps: what is this close is decided by the plain formula
     slack = 1e-9
 
+    class Block:
+        def __init__(self, r):
+            self.block, self.ids, self.copies = r["block"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64)
+            self.raw = np.frombuffer(r["vectors"], np.float64).reshape(len(self.ids), -1)
+            self.unit = unit(self.raw)
+            self.axes = self.unit @ axes
+
+    def pair(x: Block, y: Block):
+        self_ = x.block == y.block
+        shift = 0 if self_ else len(x.ids)
+        a_, b_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b in _joined(x.unit, y.unit, x.axes, y.axes, threshold - slack, eps + slack, self_):
+            keep = cosines(x.raw[a], y.raw[b]) >= threshold
+            a_.append(a[keep])
+            b_.append(b[keep])
+        a, b = np.concatenate(a_), np.concatenate(b_)
+        if not len(a):
+            return
+        nodes = x.ids if self_ else np.concatenate([x.ids, y.ids])
+        copies = x.copies if self_ else np.concatenate([x.copies, y.copies])
+        links = np.bincount(a, weights=copies[b + shift], minlength=len(nodes)) + np.bincount(b + shift, weights=copies[a], minlength=len(nodes))
+        root = smallest_reachable(len(nodes), a, b + shift)
+        hit = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(links[hit].astype(np.int64)), pa.array(nodes[root[hit]])], ["rep", "links", "root"])
+
     @released
     def run(batches):
+        tile, held = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                ids = [np.frombuffer(r[f"{s}ids"], np.int64) for s in "xy"]
-                mult = [np.frombuffer(r[f"{s}copies"], np.int64) for s in "xy"]
-                raw = [np.frombuffer(r[f"{s}vectors"], np.float64).reshape(len(i), -1) for s, i in zip("xy", ids, strict=True)]
-                u = [unit(m) for m in raw]
-                p = [m @ axes for m in u]
-                self_ = r["xblock"] == r["yblock"]
-                shift = 0 if self_ else len(ids[0])
-                a_, b_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for a, b in _joined(u[0], u[1], p[0], p[1], threshold - slack, eps + slack, self_):
-                    keep = cosines(raw[0][a], raw[1][b]) >= threshold
-                    a_.append(a[keep])
-                    b_.append(b[keep])
-                a, b = np.concatenate(a_), np.concatenate(b_)
-                nodes = ids[0] if self_ else np.concatenate(ids)
-                copies = mult[0] if self_ else np.concatenate(mult)
-                links = np.bincount(a, weights=copies[b + shift], minlength=len(nodes)) + np.bincount(b + shift, weights=copies[a], minlength=len(nodes))
-                root = smallest_reachable(len(nodes), a, b + shift)
-                hit = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(links[hit].astype(np.int64)), pa.array(nodes[root[hit]])], ["rep", "links", "root"])
+                if (r["x"], r["y"]) != tile:
+                    tile, held = (r["x"], r["y"]), []
+                block = Block(r)
+                if r["own"]:
+                    held.append(block)
+                for other in held:
+                    # in a tile of one group with itself each block meets those held before it and itself
+                    yield from pair(other, block) if not r["own"] or r["x"] == r["y"] else ()
 
     return run
 
@@ -203,6 +232,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         own = own.join(checked_broadcast(counts), "rep", "left").groupBy("vec_id").agg(F.sum(F.col("links") + F.coalesce("more", F.lit(0))).alias("n_links"))
         own = own.join(checked_broadcast(comp), own["vec_id"] == comp["node"], "left").select("vec_id", "n_links", "component")
         own = scratch.keep(own, "own")
+        scratch.keep_only(src, own)
         out = src.select("vec_id").join(checked_broadcast(own), "vec_id", "left")
     else:
         out = src.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component"))
@@ -212,30 +242,35 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 def _one_length(scratch: Scratch, classes: DataFrame, threshold: float, eps: float) -> DataFrame:
     """rep, links, root of vectors that all have the same length."""
-    n = classes.count()
-    sample = classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(min(1.0, AXES_SAMPLE / n) * (1 << 20)) + 1).select("vec").limit(2 * AXES_SAMPLE).toArrow()
+    facts = classes.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    n, wide = facts["n"], 8 * facts["dim"]
+    few = max(2, min(AXES_SAMPLE, AXES_BYTES // wide))
+    sample = classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(min(1.0, few / n) * (1 << 20)) + 1).select("vec").limit(2 * few).toArrow()
     rows = unit(matrix(sample["vec"])) if sample.num_rows else np.zeros((0, 1))
-    axes = axes_of(rows) if len(rows) > 1 else np.eye(classes.select(F.size("vec")).first()[0])[:, :DIMS]
+    axes = axes_of(rows) if len(rows) > 1 else np.eye(facts["dim"])[:, :DIMS]
     dims = axes.shape[1]
     placed = classes.select("rep", "copies", "vec").mapInArrow(_projector(axes, eps), "rep bigint, copies bigint, vec array<double>, cells array<int>")
     order = [F.col("cells")[k] for k in range(dims)]
-    ranges = max(1, -(-n // (4 * BLOCK)))
     placed = scratch.keep(placed, "placed")
+    # two blocks a range, and ranges that follow each other make a group
+    ranges = max(1, -(-n // (2 * BLOCK)))
     blocks = placed.repartitionByRange(ranges, *order, "rep").sortWithinPartitions(*order, "rep").select("rep", "copies", "vec")
-    blocks = scratch.keep(blocks.mapInArrow(_blocks(axes), "block bigint, n bigint, ids binary, copies binary, vectors binary, low array<double>, high array<double>"), "blocks")
+    blocks = scratch.keep(blocks.mapInArrow(_blocks(axes), "part int, block bigint, ids binary, copies binary, vectors binary, low array<double>, high array<double>"), "blocks")
     # boxes that may touch share a cell on the first axis, once one side is widened by a cell
     cell = lambda c, by: F.sequence(F.floor(F.col(c)[0] / eps) - by, F.floor(F.col("high" if c == "low" else c)[0] / eps) + by)
-    boxes = blocks.select("block", "n", "low", "high")
-    x = boxes.select(F.col("block").alias("xblock"), F.col("n").alias("xn"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.explode(cell("low", 1)).alias("cell"))
-    y = boxes.select(F.col("block").alias("yblock"), F.col("n").alias("yn"), F.col("low").alias("yl"), F.col("high").alias("yh"), F.explode(cell("low", 0)).alias("cell"))
+    boxes = blocks.select("part", "block", "low", "high")
+    x = boxes.select(F.col("part").alias("x"), F.col("block").alias("xblock"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.explode(cell("low", 1)).alias("cell"))
+    y = boxes.select(F.col("part").alias("y"), F.col("block").alias("yblock"), F.col("low").alias("yl"), F.col("high").alias("yh"), F.explode(cell("low", 0)).alias("cell"))
     gap = F.aggregate(F.arrays_zip("xl", "xh", "yl", "yh"), F.lit(0.0), lambda s, d: s + F.pow(F.greatest(F.lit(0.0), d["xl"] - d["yh"], d["yl"] - d["xh"]), 2))
-    pairs = x.join(y, "cell").where("xblock <= yblock").where(gap <= (eps + 1e-9) ** 2).select("xblock", "yblock", "xn", "yn").distinct()
-    pairs = scratch.keep(pairs, "pairs")
-    side = lambda s: blocks.select(*[F.col(c).alias(f"{s}{c}") for c in ("block", "ids", "copies", "vectors")])
-    # a task gets about as many comparisons as one pair of full blocks has
-    work = pairs.agg(F.sum(F.col("xn") * F.col("yn"))).first()[0] or 0
-    tasks = max(1, -(-work // (BLOCK * BLOCK)))
-    both = pairs.drop("xn", "yn").join(side("x"), "xblock").join(side("y"), "yblock").repartition(min(tasks, MAX_TASKS), "xblock", "yblock")
-    return both.mapInArrow(_matcher(axes, threshold, eps), "rep bigint, links bigint, root bigint")
-
-
+    pairs = scratch.keep(x.join(y, "cell").where("xblock <= yblock").where(gap <= (eps + 1e-9) ** 2).groupBy("x", "y").agg(F.count_distinct("xblock", "yblock").alias("n")), "pairs")
+    # groups as large as leaves every core some tiles, within their bound of memory
+    meets = pairs.agg(F.sum("n")).first()[0] or 0
+    cores = max(1, scratch.spark.sparkContext.defaultParallelism)
+    side = max(1, min(int((meets / (4 * cores)) ** 0.5) // 2, GROUP_BYTES // (2 * BLOCK * wide)))
+    group = lambda c: F.floor(F.col(c) / side).cast("int").alias(c)
+    tiles = scratch.keep(pairs.select(group("x"), group("y")).distinct(), "tiles")
+    grouped = blocks.withColumn("group", F.floor(F.col("part") / side).cast("int")).select("group", "block", "ids", "copies", "vectors")
+    own = tiles.join(grouped, F.col("x") == F.col("group")).withColumn("own", F.lit(1))
+    met = tiles.where("x <> y").join(grouped, F.col("y") == F.col("group")).withColumn("own", F.lit(0))
+    both = own.unionByName(met).select("x", "y", "own", "block", "ids", "copies", "vectors")
+    return both.repartition("x", "y").sortWithinPartitions("x", "y", F.desc("own"), "block").mapInArrow(_matcher(axes, threshold, eps), "rep bigint, links bigint, root bigint")

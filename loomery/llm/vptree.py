@@ -5,13 +5,14 @@ dealt to shards by a hash; each shard's tree halves its rows by the median dista
 descends to the nearer half first and enters the other half only if the triangle inequality allows a distance below
 the query's k-th best so far times ``factor``: with factor 1 the search is exact, smaller factors skip more.
 Leaves, and vantage points on the way, are scored by the stated measure on the original vectors in double precision.
-The index (every usable row) is a written table that later searches can reuse; blocks of queries meet it shard by
-shard, and each pair of block and shard yields at most k rows a query.
+The index (every usable row) is a written table that later searches can reuse. Queries are cut into tiles and shards
+into groups; a task holds a tile and streams a group's shards past it, so a shard travels once for each tile and a tile
+once for each group, and a tile yields at most k rows a query from each shard.
 
 Null vectors, zero vectors and those with a null or non-finite component take no part, neither do null vec_ids.
 Vectors of another length than the query are no candidates. Equal scores go to the smaller vec_id. Rows that repeat
 a vec_id are candidates each, but none is a candidate for its own id, and a result names an id once, by its best row.
-Other columns are ignored.
+Of several vectors of one query id the first in order of components asks. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomery.llm.embed_dedup import cosines, matrix, unit, usable
-from loomery.runtime import Scratch
+from loomery.runtime import Scratch, checked_broadcast
 
 SHARD = 8192
 LEAF = 256
-QUERY_BLOCK = 1024
+#: Bytes of a tile of queries and of a group of shards, about.
+TILE_BYTES = 16 << 20
+GROUP_BYTES = 32 << 20
 _INDEX = "shard int, dim int, ids binary, vectors binary, nodes binary, radii binary"
 
 
@@ -60,15 +63,23 @@ def build(x: np.ndarray, seed: int = 17) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, np.array(nodes, dtype=np.int64), np.array(radii)
 
 
+def _packed(row: pa.RecordBatch, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of ids and of vectors of a batch of one row, as arrays."""
+    flat = row.column(vectors).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    who = row.column(ids).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return who, flat.reshape(len(who), -1)
+
+
 def _indexer(batches):
     for batch in batches:
-        for r in batch.to_pylist():
-            ids, x = np.array(r["ids"], dtype=np.int64), np.array(r["vecs"], dtype=np.float64)
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            ids, x = _packed(row, "ids", "vecs")
             by = np.lexsort((*x.T[::-1], ids))
             ids, x = ids[by], x[by]
             order, nodes, radii = build(unit(x))
             one = lambda v: pa.array([v.tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r["shard"]], pa.int32()), pa.array([r["dim"]], pa.int32()), one(ids[order]), one(x[order]), one(nodes), one(radii)], ["shard", "dim", "ids", "vectors", "nodes", "radii"])
+            yield pa.RecordBatch.from_arrays([row.column("shard"), row.column("dim"), one(ids[order]), one(x[order]), one(nodes), one(radii)], ["shard", "dim", "ids", "vectors", "nodes", "radii"])
 
 
 #: Room for the error of distances: where 2 - 2 * dot nearly cancels, its root is off by some 1e-8.
@@ -133,14 +144,19 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, nod
 
 
 def _searcher(k: int, factor: float):
+    """The best rows of each shard for the tile before it, out of rows sorted by tile, the tile's own row first."""
+
     def run(batches):
+        q_ids, q = None, None
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                if row.column("q_ids")[0].is_valid:
+                    q_ids, q = _packed(row, "q_ids", "q_vecs")
+                    continue
+                r = row.select(["ids", "vectors", "nodes", "radii"]).to_pylist()[0]
                 ids, nodes, radii = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["nodes"], np.int64).reshape(-1, 4), np.frombuffer(r["radii"], np.float64)
-                x = np.frombuffer(r["vectors"], np.float64).reshape(len(ids), -1)
-                q_ids = np.array(r["q_ids"], dtype=np.int64)
-                q = np.array(r["q_vecs"], dtype=np.float64)
-                best, who = search(q, q_ids, x, ids, nodes, radii, k, factor)
+                best, who = search(q, q_ids, np.frombuffer(r["vectors"], np.float64).reshape(len(ids), -1), ids, nodes, radii, k, factor)
                 a, b = np.nonzero(best > -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(who[a, b]), pa.array(best[a, b])], ["query_id", "vec_id", "score"])
 
@@ -166,15 +182,21 @@ def _usable(vectors: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, index: DataFrame, k: int = 5, factor: float = 1.0) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows of the index other than its own id."""
     scratch = Scratch(queries.sparkSession, "nearest")
-    q = _usable(queries).dropDuplicates(["vec_id"])
-    q = scratch.keep(q, "queries")
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    packed = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block", "dim").agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("vec").alias("q_vecs"))
-    packed = scratch.keep(packed, "blocks")
-    # every block meets every shard of its length once: the stated query set against all rows
-    pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, ["block", "dim"])
-    tasks = max(1, index.count() * blocks)
-    found = pairs.repartition(min(tasks, 20_000), "block", "shard").mapInArrow(_searcher(k, factor), "query_id bigint, vec_id bigint, score double")
+    # of several vectors of one query id the first in order of components asks
+    q = scratch.keep(_usable(queries).groupBy("vec_id", "dim").agg(F.min("vec").alias("vec")).groupBy("vec_id").agg(F.min(F.struct("vec", "dim")).alias("q")).select("vec_id", "q.*"), "queries")
+    bytes_ = q.agg(F.sum(F.col("dim").cast("bigint") * 8)).first()[0] or 0
+    tiles = max(1, -(-bytes_ // TILE_BYTES))
+    packed = q.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")).groupBy("tile", "dim").agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("vec").alias("q_vecs"))
+    packed = scratch.keep(packed, "tiles")
+    # groups as large as leaves every core some, within their bound
+    cores = max(1, queries.sparkSession.sparkContext.defaultParallelism)
+    sizes = index.agg(F.count("*").alias("shards"), F.sum(F.octet_length("vectors").cast("bigint")).alias("bytes")).first()
+    groups = max(1, min(sizes["shards"] or 1, max(-(-(sizes["bytes"] or 0) // GROUP_BYTES), -(-2 * cores // tiles))))
+    # every tile meets every shard of its length once: the stated query set against all rows
+    asked = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("tile", "group", "dim", F.lit(-1).alias("shard"), "q_ids", "q_vecs", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "vectors", "nodes", "radii")])
+    met = index.join(checked_broadcast(packed.select("tile", "dim")), "dim").select("tile", F.pmod("shard", F.lit(groups)).alias("group"), "dim", "shard", F.lit(None).cast("array<bigint>").alias("q_ids"), F.lit(None).cast("array<array<double>>").alias("q_vecs"), "ids", "vectors", "nodes", "radii")
+    dealt = asked.unionByName(met).repartition("tile", "group", "dim").sortWithinPartitions("tile", "group", "dim", "shard")
+    found = dealt.mapInArrow(_searcher(k, factor), "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

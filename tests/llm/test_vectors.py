@@ -32,7 +32,9 @@ def cosine(a, b):
 def test_links_equal_brute_force(spark, monkeypatch, block, leaf):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
     monkeypatch.setattr(embed_dedup, "LEAF", leaf)
-    rows = [r for r in made() if r[0] is None or r[0] not in {r2[0] for r2 in made() if [x[0] for x in made()].count(r2[0]) > 1}]
+    rows = made()
+    ids = [r[0] for r in rows]
+    rows = [r for r in rows if r[0] is None or ids.count(r[0]) == 1]
     ok = {r[0]: r[1] for r in rows if r[0] is not None and fine(r[1])}
     links = {i: {j for j in ok if j != i and len(ok[i]) == len(ok[j]) and cosine(ok[i], ok[j]) >= 0.9} for i in ok}
     comp = {}
@@ -100,3 +102,29 @@ def test_copies_in_both_halves():
     ids = np.arange(n)[::-1].copy()
     best, who = vptree.search(x[:2], np.array([n, 1]), x[order], ids, nodes, radii, 5, 1.0)
     assert (best == 1).all() and who.tolist() == [[0, 1, 2, 3, 4], [0, 2, 3, 4, 5]]
+
+
+def test_extreme_norms(spark):
+    rows = [(1, [1e160, 0.0]), (2, [1e160, 1e150]), (3, [-1e-170, 0.0]), (4, [-1e-170, 1e-190]), (5, [0.0, 1.0]), (6, [0.0, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5)}
+    best = {r.query_id: (r.vec_id, r.score) for r in vptree.nearest(df, vptree.build_index(df), 1).collect()}
+    assert best == {1: (2, 1.0), 2: (1, 1.0), 3: (4, 1.0), 4: (3, 1.0), 5: (6, 1.0), 6: (5, 1.0)}
+
+
+def test_repeated_query_ids_ask_once(spark):
+    rows = [(0, [3.0, 1.0]), (0, [1.0, 3.0]), (0, [1.0, 3.0]), (1, [1.0, 2.9]), (2, [3.0, 1.1]), (0, [1.0, 3.0, 0.0]), (3, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    for n in (1, 4):
+        got = vptree.nearest(df.where("vec_id = 0").repartition(n), vptree.build_index(df), 1).collect()
+        assert [(r.query_id, r.vec_id) for r in got] == [(0, 1)]
+
+
+def test_tiles_of_queries_meet_all_shards(spark, monkeypatch):
+    rows = [(k, v.tolist()) for k, v in enumerate(np.random.default_rng(3).normal(size=(300, 4)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = sorted(map(tuple, vptree.nearest(df, vptree.build_index(df), 3).collect()))
+    monkeypatch.setattr(vptree, "TILE_BYTES", 1000)
+    monkeypatch.setattr(vptree, "GROUP_BYTES", 1500)
+    assert sorted(map(tuple, vptree.nearest(df, vptree.build_index(df, shard_rows=20), 3).collect())) == want
