@@ -1,18 +1,21 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are sorted by (page_id, url, html), null ids last, and dealt to shards at fixed page_ids that come from a
-hash sample of bounded size, so the same rows always give the same shards however Spark deals its tasks. Each task
-writes its shard in order, a gzip member for each record, and rolls to the next file when the compressed size passes
-``roll_bytes``. Files get their final names by renaming once complete, and hold the same bytes on every attempt
-(record ids derive from content and place, dates are a parameter), so a lost executor's shard is simply written
-again. A manifest, written last and under a temporary name first, names the files that count.
+Records are sorted by (page_id, url, payload digest), null ids last, and dealt to shards at fixed places of that order.
+The places come from a hash sample of bounded size, weighed by bytes so that shards are about equally large, whatever
+the pages' sizes and however many rows share an id; the same rows always give the same shards however Spark deals its
+tasks. Each task writes its shard in order, a gzip member for each record, and rolls to the next file when the
+compressed size passes ``roll_bytes``. Files get their final names by renaming once complete, and hold the same bytes on
+every attempt (record ids derive from content and place, dates are a parameter), so a lost executor's shard is simply
+written again. A manifest, written last and under a temporary name first, names the files that count; what failed
+attempts left is removed.
 
 Of records with equal payloads of at least ``min_dedup`` bytes the first is a response and the others are revisits
 that refer to it; smaller payloads are all responses. The payload is the html in UTF-8 (null: empty); a response
 block is an HTTP response with regenerated headers, digests are SHA-256.
 
 Null url counts as empty. Rows that repeat a page_id get records each; among repeated rows with one payload the first
-in order is the response. Empty tables give a manifest without files. Other columns are ignored.
+in order is the response. Rows equal in id, url and payload lie in one shard, which streams them. Empty tables give a
+manifest without files. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import re
 import uuid
 import zlib
 from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -33,9 +37,10 @@ from loomery.runtime import Scratch, checked_broadcast
 
 MIN_DEDUP = 100
 ROLL_BYTES = 64 << 20
-#: Compressed input aimed at in a shard, in rows' payload bytes.
-SHARD_BYTES = 32 << 20
-#: Most ids sampled to place shard borders.
+#: Payload bytes aimed at in a shard, and most shards: beyond, shards are larger and roll to more files.
+SHARD_BYTES = 12 << 20
+MAX_SHARDS = 5_000
+#: Rows sampled to place shard borders, about.
 SAMPLE = 100_000
 DATE = "2024-01-01T00:00:00Z"
 _FILES = "shard int, seq int, name string, bytes bigint, records bigint, sha256 string"
@@ -48,21 +53,21 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def record_id(page_id: int | None, turn: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAME, f'{page_id}/{turn}')}>"
+def record_id(page_id: int | None, url: str, digest: str, nth: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAME, f'{page_id}/{digest}/{nth}/{url}')}>"
 
 
-def _record(kind: str, page_id: int | None, turn: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _record(kind: str, page_id: int | None, nth: int, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, turn)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url, digest, nth)}", f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + re.sub(r"[\r\n]+", " ", url), f"X-Page-ID: {'' if page_id is None else page_id}",
         "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"X-Payload-Length: {len(payload)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}", f"WARC-Refers-To: {record_id(refers_to, 0)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}", f"WARC-Refers-To: {record_id(refers_to, refers_url, digest, 1)}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -73,7 +78,7 @@ def _writer(root: str, roll_bytes: int):
         made: list[tuple] = []
         out = temp = None
         shard = seq = size = n = 0
-        digest, last, turn = None, None, 0
+        digest, last, nth = None, None, 0
 
         def close():
             nonlocal out
@@ -81,6 +86,9 @@ def _writer(root: str, roll_bytes: int):
                 return
             out.close()
             name = f"shard-{shard:06d}-{seq:04d}.warc.gz"
+            # a former attempt may have left the same file; not every file system renames onto one
+            if fs.get_file_info(f"{base}/{name}").is_file:
+                fs.delete_file(f"{base}/{name}")
             fs.move(temp, f"{base}/{name}")
             made.append((shard, seq, name, size, n, digest.hexdigest()))
             out = None
@@ -96,13 +104,13 @@ def _writer(root: str, roll_bytes: int):
                     shard = r["shard"]
                     temp = f"{base}/.{shard:06d}-{seq:04d}-{uuid.uuid4().hex}.tmp"
                     out, size, n, digest = fs.open_output_stream(temp), 0, 0, hashlib.sha256()
-                payload = (r["html"] or "").encode()
-                turn = turn + 1 if (r["page_id"],) == last else 0
-                last = (r["page_id"],)
-                # one response for each payload: the first record in order that holds the smallest id
-                revisit = r["dedup"] and not (r["first_id"] == r["page_id"] and r["nth"] == 1)
+                payload, own = (r["html"] or "").encode(), (r["page_id"], r["url"], r["digest"])
+                nth = nth + 1 if own == last else 1
+                last = own
+                # one response for each payload: its first record in order
+                revisit = r["dedup"] and not (nth == 1 and (r["first_id"], r["first_url"]) == own[:2])
                 kind = "revisit" if revisit else "response"
-                member = gzip.compress(_record(kind, r["page_id"], turn, r["url"] or "", payload, r["digest"], r["first_id"] if revisit else None), 6, mtime=0)
+                member = gzip.compress(_record(kind, r["page_id"], nth, r["url"], payload, r["digest"], r["first_id"] if revisit else None, r["first_url"] or ""), 6, mtime=0)
                 out.write(member)
                 digest.update(member)
                 size += len(member)
@@ -119,24 +127,34 @@ def write(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES, min_dedup:
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    keyed = p.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256)).withColumn("size", F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint"))
-    facts = scratch.keep(keyed.select("page_id", "digest", "size"), "facts")
-    # payloads that more than one row holds: a smallest id each; min() combines before the shuffle
-    shared = facts.where(F.col("size") >= min_dedup).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1").select("digest", "first_id", F.lit(True).alias("shared"))
-    shared = scratch.keep(shared, "shared")
-    total = facts.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.count("page_id").alias("ids")).first()
-    shards = max(1, -(-(total["bytes"] or 0) // shard_bytes))
-    part = max(1, -(-total["ids"] // SAMPLE))
-    sample = sorted(r[0] for r in facts.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(part)) == 0)).select("page_id").limit(4 * SAMPLE).collect())
-    borders = sorted({sample[len(sample) * k // shards] for k in range(1, shards)}) if sample else []
+    keyed = p.withColumn("url", F.coalesce("url", F.lit(""))).withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256)).withColumn("size", F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint"))
+    facts = scratch.keep(keyed.select("page_id", "url", "digest", "size"), "facts")
+    # payloads that more than one row holds: their first record; min() combines before the shuffle
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url"))
+    shared = facts.where(F.col("size") >= min_dedup).groupBy("digest").agg(first.alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    shared = scratch.keep(shared.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.lit(True).alias("shared")), "shared")
+    total = facts.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    shards = max(1, min(MAX_SHARDS, -(-(total["bytes"] or 0) // shard_bytes)))
+    part = max(1, -(-total["n"] // SAMPLE))
+    # borders lie at equal shares of the sampled bytes; ids, digests and the first 200 characters of urls come to the driver
+    place = lambda i, url, digest: (i is None, i or 0, url[:200], digest)
+    sample = facts.where(F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(part)) == 0).groupBy("page_id", F.substring("url", 1, 200).alias("url"), "digest").agg(F.sum("size").alias("size")).limit(4 * SAMPLE).collect()
+    sample = sorted((place(r["page_id"], r["url"], r["digest"]), r["size"] + 512) for r in sample)
+    upto, borders = list(accumulate(x[1] for x in sample)), []
+    for k in range(1, shards if sample else 1):
+        border = sample[bisect_right(upto, upto[-1] * k // shards)][0]
+        if not borders or border > borders[-1]:
+            borders.append(border)
 
     @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda i: len(borders) if pd.isna(i) else bisect_right(borders, int(i))).astype("int32")
+    def shard_of(ids: pd.Series, urls: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(borders, (i is None, i or 0, u[:200], d)) for i, u, d in zip((None if pd.isna(i) else int(i) for i in ids), urls, digests, strict=True)], dtype="int32")
 
     rows = keyed.join(checked_broadcast(shared), "digest", "left").withColumn("dedup", F.col("shared").isNotNull())
-    rows = rows.withColumn("shard", shard_of("page_id")).repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_first(), F.col("html").asc_nulls_first())
-    files = rows.select("shard", "page_id", "url", "html", "digest", "dedup", "first_id").mapInArrow(_numbered(_writer(root, roll_bytes)), _FILES)
+    # ids above 2**53 must not pass through floats, which is what a null among them makes of a series
+    rows = rows.withColumn("shard", shard_of(F.col("page_id").cast("string"), "url", "digest")).repartitionById(len(borders) + 1, F.col("shard"))
+    rows = rows.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), F.substring("url", 1, 200), "digest", "url")
+    files = rows.select("shard", "page_id", "url", "html", "digest", "dedup", "first_id", "first_url").mapInArrow(_writer(root, roll_bytes), _FILES)
     fs, base = _fs(root)
     fs.create_dir(base, recursive=True)
     files.write.mode("overwrite").parquet(f"{root}/.manifest.tmp")
@@ -145,29 +163,12 @@ def write(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES, min_dedup:
     hfs = path(root).getFileSystem(conf)
     hfs.delete(path(f"{root}/manifest.parquet"), True)
     hfs.rename(path(f"{root}/.manifest.tmp"), path(f"{root}/manifest.parquet"))
+    for left in hfs.globStatus(path(f"{root}/.*.tmp")):
+        hfs.delete(left.getPath(), False)
+    scratch.keep_only()
     return f"{root}/manifest.parquet"
 
 
-def _numbered(inner):
-    """Adds nth: which of the rows in a run of one page_id with one payload this is, from 1 (the rows are sorted)."""
-
-    def run(batches):
-        def counted():
-            page, seen = object(), {}
-            for batch in batches:
-                nth = []
-                for i, d in zip(batch.column("page_id").to_pylist(), batch.column("digest").to_pylist(), strict=True):
-                    if i != page:
-                        page, seen = i, {}
-                    seen[d] = seen.get(d, 0) + 1
-                    nth.append(seen[d])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth, pa.int64())], [*batch.schema.names, "nth"])
-
-        yield from inner(counted())
-
-    return run
-
-
 def _members(data):
     """The gzip members of a stream, decompressed one by one."""
     rest = b""

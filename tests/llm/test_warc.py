@@ -46,3 +46,28 @@ def test_deterministic_and_committed(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert run(spark, [], tmp_path / "e").count() == 0
+
+
+def test_shards_are_even_in_bytes(spark, tmp_path):
+    # one id holds half of the rows, and pages of the last tenth of the ids hold most of the bytes
+    rows = [(5, f"http://h/{k}", f"{k} " * 50) for k in range(300)] + [(k, "u", f"{k} " * (2000 if k > 270 else 20)) for k in range(10, 310)]
+    got = run(spark, rows, tmp_path / "a", shard_bytes=20_000)
+    assert got.count() == len(rows)
+    files = spark.read.parquet(f"file://{tmp_path / 'a'}/manifest.parquet").collect()
+    assert len(files) > 10
+    per = {}
+    for r in got.select("page_id", "payload_bytes").collect():
+        per[r.page_id] = per.get(r.page_id, 0) + r.payload_bytes
+    total = sum(per.values())
+    import re
+
+    sizes = [sum(int(x) for x in re.findall(rb"X-Payload-Length: (\d+)", b"".join(warc._members(open(tmp_path / "a" / f.name, "rb"))))) for f in files]  # noqa: SIM115
+    assert sum(sizes) == total and max(sizes) < 3 * total / len(files)
+
+
+def test_a_second_write_replaces_the_first(spark, tmp_path):
+    rows = pages()
+    first = sorted(map(str, run(spark, rows, tmp_path / "a", shard_bytes=8000).collect()))
+    (tmp_path / "a" / ".000001-0000-dead.tmp").write_bytes(b"x")
+    assert sorted(map(str, run(spark, rows, tmp_path / "a", shard_bytes=8000).collect())) == first
+    assert not list(tmp_path.glob("a/.*.tmp"))
