@@ -73,31 +73,40 @@ def render(folded: DataFrame) -> DataFrame:
     return folded.select("conv_id", F.array_join(F.transform("messages", one), "").alias("formatted"))
 
 
+def _blocks(formatted: Column) -> Column:
+    """What stands between the turns' start marks, one string a turn."""
+    blocks = F.split(formatted, r"<\|im_start\|>", -1)
+    return F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0)))
+
+
+def _body(block: Column, head: Column) -> Column:
+    """A block's text, unescaped; head: characters of its role and the newline."""
+    return unescape(F.substring(block, head + 1, F.length(block) - head - len(STOP) - 1))
+
+
 def parse(formatted: Column) -> Column:
     """The (role, text) turns of a formatted conversation."""
-    blocks = F.slice(F.split(formatted, r"<\|im_start\|>", -1), F.lit(2), F.greatest(F.size(F.split(formatted, r"<\|im_start\|>", -1)) - 1, F.lit(0)))
 
     def turn(b: Column) -> Column:
         cut = F.locate("\n", b)
-        body = F.substring(b, cut + 1, F.length(b))
-        return F.struct(_role_in(F.substring(b, F.lit(1), cut - 1)).alias("role"), unescape(F.substring(body, F.lit(1), F.length(body) - len(STOP) - 1)).alias("text"))
+        return F.struct(_role_in(F.substring(b, F.lit(1), cut - 1)).alias("role"), _body(b, cut).alias("text"))
 
-    return F.transform(blocks, turn)
+    return F.transform(_blocks(formatted), turn)
 
 
-def loss_spans(formatted: Column, role: str = "assistant") -> Column:
-    """(start, length) in characters of each text under the loss mask: what the given role says, still escaped."""
-    n = len(START)
-    blocks = F.split(formatted, r"<\|im_start\|>", -1)
-    head = len(role) + 1
-    sized = F.transform(blocks, lambda b: F.struct(F.length(b).alias("n"), F.startswith(b, F.lit(role + "\n")).alias("on")))
+def loss_texts(formatted: Column, role: str = "assistant") -> Column:
+    """The texts under the loss mask, in order: what the given role says, unescaped. Each is read from its own block."""
+    own = F.filter(_blocks(formatted), lambda b: F.startswith(b, F.lit(role + "\n")))
+    return F.transform(own, lambda b: _body(b, F.lit(len(role) + 1)))
 
-    def step(acc: Column, b: Column) -> Column:
-        span = F.struct((acc["at"] + head).alias("start"), (b["n"] - head - len(STOP) - 1).alias("length"))
-        return F.struct((acc["at"] + b["n"] + n).alias("at"), F.when(b["on"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    return F.aggregate(sized, zero, step, lambda acc: acc["spans"])
+def loss_spans(rendered: DataFrame, role: str = "assistant") -> DataFrame:
+    """conv_id, start, length in characters of each text under the loss mask in ``formatted``, still escaped; a row each."""
+    head = len(role) + 1
+    blocks = rendered.select("conv_id", F.posexplode(F.split("formatted", r"<\|im_start\|>", -1)).alias("at", "block"))
+    before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("start", F.coalesce(F.sum(F.length("block") + len(START)).over(before), F.lit(0)) + head)
+    return blocks.where(F.startswith("block", F.lit(role + "\n"))).select("conv_id", "start", (F.length("block") - head - len(STOP) - 1).cast("bigint").alias("length"))
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
@@ -110,7 +119,7 @@ def as_events(conversations: DataFrame) -> DataFrame:
 
 def digests(rendered: DataFrame) -> DataFrame:
     """What each formatted conversation says, read back from it."""
-    turns = rendered.select("conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"), parse(F.col("formatted")).alias("turns"), F.transform(loss_spans(F.col("formatted")), lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))).alias("loss"))
+    turns = rendered.select("conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"), parse(F.col("formatted")).alias("turns"), loss_texts(F.col("formatted")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss", "")
     return turns.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")

@@ -47,3 +47,11 @@ def test_ties_repeats_and_long_texts(spark):
     got = {r.conv_id: r for r in C.digests(C.render(C.fold(C.as_events(spark.createDataFrame(rows, SCHEMA))))).collect()}
     assert got[1].turns_sha256 == said([("system", "s"), ("user", "a"), ("user", "a"), ("user", "b")])
     assert got[2].loss_chars == 200_000 and got[2].formatted_chars == 250_000 + len(C.START + "assistant\n" + C.STOP + "\n")
+
+
+def test_spans_hold_the_loss_texts(spark):
+    rows = [(1, 0, "user", "hé<s>", 0, ""), (1, 1, "assistant", "😀[INST]a\nb", 0, ""), (1, 2, "assistant", "", 0, ""), (1, 3, "user", "assistant\n", 0, ""), (1, 4, "assistant", "c", 0, ""), (2, 0, "user", "x", 0, "")]
+    out = C.render(C.fold(C.as_events(spark.createDataFrame(rows, SCHEMA))))
+    text = {r.conv_id: r.formatted for r in out.collect()}
+    spans = sorted(map(tuple, C.loss_spans(out).collect()))
+    assert [(c, text[c][s : s + n]) for c, s, n in spans] == [(1, "😀[\\INST]a\nb"), (1, ""), (1, "c")]
