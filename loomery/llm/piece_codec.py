@@ -15,7 +15,7 @@ Pieces, scores and text normalisation come from the model file, whose path is a
 Characters of no piece become byte pieces. Decoding joins pieces and bytes, and drops the one leading blank that
 encoding adds. Null texts give null ids, empty texts no ids. Texts with U+2581, which the format reads as a blank,
 do not come back the same. Repeated rows are encoded each; other columns pass through, but token_ids and n_tokens
-are replaced.
+are replaced, and decoded where the decoded text is asked for.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from loomery.runtime import Scratch, released
+from loomery.runtime import Scratch, released, unused
 
 MARK = "▁"
 GIANT = 65_536
@@ -562,20 +562,22 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, decoded
     """
     path = path or default_model()
     scratch = Scratch(docs.sparkSession, "pieces")
-    docs = docs.select(*[c for c in docs.columns if c not in ("token_ids", "n_tokens", *(["decoded"] if decoded else []))])
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("token_ids", "n_tokens", *(["decoded"] if decoded else []))])
     whole = StructType([*docs.schema.fields]).add("token_ids", ArrayType(IntegerType()))
     if decoded:
         whole = whole.add("decoded", StringType())
     small = docs.where(F.col("text").isNull() | (F.length("text") <= giant)).mapInArrow(_encoder(path, decoded), whole)
-    large = scratch.keep(docs.where(F.length("text") > giant).withColumn("_key", F.monotonically_increasing_id()), "giants")
-    chunks = scratch.keep(large.select("_key", "text").mapInArrow(_chunker(path), "_key bigint, chunk int, before string, body string, after string, free_in boolean, free_out boolean"), "chunks")
+    (own,) = unused(docs, "key")
+    large = scratch.keep(docs.where(F.length("text") > giant).withColumn(own, F.monotonically_increasing_id()), "giants")
+    chunks = scratch.keep(large.select(F.col(own).alias("_key"), "text").mapInArrow(_chunker(path), "_key bigint, chunk int, before string, body string, after string, free_in boolean, free_out boolean"), "chunks")
     dealt = chunks.repartition("_key", "chunk")
     # what meets by document: one small matrix for each chunk
     matrices = dealt.mapInArrow(_transferrer(path), "_key bigint, chunk int, rows int, matrix array<double>")
     states = scratch.keep(matrices.groupBy("_key").applyInPandas(_scan, "_key bigint, chunk int, entry int, exit int"), "states")
     traced = chunks.join(states, ["_key", "chunk"]).mapInArrow(_tracer(path), "_key bigint, chunk int, ids array<int>")
-    ids = traced.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts")).select("_key", F.flatten(F.col("parts.ids")).alias("token_ids"))
-    long = scratch.keep(large.join(ids, "_key").drop("_key"), "long")
+    ids = traced.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts")).select(F.col("_key").alias(own), F.flatten(F.col("parts.ids")).alias("token_ids"))
+    long = scratch.keep(large.join(ids, own).drop(own), "long")
+    scratch.keep_only(long)
     out = small.unionByName(decode(long, path) if decoded else long)
     return out.withColumn("n_tokens", F.when(F.col("token_ids").isNotNull(), F.size("token_ids").cast("bigint")))
 
@@ -597,6 +599,6 @@ def _decoder(path: str):
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded (with token_ids) and the decoded text."""
-    encoded = encoded.select(*[c for c in encoded.columns if c != "decoded"])
+    encoded = encoded.select(*[c for c in encoded.columns if c.lower() != "decoded"])
     whole = StructType([*encoded.schema.fields]).add("decoded", StringType())
     return encoded.mapInArrow(_decoder(path or default_model()), whole)

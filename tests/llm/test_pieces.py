@@ -61,3 +61,10 @@ def test_documents(spark):
         assert r.decoded == r.text
         assert r.token_ids == (None if r.text is None else P.codec().sp.encode(r.text)) and r.n_tokens == (None if r.text is None else len(r.token_ids))
     assert P.encode(df.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "ab " * 400, 7, 8, "x"), (2, "c", 7, 8, "x")], "doc_id bigint, text string, _key int, chunk int, DECODED string")
+    got = P.encode(df, giant=500, decoded=True)
+    assert got.columns == ["doc_id", "text", "_key", "chunk", "token_ids", "decoded", "n_tokens"]
+    assert all((r._key, r.chunk, r.decoded) == (7, 8, r.text) for r in got.collect())
