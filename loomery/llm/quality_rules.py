@@ -5,7 +5,7 @@ Statistics are Spark column expressions over the whole text. On a sample of labe
 conjunctive rule, rules and winsorised statistics get weights by lasso logistic regression (coordinate-wise soft
 thresholding of a proximal gradient), and what keeps a weight is compiled into one column expression.
 
-Labels are matched by doc_id; rows with a null label do not teach. Without a label of each class the score is the
+Labels are matched by doc_id; rows with a null label do not teach, nor do documents whose labels disagree. Without a label of each class the score is the
 label share of the sample (0.5 without labels). Null and empty texts have all statistics zero and are scored by the
 same rules. Labels, lang, source and doc_id are never inputs of a score. Repeated rows are scored each; other columns
 pass through ``score`` unless named score or predicted, which are replaced.
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.runtime import Scratch
+from loomery.runtime import Scratch, unused
 
 MAX_TRAIN_ROWS = 8_000
 CUT = 0.7
@@ -31,9 +31,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Named statistics of a text; the raw counts they share are in ``counts``."""
-    c = {k: F.col(f"_q.{k}") for k in counts(text)}
+def statistics(text: Column, of: str) -> dict[str, Column]:
+    """Named statistics of a text; the raw counts they share are in a struct of ``counts``."""
+    c = {k: F.col(f"{of}.{k}") for k in counts(text)}
     chars, words, lines = F.greatest(c["chars"], F.lit(1)), F.greatest(c["words"], F.lit(1)), F.greatest(c["lines"], F.lit(1))
     return {
         "chars": F.log1p(c["chars"]), "words": F.log1p(c["words"]), "word_len": c["chars"] / words, "line_len": F.log1p(c["chars"] / lines),
@@ -61,8 +61,9 @@ NAMES = ("chars", "words", "word_len", "line_len", "odd", "odd_per_word", "upper
 def with_statistics(df: DataFrame, text: str = "text", into: str = "_stats") -> DataFrame:
     # the one-row explode keeps the optimiser from copying the counts into a filter on what is derived from them,
     # where every rule would scan the text again
-    counted = df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in counts(F.col(text)).items()]))).alias("_q"))
-    return counted.withColumn(into, F.struct(*[v.alias(k) for k, v in statistics(F.col(text)).items()])).drop("_q")
+    (of,) = unused(df, "counts")
+    counted = df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in counts(F.col(text)).items()]))).alias(of))
+    return counted.withColumn(into, F.struct(*[v.alias(k) for k, v in statistics(F.col(text), of).items()])).drop(of)
 
 
 @dataclass(frozen=True)
@@ -211,16 +212,20 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     mine = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("double").alias("y"))
     n = mine.count()
     part = max(1, -(-n // max_train_rows))
-    chosen = scratch.keep(mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).dropDuplicates(["doc_id"]), "chosen")
+    chosen = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most"))
+    # documents whose labels disagree do not teach
+    chosen = scratch.keep(chosen.where("y = most").drop("most"), "chosen")
     # bounded by max_train_rows, so it can be broadcast; the texts are read once, and only the statistics travel
     rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "y", "_stats.*")
-    t = rows.toArrow().sort_by([("doc_id", "ascending"), ("chars", "ascending")])
+    t = rows.toArrow().sort_by([("doc_id", "ascending"), *[(k, "ascending") for k in NAMES]])
+    scratch.keep_only()
     x = np.column_stack([t[k].to_numpy().astype(float) for k in NAMES]) if t.num_rows else np.zeros((0, len(NAMES)))
     return fit(x, t["y"].to_numpy().astype(float) if t.num_rows else np.zeros(0))
 
 
 def score(docs: DataFrame, model: Ensemble, cut: float = CUT) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 where score >= cut)."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    out = with_statistics(docs.select(*names)).withColumn("score", model.column()).drop("_stats")
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("score", "predicted")])
+    (stats,) = unused(docs, "stats")
+    out = with_statistics(docs, into=stats).withColumn("score", model.column(stats)).drop(stats)
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
