@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,50 +38,64 @@ def size_ordered(seqs: DataFrame, min_length: int = 100) -> DataFrame:
     return seqs.where(F.length("seq") >= min_length).orderBy(F.length("seq"), "seq", "id")
 
 
-def blocks_by_size(seqs: DataFrame, limit: int, slices: int = 1000) -> DataFrame:
+def _slices(rows: DataFrame, order: str, slices: int) -> Column:
+    """Numbers of at most ``slices`` equal ranges of a whole-number column, null ones before the first."""
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-(int(hi) - int(lo) + 1) // slices)) if lo is not None else 1
+    return F.coalesce(F.floor((F.col(order) - (lo or 0)) / width), F.lit(-1))
+
+
+def _before(per: DataFrame, value: str) -> DataFrame:
+    """What the slices before each hold; there are few slices."""
+    order = Window.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    return per.withColumn("before", F.coalesce(F.sum(value).over(order), F.lit(0))).select("_s", "before")
+
+
+def blocks_by_size(seqs: DataFrame, limit: int, slices: int = 4096) -> DataFrame:
     """Block numbers over sequences in order of id: a block closes with the sequence that uses it up.
 
     Closing at multiples of the limit of the running total keeps this a prefix sum, which is taken in two steps (per
     slice of ids, then within) so that no task holds all rows.
     """
-    sized = seqs.select("id", F.length("seq").cast("bigint").alias("len")).withColumn("_s", F.floor(F.col("id") / slices))
-    per = sized.groupBy("_s").agg(F.sum("len").alias("t"))
-    before = per.withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "before")
+    sized = seqs.select("id", F.length("seq").cast("bigint").alias("len"))
+    sized = sized.withColumn("_s", _slices(sized, "id", slices))
+    before = _before(sized.groupBy("_s").agg(F.sum("len").alias("t")), "t")
     within = F.coalesce(F.sum("len").over(Window.partitionBy("_s").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return sized.withColumn("_w", within).join(before, "_s").select("id", "len", F.floor((F.col("before") + F.col("_w")) / limit).alias("block"))
 
 
-def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Numbers of batches of a fixed size in the order of a column."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+def batches(rows: DataFrame, order: str, size: int, slices: int = 4096) -> DataFrame:
+    """Numbers of batches of a fixed size by place in the order of a whole-number column, in two steps as above."""
+    sliced = rows.withColumn("_s", _slices(rows, order, slices))
+    before = _before(sliced.groupBy("_s").agg(F.count("*").alias("c")), "c")
+    place = F.row_number().over(Window.partitionBy("_s").orderBy(order)) - 1
+    return sliced.withColumn("_p", place).join(before, "_s").withColumn("batch", F.floor((F.col("before") + F.col("_p")) / size)).drop("_s", "_p", "before")
 
 
-def _poster(length: int, first_only: bool):
-    def run(batches):
-        for batch in batches:
-            ids, keys = [], []
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
-                k = minimizers(t.encode(), length, first_only).view(np.int64)
-                ids.append(np.full(len(k), i))
-                keys.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["id", "k"])
+def cut_by_size(seqs: DataFrame, limit: int, part: str = "part", order: str = "id") -> DataFrame:
+    """part, id, piece: each part's sequences in order, cut into pieces: one that would not fit in opens the next.
 
-    return run
-
-
-def containments(inner: DataFrame, outer: DataFrame, min_length: int) -> DataFrame:
-    """``C`` relations (inner id in outer id) where one text is a strict substring of another.
-
-    Every inner text posts the smallest hash of its first ``min_length`` bytes, every outer text those of all its runs
-    of that length (about one in a quarter of min_length positions); what meets is verified by a search. Texts
-    shorter than min_length take no part.
+    Where a cut falls depends on all cuts before it, so a part is walked in one pass over its lengths alone; parts are
+    what is cut apart (input files), and nothing but a running total is held.
     """
-    need = lambda df: df.where((F.length("seq") >= min_length) & F.col("id").isNotNull())
-    i = need(inner).select("id", "seq").mapInArrow(_poster(min_length, True), "id bigint, k bigint").withColumnRenamed("id", "src")
-    o = need(outer).select("id", "seq").mapInArrow(_poster(min_length, False), "id bigint, k bigint")
-    hits = o.join(i, "k").where("src <> id").select("src", "id").distinct()
-    a, b = inner.select(F.col("id").alias("src"), F.col("seq").alias("a")), outer.select("id", F.col("seq").alias("b"))
-    return hits.join(a, "src").join(b, "id").where((F.length("a") < F.length("b")) & F.contains("b", "a")).select("src", F.lit("C").alias("rel"), F.col("id").alias("dst"))
+
+    def run(found):
+        last, piece, held = None, 0, 0
+        for batch in found:
+            out = []
+            for p, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if (p,) != last:
+                    last, piece, held = (p,), 0, n
+                elif held + n > limit:
+                    piece, held = piece + 1, n
+                else:
+                    held += n
+                out.append(piece)
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("id"), pa.array(out, pa.int64())], ["part", "id", "piece"])
+
+    sized = seqs.select(F.col(part).alias("part"), F.col(order).alias("id"), F.coalesce(F.length("seq"), F.lit(0)).cast("bigint").alias("n"))
+    kinds = dict(sized.dtypes)
+    return sized.repartition("part").sortWithinPartitions("part", "id").mapInArrow(run, f"part {kinds['part']}, id {kinds['id']}, piece bigint")
 
 
 def _counter(length: int):

@@ -126,15 +126,33 @@ def dominators(edges: list[tuple[int, int]], small: int = 10) -> list[int]:
 def dominating_set(edges: DataFrame) -> DataFrame:
     """component, node: a greedy dominating set of each component of (component, v0, v1), v0 standing for v1.
 
-    Greedy choice looks at a whole component, so each is a group of its own; edges are repeated nowhere else.
+    Greedy choice looks at a whole component at a time. Components follow each other in sorted partitions, many to a
+    batch, so small ones cost no call of their own; a component's edges are what a task must hold.
     """
-    import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = dominators(list(zip(pdf["v0"].tolist(), pdf["v1"].tolist(), strict=True)))
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "node": chosen})
-
-    return edges.select("component", "v0", "v1").distinct().groupBy("component").applyInPandas(run, "component bigint, node bigint")
+    def run(batches):
+        last, held = None, []
+
+        def done():
+            return pa.array(np.full(len(chosen := dominators(held)), last)), pa.array(chosen, pa.int64())
+
+        for batch in batches:
+            out, component = [], batch.column("component").to_numpy()
+            v0, v1 = batch.column("v0").to_pylist(), batch.column("v1").to_pylist()
+            cuts = [0, *(np.flatnonzero(np.diff(component)) + 1).tolist(), len(component)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    if last is not None and component[a] != last:
+                        out.append(done())
+                        held = []
+                    last = int(component[a])
+                    held += zip(v0[a:b], v1[a:b], strict=True)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(list(c)) for c in zip(*out, strict=True)], ["component", "node"])
+        if held:
+            yield pa.RecordBatch.from_arrays([*done()], ["component", "node"])
+
+    return edges.select("component", "v0", "v1").distinct().repartition("component").sortWithinPartitions("component").mapInArrow(run, "component bigint, node bigint")
 
 
 def best_pairing(scores: DataFrame, at_least: float) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
+from loomery.operators.alignment import alignment_score
+
 #: Residues that count as one, by class number; fixed values.
 CLASSES = ("C", "FY", "W", "ML", "IV", "G", "P", "A", "T", "S", "N", "H", "QE", "D", "R", "K")
 
@@ -44,25 +43,6 @@ def candidates(queries: DataFrame, index: DataFrame, at_least: int) -> DataFrame
     return q.join(index, "kmer").groupBy("query", "id").agg(F.count("*").alias("shared")).where(F.col("shared") >= at_least)
 
 
-def local_score(a: str, b: str, match: int = 2, mismatch: int = -3, gap: int = -5) -> int:
-    """Best local alignment score; one row of the table at a time, gaps along a row by a running maximum."""
-    x, y = (np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) for s in (a, b))
-    if not len(x) or not len(y):
-        return 0
-    row, best, slope = np.zeros(len(y) + 1, dtype=np.int64), 0, np.arange(len(y) + 1) * gap
-    for c in x:
-        new = np.zeros(len(y) + 1, dtype=np.int64)
-        new[1:] = np.maximum(0, np.maximum(row[:-1] + np.where(y == c, match, mismatch), row[1:] + gap))
-        row = np.maximum(np.maximum.accumulate(new - slope) + slope, 0)
-        best = max(best, int(row.max()))
-    return best
-
-
-@F.pandas_udf(IntegerType())
-def alignment_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([local_score(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-
 def ranked(pairs: DataFrame, queries: DataFrame, seqs: DataFrame, top: int | None = None) -> DataFrame:
     """All candidates, or the best ``top`` of each query, by descending alignment score, ties to the smaller id."""
     q = queries.select(F.col("id").alias("query"), F.col("seq").alias("qs"))

@@ -80,3 +80,12 @@ def max_share_filter(profile: DataFrame, at_least: float) -> DataFrame:
     """Entities whose share reaches a threshold in some sample."""
     r = relative(profile)
     return r.withColumn("top", F.max("rel").over(Window.partitionBy("entity"))).where(F.col("top") >= at_least)
+
+
+def regrouped(totals: DataFrame, up: dict[str, str]) -> DataFrame:
+    """entity, category, share: categories rolled up by a map (others stay), each normalised to one over its entities."""
+    pairs = [x for k, v in up.items() for x in (F.lit(k), F.lit(v))]
+    to = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("category")), F.col("category")) if pairs else F.col("category")
+    n = totals.withColumn("category", to).groupBy("entity", "category").agg(F.sum("n").alias("n"))
+    whole = n.groupBy("category").agg(F.sum("n").alias("t"))
+    return n.join(whole, "category").select("entity", "category", F.try_divide("n", "t").alias("share"))

@@ -73,6 +73,20 @@ def shuffled_labels(labels: DataFrame, repeats: int) -> DataFrame:
     return to.join(what, ["replicate", "_k"]).drop("_k")
 
 
+def shared_under(seen: DataFrame, shuffled: DataFrame, repeats: int) -> DataFrame:
+    """replicate, shared: entities of (sample, entity) that lie in more than one category under each replicate's labels.
+
+    A sample's labels travel as one array, and an entity's smallest and largest label tell whether they differ, so the
+    rows are not repeated for each replicate.
+    """
+    labels = shuffled.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("replicate", "category"))), lambda x: x["category"]).alias("_l"))
+    at = [F.col("_l")[k] for k in range(repeats)]
+    per = seen.join(labels, "sample").groupBy("entity").agg(*[(F.min(c) != F.max(c)).alias(f"_{k}") for k, c in enumerate(at)])
+    counts = per.agg(*[F.count_if(f"_{k}").alias(f"_{k}") for k in range(repeats)])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("replicate"), F.col(f"_{k}").alias("shared")) for k in range(repeats)]))
+    return counts.select(rows.alias("r")).select("r.*").where("shared > 0")
+
+
 def hash_sample(rows: DataFrame, key: str, prefix: str) -> DataFrame:
     """Rows whose key's SHA-256 begins with given hex digits."""
     return rows.where(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, len(prefix)) == prefix)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,12 +21,31 @@ def extract(hits: DataFrame, seqs: DataFrame) -> DataFrame:
     return hits.join(seqs, "id").select("query", "id", F.substring("seq", F.col("start"), F.col("end") - F.col("start") + 1).alias("part"))
 
 
+def cover_full() -> Column:
+    """Whether an alignment (coordinates from 0, both ends inside) covers one of its sequences from end to end."""
+    whole = lambda s: (F.col(f"{s}_start") == 0) & (F.col(f"{s}_end") + 1 == F.col(f"{s}_len"))
+    return whole("a") | whole("b")
+
+
 def ends_overlap(margin: int = 5) -> Column:
     """Whether an alignment joins the end of one sequence to the start of the other, neither being covered whole."""
     near = lambda c: F.col(c) <= margin
-    far = lambda c, n: F.col(c) >= F.col(n) - margin
-    joins = (near("a_start") & far("b_end", "b_len")) | (near("b_start") & far("a_end", "a_len"))
-    return joins & ~((near("a_start") & far("a_end", "a_len")) | (near("b_start") & far("b_end", "b_len")))
+    far = lambda s: F.col(f"{s}_len") - F.col(f"{s}_end") - 1 <= margin
+    return ((far("a") & near("b_start")) | (far("b") & near("a_start"))) & ~cover_full()
+
+
+def qc_rollup(stats: DataFrame, first: tuple[str, ...] = ("preproc.lno8.pairs.1", "preproc.lno8.singles"), after: str = "preproc.lno8") -> DataFrame:
+    """sample, inserts, bases, bases_before from (sample, key, value) rows whose keys are lane:stat.
+
+    A lane's stats are file, numSeqs and numBasepairs. Inserts are sequences of lanes whose file begins as one of
+    ``first`` (one end of each pair), bases those of lanes whose file begins as ``after``; all others are bases_before.
+    """
+    part = lambda k: F.split_part("key", F.lit(":"), F.lit(k))
+    of = lambda name, kind="bigint": F.max(F.when(F.col("stat") == name, F.col("value")).cast(kind))
+    lanes = stats.select("sample", part(1).alias("lane"), part(2).alias("stat"), "value").groupBy("sample", "lane").agg(of("file", "string").alias("file"), of("numSeqs").alias("n"), of("numBasepairs").alias("b"))
+    begins = lambda names: reduce(lambda x, y: x | y, [F.startswith("file", F.lit(n)) for n in names])
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    return lanes.groupBy("sample").agg(total("n", begins(first)).alias("inserts"), total("b", begins([after])).alias("bases"), total("b", ~begins([after])).alias("bases_before"))
 
 
 def weighted_mean(value: str, weight: str) -> Column:

@@ -250,3 +250,9 @@ def concentration_curve(spark, sf):
     w = Window.partitionBy("sample").orderBy(F.desc("n"), "entity")
     t = profile(spark, sf).withColumn("rn", F.row_number().over(w)).withColumn("share", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy("sample")))
     return t.groupBy("sample").agg(F.min(F.when(F.col("share") >= 0.5, F.col("rn"))).cast("bigint").alias("half_at"))
+
+
+@query(f"WITH {COUNTS}, {CATEGORY}, x AS (SELECT entity, CASE WHEN category IN ('CHINA', 'INDIA', 'INDONESIA', 'JAPAN', 'VIETNAM') THEN 'far' ELSE category END AS category, sum(n) AS n FROM c JOIN k USING (sample) GROUP BY ALL) SELECT entity, category, round(n / sum(n) OVER (PARTITION BY category), 12) AS share FROM x")
+def regrouped_shares(spark, sf):
+    n = profile(spark, sf).join(category(spark, sf), "sample").groupBy("entity", "category").agg(F.sum("n").alias("n"))
+    return P.regrouped(n, dict.fromkeys(("CHINA", "INDIA", "INDONESIA", "JAPAN", "VIETNAM"), "far")).withColumn("share", F.round("share", 12))

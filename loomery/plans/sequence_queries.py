@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.operators import dedup, graph, kmers, relations, taxonomy
+from loomery.operators import alignment, dedup, graph, kmers, relations, summaries, taxonomy
 from loomery.plans.registry import query
 from loomery.runtime import table
 
@@ -59,76 +59,50 @@ def split_blocks(spark, sf):
     return dedup.blocks_by_size(sequences(spark, sf), 100_000)
 
 
-@query("SELECT c_custkey AS id, ((c_custkey - (SELECT min(c_custkey) FROM customer)) // 64)::BIGINT AS batch FROM customer")
+@query("SELECT c_custkey AS id, ((row_number() OVER (ORDER BY c_custkey) - 1) // 64)::BIGINT AS batch FROM customer WHERE c_custkey % 3 > 0")
 def fixed_batches(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    # keys are consecutive, so that places follow from the smallest one without a global sort
-    return c.crossJoin(F.broadcast(c.agg(F.min("id").alias("lo")))).select("id", F.floor((F.col("id") - F.col("lo")) / 64).alias("batch"))
+    return dedup.batches(table(spark, sf, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("id")), "id", 64)
 
 
-@query(f"SELECT -1 - item_id AS src, 'C' AS rel, doc_id AS dst FROM benchmark b JOIN documents d ON length(b.text) < length(d.text) AND contains(d.text, b.text) WHERE length(b.text) >= {MIN_CONTAINED}")
-def containment_pairs(spark, sf):
-    return dedup.containments(probes(spark, sf), sequences(spark, sf), MIN_CONTAINED)
-
-
-REL = f"e AS (SELECT doc_id AS src, '=' AS rel, kept AS dst FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept FROM documents) WHERE doc_id <> kept), k AS (SELECT -1 - item_id AS src, 'C' AS rel, doc_id AS dst FROM benchmark b JOIN documents d ON length(b.text) < length(d.text) AND contains(d.text, b.text) WHERE length(b.text) >= {MIN_CONTAINED})"
-
-
-@query(f"WITH {REL} SELECT DISTINCT k.src, CASE WHEN e.rel = '=' THEN k.rel ELSE e.rel END AS rel, e.dst FROM k JOIN e ON k.dst = e.src")
-def relation_compose(spark, sf):
-    return relations.compose(containment_pairs(spark, sf), duplicate_relations(spark, sf))
-
-
-@query(f"WITH {REL}, a AS (SELECT * FROM k UNION ALL SELECT k.src, 'R', k.dst FROM k WHERE dst % 2 = 0) SELECT src, min(rel) AS rel, dst FROM a GROUP BY src, dst")
-def relation_collapse(spark, sf):
-    c = containment_pairs(spark, sf)
-    return relations.collapse(c.unionByName(c.where("dst % 2 = 0").withColumn("rel", F.lit("R"))))
-
-
-@query(f"WITH {REL} SELECT DISTINCT -1 - item_id AS id FROM benchmark WHERE -1 - item_id NOT IN (SELECT src FROM k)")
-def unexplained(spark, sf):
-    return relations.unexplained(probes(spark, sf).select("id").distinct(), containment_pairs(spark, sf))
-
-
-@query(f"WITH {REL} SELECT DISTINCT src, rel, dst FROM k WHERE dst % 3 = 0 OR src % 3 = 0")
-def filter_relations(spark, sf):
-    ids = sequences(spark, sf).select("id").union(probes(spark, sf).select("id")).where("id % 3 = 0")
-    return relations.filter_ends(containment_pairs(spark, sf), ids, either=True)
+@query("WITH RECURSIVE s AS (SELECT lang AS part, doc_id AS id, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents), r AS (SELECT part, id, k, n AS held, 0::BIGINT AS piece FROM s WHERE k = 1 UNION ALL SELECT s.part, s.id, s.k, CASE WHEN held + n > 20000 THEN n ELSE held + n END, CASE WHEN held + n > 20000 THEN piece + 1 ELSE piece END FROM r JOIN s ON s.part IS NOT DISTINCT FROM r.part AND s.k = r.k + 1) SELECT part, id, piece FROM r")
+def cut_by_size(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("lang").alias("part"), F.col("doc_id").alias("id"), F.col("text").alias("seq"))
+    return dedup.cut_by_size(d, 20_000)
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return sequences(spark, sf).unionByName(probes(spark, sf))
 
 
-WHOLE = f"u AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), t AS (SELECT min(id) AS id, text FROM u WHERE length(text) >= {MIN_CONTAINED} GROUP BY text), k AS (SELECT a.id AS src, 'C' AS rel, b.id AS dst FROM t a JOIN t b ON length(a.text) < length(b.text) AND contains(b.text, a.text)), e AS (SELECT id AS src, '=' AS rel, kept AS dst FROM (SELECT id, min(id) OVER (PARTITION BY text) AS kept FROM u) WHERE id <> kept)"
+CORPUS = f"u AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), t AS (SELECT min(id) AS id, text FROM u WHERE length(text) >= {MIN_CONTAINED} GROUP BY text), k AS (SELECT a.id AS src, 'C' AS rel, b.id AS dst FROM t a JOIN t b ON length(a.text) < length(b.text) AND contains(b.text, a.text)), e AS (SELECT id AS src, '=' AS rel, kept AS dst FROM (SELECT id, min(id) OVER (PARTITION BY text) AS kept FROM u) WHERE id <> kept)"
 
 
-@query(f"WITH {WHOLE} SELECT src, rel, dst FROM k")
-def containment_whole(spark, sf):
+@query(f"WITH {CORPUS} SELECT src, rel, dst FROM k")
+def containment_pairs(spark, sf):
     """Containments among documents and passages alike; copies stand as their smallest id."""
     return dedup.contained(corpus(spark, sf), MIN_CONTAINED)
 
 
-@query(f"WITH {WHOLE} SELECT DISTINCT e.src, k.rel, k.dst FROM e JOIN k ON e.dst = k.src")
-def relation_compose_whole(spark, sf):
-    return relations.compose(dedup.duplicate_relations(corpus(spark, sf)), containment_whole(spark, sf))
+@query(f"WITH {CORPUS} SELECT DISTINCT e.src, k.rel, k.dst FROM e JOIN k ON e.dst = k.src")
+def relation_compose(spark, sf):
+    return relations.compose(dedup.duplicate_relations(corpus(spark, sf)), containment_pairs(spark, sf))
 
 
-@query(f"WITH {WHOLE}, a AS (SELECT * FROM k UNION ALL SELECT k.src, 'R', k.dst FROM k WHERE dst % 2 = 0) SELECT src, min(rel) AS rel, dst FROM a GROUP BY src, dst")
-def relation_collapse_whole(spark, sf):
-    c = containment_whole(spark, sf)
+@query(f"WITH {CORPUS}, a AS (SELECT * FROM k UNION ALL SELECT k.src, 'R', k.dst FROM k WHERE dst % 2 = 0) SELECT src, min(rel) AS rel, dst FROM a GROUP BY src, dst")
+def relation_collapse(spark, sf):
+    c = containment_pairs(spark, sf)
     return relations.collapse(c.unionByName(c.where("dst % 2 = 0").withColumn("rel", F.lit("R"))))
 
 
-@query(f"WITH {WHOLE} SELECT DISTINCT id FROM u WHERE id NOT IN (SELECT src FROM k UNION SELECT src FROM e)")
-def unexplained_whole(spark, sf):
+@query(f"WITH {CORPUS} SELECT DISTINCT id FROM u WHERE id NOT IN (SELECT src FROM k UNION SELECT src FROM e)")
+def unexplained(spark, sf):
     c = corpus(spark, sf)
-    return relations.unexplained(c.select("id").distinct(), dedup.duplicate_relations(c), containment_whole(spark, sf))
+    return relations.unexplained(c.select("id").distinct(), dedup.duplicate_relations(c), containment_pairs(spark, sf))
 
 
-@query(f"WITH {WHOLE} SELECT DISTINCT src, rel, dst FROM k WHERE dst % 3 = 0 OR src % 3 = 0")
-def filter_relations_whole(spark, sf):
-    return relations.filter_ends(containment_whole(spark, sf), corpus(spark, sf).select("id").where("id % 3 = 0"), either=True)
+@query(f"WITH {CORPUS} SELECT DISTINCT src, rel, dst FROM k WHERE dst % 3 = 0 OR src % 3 = 0")
+def filter_relations(spark, sf):
+    return relations.filter_ends(containment_pairs(spark, sf), corpus(spark, sf).select("id").where("id % 3 = 0"), either=True)
 
 
 @query(f"WITH RECURSIVE {COMPONENTS} SELECT node, component FROM c")
@@ -217,7 +191,10 @@ def first_mappable_hit(spark, sf):
     return taxonomy.first_hit(hits(spark, sf).join(p, "target", "left"), "query", ["at", "target"], "kingdom").select("query", "target", "kingdom")
 
 
-def _neighbourhood_lca(spark: SparkSession, sf: str, n_pages: Column) -> DataFrame:
+@query(f"WITH {TREE}, {HITS}, f AS (SELECT query, evalue AS lim FROM h WHERE pos = 1), k AS (SELECT h.query, 'x' AS one, target % (SELECT count(*) FROM pages) AS page_id FROM h JOIN f USING (query) WHERE evalue <= lim), q AS (SELECT query, path FROM k JOIN p USING (page_id) JOIN w ON w.id = array_to_string(s, '/')), m AS (SELECT query, min(path) AS lo, max(path) AS hi FROM q GROUP BY 1) SELECT query, list_filter(lo, lambda x, i: lo[1:i] = hi[1:i])[-1] AS lca FROM m")
+def neighbourhood_lca(spark, sf):
+    """Hits on all pages: targets by their remainder by the number of pages."""
+    n_pages = F.lit(max(1, table(spark, sf, "pages").count()))
     h = hits(spark, sf)
     limits = h.where("at = 1").select("query", F.col("evalue").alias("limit"))
     near = taxonomy.neighbourhood(h, limits, "query").select("query", (F.col("target") % n_pages).alias("page_id"))
@@ -225,17 +202,6 @@ def _neighbourhood_lca(spark: SparkSession, sf: str, n_pages: Column) -> DataFra
     return taxonomy.lca(near.join(ids, "page_id").select("query", "id"), taxonomy.root_paths(page_nodes(spark, sf)), "query").select("query", "lca")
 
 
-@query(f"WITH {TREE}, {HITS}, f AS (SELECT query, evalue AS lim FROM h WHERE pos = 1), k AS (SELECT h.query, 'x' AS one, target % 250 AS page_id FROM h JOIN f USING (query) WHERE evalue <= lim), q AS (SELECT query, path FROM k JOIN p USING (page_id) JOIN w ON w.id = array_to_string(s, '/')), m AS (SELECT query, min(path) AS lo, max(path) AS hi FROM q GROUP BY 1) SELECT query, list_filter(lo, lambda x, i: lo[1:i] = hi[1:i])[-1] AS lca FROM m")
-def neighbourhood_lca(spark, sf):
-    return _neighbourhood_lca(spark, sf, F.lit(250))
-
-
-@query(f"WITH {TREE}, {HITS}, f AS (SELECT query, evalue AS lim FROM h WHERE pos = 1), k AS (SELECT h.query, 'x' AS one, target % (SELECT count(*) FROM pages) AS page_id FROM h JOIN f USING (query) WHERE evalue <= lim), q AS (SELECT query, path FROM k JOIN p USING (page_id) JOIN w ON w.id = array_to_string(s, '/')), m AS (SELECT query, min(path) AS lo, max(path) AS hi FROM q GROUP BY 1) SELECT query, list_filter(lo, lambda x, i: lo[1:i] = hi[1:i])[-1] AS lca FROM m")
-def neighbourhood_lca_whole(spark, sf):
-    """Hits on all pages: targets by their remainder by the number of pages."""
-    return _neighbourhood_lca(spark, sf, F.lit(max(1, table(spark, sf, "pages").count())))
-
-
 @query(f"WITH {TREE}, t AS (SELECT id, parent, rank FROM n UNION ALL SELECT '1', '1', 'root'), c AS (SELECT p_partkey AS entity, CASE WHEN p_partkey % 5 = 0 THEN p_brand END AS species, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS kingdom, array_to_string(s, '/') AS predicted FROM part LEFT JOIN p ON page_id = p_partkey) SELECT entity, coalesce(species, kingdom, CASE WHEN rank = 'leaf' THEN parent ELSE predicted END, '1') AS label FROM c LEFT JOIN t ON t.id = predicted")
 def reconcile_labels(spark, sf):
     n = page_nodes(spark, sf).withColumn("rank", F.when(F.col("rank") == "leaf", "species").otherwise(F.col("rank")))
@@ -266,6 +232,25 @@ def alignment_rank(spark, sf):
     return kmers.ranked(kmer_candidates(spark, sf), probes(spark, sf), sequences(spark, sf))
 
 
+def candidate_texts(spark: SparkSession, sf: str) -> DataFrame:
+    q, d = probes(spark, sf), sequences(spark, sf)
+    return kmer_candidates(spark, sf).join(q.select(F.col("id").alias("query"), F.col("seq").alias("a")), "query").join(d.select("id", F.col("seq").alias("b")), "id")
+
+
+@query()
+def pair_relations(spark, sf):
+    """Classes of candidate pairs as relations."""
+    pairs = candidate_texts(spark, sf).select(F.col("query").alias("a"), alignment.classified("a", "b").alias("code"), F.col("id").alias("b"))
+    return relations.normalised(pairs.where("code <> 'X'"))
+
+
+@query()
+def alignment_identity(spark, sf):
+    """Identity and coordinates of candidate pairs, and whether their ends overlap."""
+    x = candidate_texts(spark, sf).select("query", "id", alignment.aligned("a", "b").alias("x"), F.length("a").alias("a_len"), F.length("b").alias("b_len"))
+    return x.select("query", "id", "x.*", "a_len", "b_len").withColumn("joins_ends", summaries.ends_overlap())
+
+
 @query("SELECT translate(upper(p_brand || p_type), 'YLVE', 'FMIQ') AS code, count(*) AS n FROM part GROUP BY 1")
 def reduced_alphabet(spark, sf):
     p = table(spark, sf, "part").select(kmers.reduced(F.concat("p_brand", "p_type")).alias("code"))

@@ -22,13 +22,26 @@ def interval_extract(spark, sf):
     return summaries.extract(h, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seq")))
 
 
-@query("WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_partkey % 30 AS a_start, l_suppkey % 30 AS b_start, 60 + l_partkey % 41 AS a_end, 60 + l_suppkey % 41 AS b_end FROM lineitem) SELECT k, n, p, s FROM a WHERE ((a_start <= 5 AND b_end >= 95) OR (b_start <= 5 AND a_end >= 95)) AND NOT ((a_start <= 5 AND a_end >= 95) OR (b_start <= 5 AND b_end >= 95))")
+@query("WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_partkey % 30 AS a_start, l_suppkey % 30 AS b_start, 60 + l_partkey % 40 AS a_end, 60 + l_suppkey % 40 AS b_end, 100 AS a_len, 100 AS b_len FROM lineitem) SELECT k, n, p, s FROM a WHERE ((a_len - a_end - 1 <= 5 AND b_start <= 5) OR (b_len - b_end - 1 <= 5 AND a_start <= 5)) AND NOT ((a_start = 0 AND a_end + 1 = a_len) OR (b_start = 0 AND b_end + 1 = b_len))")
 def end_overlaps(spark, sf):
     p, s = F.col("l_partkey"), F.col("l_suppkey")
-    a = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), p.alias("p"), s.alias("s"), (p % 30).alias("a_start"), (s % 30).alias("b_start"), (60 + p % 41).alias("a_end"), (60 + s % 41).alias("b_end"), F.lit(100).alias("a_len"), F.lit(100).alias("b_len"))
+    a = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), p.alias("p"), s.alias("s"), (p % 30).alias("a_start"), (s % 30).alias("b_start"), (60 + p % 40).alias("a_end"), (60 + s % 40).alias("b_end"), F.lit(100).alias("a_len"), F.lit(100).alias("b_len"))
     return a.where(summaries.ends_overlap()).select("k", "n", "p", "s")
 
 
+LANES = "l AS (SELECT l_suppkey AS sample, l_orderkey || '-' || l_linenumber AS lane, CASE l_linenumber % 4 WHEN 0 THEN 'raw_1.fastq.gz' WHEN 1 THEN 'preproc.lno8.pairs.1' WHEN 2 THEN 'preproc.lno8.pairs.2' ELSE 'preproc.lno8.singles' END AS file, l_partkey AS n, l_quantity::BIGINT * 100 AS b FROM lineitem), m AS (SELECT sample, lane, max(file) AS file, max(n) AS n, max(b) AS b FROM l GROUP BY ALL)"
+
+
+@query(f"WITH {LANES} SELECT sample, coalesce(sum(n) FILTER (file LIKE '%pairs.1' OR file LIKE '%singles'), 0)::BIGINT AS inserts, coalesce(sum(b) FILTER (file LIKE 'preproc%'), 0)::BIGINT AS bases, coalesce(sum(b) FILTER (file NOT LIKE 'preproc%'), 0)::BIGINT AS bases_before FROM m GROUP BY 1")
+def qc_rollup(spark, sf):
+    k = F.col("l_linenumber") % 4
+    file = F.when(k == 0, "raw_1.fastq.gz").when(k == 1, "preproc.lno8.pairs.1").when(k == 2, "preproc.lno8.pairs.2").otherwise("preproc.lno8.singles")
+    lane = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    stat = lambda name, value: F.struct(F.concat(lane, F.lit(f":{name}")).alias("key"), value.cast("string").alias("value"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample"), F.explode(F.array(stat("file", file), stat("numSeqs", F.col("l_partkey")), stat("numBasepairs", F.col("l_quantity").cast("bigint") * 100))).alias("s"))
+    return summaries.qc_rollup(rows.select("sample", "s.*"))
+
+
 @query("SELECT l_suppkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS mean FROM lineitem GROUP BY 1")
 def weighted_mean(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(summaries.weighted_mean("l_discount", "l_quantity"), 9).alias("mean"))

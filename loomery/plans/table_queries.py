@@ -9,7 +9,10 @@ from loomery.plans.profile_queries import COUNTS, category, profile
 from loomery.plans.registry import query
 from loomery.runtime import table
 
-PERMS = f"{COUNTS}, m AS (SELECT perm, sample, row_number() OVER (PARTITION BY perm ORDER BY md5(perm || ':' || sample)) AS step FROM (SELECT DISTINCT sample FROM c), range(4) r(perm)), f AS (SELECT perm, entity, min(step) AS step FROM c JOIN m USING (sample) GROUP BY ALL)"
+#: Orders of the samples in accumulation curves, and shuffles of the labels in the null of sharing.
+REPEATS, SHUFFLES = 24, 32
+
+PERMS = f"{COUNTS}, m AS (SELECT perm, sample, row_number() OVER (PARTITION BY perm ORDER BY md5(perm || ':' || sample)) AS step FROM (SELECT DISTINCT sample FROM c), range(24) r(perm)), f AS (SELECT perm, entity, min(step) AS step FROM c JOIN m USING (sample) GROUP BY ALL)"
 
 
 @query("SELECT conv_id, v0, v1, count(*) AS n FROM (SELECT conv_id, role AS v0, lead(role) OVER w AS v1, lead(1) OVER w AS ok FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE ok = 1 GROUP BY ALL")
@@ -105,26 +108,32 @@ def shannon_markers(spark, sf):
 @query(f"WITH {PERMS} SELECT m.perm, m.step, count(f.entity) AS n_seen FROM m LEFT JOIN f ON f.perm = m.perm AND f.step <= m.step GROUP BY ALL")
 def accumulation_curve(spark, sf):
     c = profile(spark, sf)
-    return sampling.accumulation(c, sampling.permutations(c, 4)).select(F.col("perm").cast("bigint").alias("perm"), F.col("step").cast("bigint").alias("step"), "n_seen")
+    return sampling.accumulation(c, sampling.permutations(c, REPEATS)).select(F.col("perm").cast("bigint").alias("perm"), F.col("step").cast("bigint").alias("step"), "n_seen")
 
 
 @query(f"WITH {PERMS}, v AS (SELECT entity, count(*) AS p FROM c GROUP BY 1) SELECT m.perm, m.step, t AS threshold, count(v.entity) AS n_seen FROM m CROSS JOIN (SELECT unnest([1, 10, 20]) AS t) LEFT JOIN f ON f.perm = m.perm AND f.step <= m.step LEFT JOIN v ON v.entity = f.entity AND v.p >= t GROUP BY ALL")
 def accumulation_thresholds(spark, sf):
     c = profile(spark, sf)
     prev = c.groupBy("entity").agg(F.count("*").alias("n_samples"))
-    out = sampling.accumulation_by_threshold(c, sampling.permutations(c, 4), prev, [1, 10, 20])
+    out = sampling.accumulation_by_threshold(c, sampling.permutations(c, REPEATS), prev, [1, 10, 20])
     return out.select(F.col("perm").cast("bigint").alias("perm"), F.col("step").cast("bigint").alias("step"), "threshold", "n_seen")
 
 
-SHUFFLED = "l AS (SELECT s_suppkey AS sample, n_name AS category FROM supplier JOIN nation ON s_nationkey = n_nationkey), a AS (SELECT r.i AS replicate, sample, row_number() OVER (PARTITION BY r.i ORDER BY sample) AS k FROM l, range(8) r(i)), b AS (SELECT r.i AS replicate, category, row_number() OVER (PARTITION BY r.i ORDER BY md5(r.i || ':' || sample)) AS k FROM l, range(8) r(i)), z AS (SELECT a.replicate, a.sample, b.category FROM a JOIN b USING (replicate, k)), o AS (SELECT DISTINCT l_suppkey AS sample, l_orderkey AS entity FROM lineitem), s AS (SELECT replicate, entity, count(DISTINCT category) AS c FROM o JOIN z USING (sample) GROUP BY ALL)"
+SHUFFLED = "l AS (SELECT s_suppkey AS sample, n_name AS category FROM supplier JOIN nation ON s_nationkey = n_nationkey), a AS (SELECT r.i AS replicate, sample, row_number() OVER (PARTITION BY r.i ORDER BY sample) AS k FROM l, range(32) r(i)), b AS (SELECT r.i AS replicate, category, row_number() OVER (PARTITION BY r.i ORDER BY md5(r.i || ':' || sample)) AS k FROM l, range(32) r(i)), z AS (SELECT a.replicate, a.sample, b.category FROM a JOIN b USING (replicate, k)), o AS (SELECT DISTINCT l_suppkey AS sample, l_orderkey AS entity FROM lineitem), s AS (SELECT replicate, entity, count(DISTINCT category) AS c FROM o JOIN z USING (sample) GROUP BY ALL)"
 
 
 @query(f"WITH {SHUFFLED} SELECT replicate, count(*) AS shared FROM s WHERE c > 1 GROUP BY 1")
 def shuffled_sharing_null(spark, sf):
     o = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample"), F.col("l_orderkey").alias("entity")).distinct()
-    z = sampling.shuffled_labels(category(spark, sf), 8)
-    s = o.join(z, "sample").groupBy("replicate", "entity").agg(F.count_distinct("category").alias("c")).where("c > 1")
-    return s.groupBy(F.col("replicate").cast("bigint").alias("replicate")).agg(F.count("*").alias("shared"))
+    return sampling.shared_under(o, sampling.shuffled_labels(category(spark, sf), SHUFFLES), SHUFFLES)
+
+
+@query()
+def sharing_normality(spark, sf):
+    """Shapiro-Wilk over the shuffles' counts, of which there are SHUFFLES."""
+    counts = [float(r["shared"]) for r in shuffled_sharing_null(spark, sf).collect()]
+    w, p = stats.shapiro(counts) if len(counts) > 2 else (None, None)
+    return spark.createDataFrame([(w, p, len(counts))], "w double, p double, n int")
 
 
 @query(f"WITH {SHUFFLED}, r AS (SELECT replicate, count(*) AS n FROM s WHERE c > 1 GROUP BY 1), x AS (SELECT count(*) AS n FROM (SELECT entity FROM o JOIN l USING (sample) GROUP BY 1 HAVING count(DISTINCT category) > 1)) SELECT (SELECT n FROM x) AS observed, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS sd, round(((SELECT n FROM x) - avg(n)) / nullif(stddev_samp(n), 0), 6) AS z FROM r")
@@ -184,16 +193,12 @@ def great_circle_pairs(spark, sf):
     return p.crossJoin(F.broadcast(q)).where("a < b").select("a", "b", F.round(metadata.great_circle(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 3).alias("metres"))
 
 
-OVERLAP = "s AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS x FROM lineitem WHERE l_quantity > 45), z AS (SELECT id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY ALL)"
+OVERLAP = "s AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS x FROM lineitem), z AS (SELECT id, count(*) AS n FROM s GROUP BY 1), o AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY ALL)"
 
 
-#: The same over whole sets.
-OVERLAP_WHOLE = OVERLAP.replace(" WHERE l_quantity > 45", "")
-
-
-def overlaps(spark, sf, rows="true"):
-    """Overlap coefficients of the suppliers' sets of parts, over the rows of lineitem that meet a condition."""
-    s = table(spark, sf, "lineitem").where(rows).select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("x")).distinct()
+def overlaps(spark, sf):
+    """Overlap coefficients of the suppliers' sets of parts."""
+    s = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("x")).distinct()
     n = s.groupBy("id").agg(F.count("*").alias("n"))
     m = s.withColumnRenamed("id", "a").join(s.withColumnRenamed("id", "b"), "x").where("a < b").groupBy("a", "b").agg(F.count("*").alias("m"))
     return m.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", (F.col("m") / F.least("na", "nb")).alias("score"))
@@ -201,11 +206,6 @@ def overlaps(spark, sf, rows="true"):
 
 @query(f"WITH {OVERLAP} SELECT a, b, round(m / least(x.n, y.n), 6) AS score FROM o JOIN z x ON x.id = a JOIN z y ON y.id = b")
 def overlap_coefficient(spark, sf):
-    return overlaps(spark, sf, "l_quantity > 45").withColumn("score", F.round("score", 6))
-
-
-@query(f"WITH {OVERLAP_WHOLE} SELECT a, b, round(m / least(x.n, y.n), 6) AS score FROM o JOIN z x ON x.id = a JOIN z y ON y.id = b")
-def overlap_coefficient_whole(spark, sf):
     return overlaps(spark, sf).withColumn("score", F.round("score", 6))
 
 
@@ -290,7 +290,7 @@ def loglog_fit(spark, sf):
 
 @query()
 def forest_cv(spark, sf):
-    return stats.forest_cv(table(spark, sf, "embeddings"), "embedding", "label", "vec_id", folds=3, trees=10)
+    return stats.forest_cv(table(spark, sf, "embeddings"), "embedding", "label", "vec_id")
 
 
 @query("SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 6) AS mean, round(stddev_samp(p_retailprice), 6) AS sd, min(p_retailprice) AS lo, round(quantile_cont(p_retailprice, 0.25), 6) AS q1, round(median(p_retailprice), 6) AS mid, round(quantile_cont(p_retailprice, 0.75), 6) AS q3, max(p_retailprice) AS hi, round(1.96 * stddev_samp(p_retailprice) / sqrt(count(*)), 6) AS band FROM part GROUP BY 1")

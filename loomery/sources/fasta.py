@@ -6,12 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read(spark: SparkSession, path: str, first_word: bool = False) -> DataFrame:
+def check(spark: SparkSession, path: str) -> None:
+    """Raise ValueError where a line is empty or a file does not begin with ``>``."""
+    if spark.read.text(path).where("value = ''").take(1):
+        raise ValueError(f"unexpected empty line in {path}")
+    # only a file's first record keeps its mark when records are split at the marks of the others
+    firsts = spark.read.option("lineSep", "\n>").text(path).groupBy(F.input_file_name()).agg(F.bool_or(F.startswith("value", F.lit(">"))).alias("ok"))
+    if firsts.where("not ok").take(1):
+        raise ValueError(f"unexpected data before the first record in {path}")
+
+
+def read(spark: SparkSession, path: str, first_word: bool = False, strict: bool = False) -> DataFrame:
     """Records of FASTA files (compressed by suffix as Hadoop reads them); bodies over several lines are put together.
 
-    Records are split where a line starts with ``>``, so a file is read in parallel. Text before the first record is
-    an error; carriage returns go. With first_word the header ends at the first blank.
+    Records are split where a line starts with ``>``, so a file is read in parallel; carriage returns go. With
+    first_word the header ends at the first blank. With strict an empty line or text before the first record is an
+    error; else empty lines are skipped and such text stands as a record of its own.
     """
+    if strict:
+        check(spark, path)
     raw = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
     rec = F.regexp_replace("value", r"^>", "")
     cut = F.locate("\n", rec)

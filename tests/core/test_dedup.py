@@ -33,5 +33,30 @@ def test_documents_in_documents(spark, monkeypatch):
     items = spark.createDataFrame([(-1, quoted[:40])], "id bigint, seq string")
     monkeypatch.setattr(sequence_queries, "sequences", lambda *_: docs)
     monkeypatch.setattr(sequence_queries, "probes", lambda *_: items)
-    assert sorted(tuple(r) for r in sequence_queries.containment_whole(spark, "").collect()) == [(-1, "C", 1), (-1, "C", 2), (1, "C", 2)]
-    assert sorted(r.id for r in sequence_queries.unexplained_whole(spark, "").collect()) == [2, 3]
+    assert sorted(tuple(r) for r in sequence_queries.containment_pairs(spark, "").collect()) == [(-1, "C", 1), (-1, "C", 2), (1, "C", 2)]
+    assert sorted(r.id for r in sequence_queries.unexplained(spark, "").collect()) == [2, 3]
+
+
+def test_places_without_gaps_or_with(spark):
+    rng = random.Random(3)
+    ids = sorted(rng.sample(range(-500, 100_000), 300))
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(3)
+    for slices in (1, 7, 4096):
+        assert {r.id: r.batch for r in dedup.batches(df, "id", 64, slices).collect()} == {i: k // 64 for k, i in enumerate(ids)}
+    assert dedup.batches(df.limit(0), "id", 64).count() == 0
+
+
+def test_cut_by_size(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), k, "x" * rng.choice([0, 1, 5, 30])) for k in range(200)]
+    want, held, piece = {}, {}, {}
+    for p, k, t in rows:
+        if p not in held:
+            held[p], piece[p] = len(t), 0
+        elif held[p] + len(t) > 20:
+            held[p], piece[p] = len(t), piece[p] + 1
+        else:
+            held[p] += len(t)
+        want[p, k] = piece[p]
+    got = dedup.cut_by_size(spark.createDataFrame(rows, "part string, id bigint, seq string").repartition(4), 20)
+    assert {(r.part, r.id): r.piece for r in got.collect()} == want

@@ -36,6 +36,16 @@ def test_dominating_set(spark):
     assert {tuple(r) for r in graph.dominating_set(df).collect()} == {(0, 0), (0, 1), (12, 47)}
 
 
+def test_many_components_in_few_partitions(spark):
+    rng = random.Random(5)
+    edges = [(c, 100 * c + rng.randrange(9), 100 * c + rng.randrange(9)) for c in range(200) for _ in range(rng.randint(1, 12))]
+    want = {(c, n) for c in {e[0] for e in edges} for n in graph.dominators([e[1:] for e in edges if e[0] == c])}
+    for n in (1, 5):
+        got = graph.dominating_set(spark.createDataFrame(edges, "component bigint, v0 bigint, v1 bigint").repartition(n))
+        assert {tuple(r) for r in got.collect()} == want
+    assert graph.dominating_set(spark.createDataFrame([], "component bigint, v0 bigint, v1 bigint")).count() == 0
+
+
 @pytest.mark.parametrize("local", [0, 1000])
 def test_components(spark, monkeypatch, local):
     monkeypatch.setattr(graph, "LOCAL_EDGES", local)

@@ -6,4 +6,4 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_order_hits_pages(spark):
     orders = {r[0] for r in table(spark, SF, "lineitem").select("l_orderkey").distinct().collect()}
-    assert {r["query"] for r in sequence_queries.neighbourhood_lca_whole(spark, SF).collect()} == orders
+    assert {r["query"] for r in sequence_queries.neighbourhood_lca(spark, SF).collect()} == orders

@@ -63,3 +63,13 @@ def test_markup(spark):
     assert df.select(markup.link_of(F.col("x"), "D"), markup.link_of(F.col("x"), "E")).first() == ("R1", None)
     with pytest.raises(Exception, match="missing study"):
         df.select(markup.required(markup.link_of(F.col("x"), "E"), "study")).collect()
+
+
+def test_fasta_errors(spark, tmp_path):
+    for name, text, fault in (("a", ">one\nAC\n\n>two\nG\n", "empty line"), ("b", "AC\n>one\nG\n", "before the first"), ("c", "\n>one\nG\n", "empty line")):
+        (tmp_path / f"{name}.fa").write_text(text)
+        with pytest.raises(ValueError, match=fault):
+            fasta.read(spark, f"{tmp_path}/{name}.fa", strict=True)
+    (tmp_path / "d.fa").write_text(">one\nAC\n>two\nG\n")
+    (tmp_path / "e.fa").write_text("")
+    assert fasta.read(spark, f"{tmp_path}/[de].fa", strict=True).count() == 2

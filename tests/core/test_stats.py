@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from loomery.operators import kmers, matrix, sampling, stats
+from loomery.operators import matrix, sampling, stats
 
 
 def test_p_values_match_tables():
@@ -16,20 +16,31 @@ def test_p_values_match_tables():
     assert stats.fisher_p(3, 1, 1, 3) == pytest.approx(0.485714, abs=1e-5)
 
 
-def test_local_score():
-    def slow(a, b):
-        m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        best = 0
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                m[i][j] = max(0, m[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -3), m[i - 1][j] - 5, m[i][j - 1] - 5)
-                best = max(best, m[i][j])
-        return best
+def test_normality():
+    # weights of eleven men, the example of the test's authors
+    w, p = stats.shapiro([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert (w, p) == (pytest.approx(0.78881, abs=1e-4), pytest.approx(0.006704, abs=1e-4))
+    rng = np.random.default_rng(4)
+    assert np.mean([stats.shapiro(rng.normal(size=30).tolist())[1] < 0.05 for _ in range(400)]) == pytest.approx(0.05, abs=0.035)
+    assert stats.shapiro(rng.exponential(size=60).tolist())[1] < 0.01
+    assert stats.shapiro([1.0, 1.0, 1.0]) == (1.0, 1.0) and stats.shapiro([1.0, 2.0, 3.0]) == (pytest.approx(1.0), pytest.approx(1.0))
+    with pytest.raises(ValueError, match="3 to"):
+        stats.shapiro([1.0])
 
-    rng = np.random.default_rng(1)
-    for _ in range(60):
-        a, b = ("".join(rng.choice(list("ACGT"), rng.integers(0, 30))) for _ in range(2))
-        assert kmers.local_score(a, b) == slow(a, b)
+
+def test_shared_under_shuffles(spark):
+    rng = np.random.default_rng(2)
+    seen = {(int(rng.integers(9)), int(rng.integers(30))) for _ in range(80)}
+    labels = {(r, s): str(rng.integers(3)) for r in range(5) for s in range(8)}
+    want = {}
+    for r in range(5):
+        by = {}
+        for s, e in seen:
+            if (r, s) in labels:
+                by.setdefault(e, set()).add(labels[r, s])
+        want[r] = sum(len(c) > 1 for c in by.values())
+    got = sampling.shared_under(spark.createDataFrame(sorted(seen), "sample bigint, entity bigint"), spark.createDataFrame([(r, s, c) for (r, s), c in labels.items()], "replicate int, sample bigint, category string"), 5)
+    assert {r.replicate: r.shared for r in got.collect()} == want
 
 
 def test_rarefied_depth(spark):
@@ -43,6 +54,15 @@ def test_rarefied_depth(spark):
 def test_linkage_and_coordinates(spark):
     d = np.array([[0, 1, 4, 5], [1, 0, 4, 5], [4, 4, 0, 2], [5, 5, 2, 0]], dtype=float)
     assert matrix.average_linkage(d) == [(0, 1, 1.0), (2, 3, 2.0), (4, 5, 4.5)]
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(25, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    members = {k: [k] for k in range(25)}
+    for n, (i, j, h) in enumerate(matrix.average_linkage(d), 25):
+        assert h == pytest.approx(np.mean([d[p, q] for p in members[i] for q in members[j]]))
+        assert h == pytest.approx(min(np.mean([d[p, q] for p in members[a] for q in members[b]]) for a in members for b in members if a < b))
+        members[n] = members.pop(i) + members.pop(j)
+    assert sorted(members[48]) == list(range(25))
     rows = [(a, b, abs(a - b) * 1.0) for a in range(5) for b in range(a + 1, 5)]
     names, at, share = matrix.principal_coordinates(spark.createDataFrame(rows, "a bigint, b bigint, d double"), 1)
     assert np.allclose(np.abs(np.diff(at[:, 0])), 1.0) and share[0] == pytest.approx(1.0) and names == list(range(5))
