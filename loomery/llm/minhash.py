@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from loomery.llm import words
 from loomery.operators.graph import connected_components
-from loomery.runtime import Scratch, checked_broadcast, released
+from loomery.runtime import Scratch, checked_broadcast, released, unused
 
 N_BINS = 192
 #: Fewest parity bits of a set; larger sets have at least twice as many as shingles.
@@ -319,5 +319,6 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     if not twice.take(1):
         return stay
     again = stay.join(checked_broadcast(twice), "doc_id", "left_semi").select(docs.columns)
-    first = again.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").select(docs.columns)
+    (row,) = unused(docs, "row")
+    first = again.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(row) == 1).select(docs.columns)
     return stay.join(checked_broadcast(twice), "doc_id", "left_anti").select(docs.columns).unionByName(first)

@@ -17,7 +17,7 @@ digits (16 ** ``SLICE_DIGITS`` slices to a leaf) name the slice in which the bud
 Tokens are runs of characters other than space and \\t \\n \\v \\f \\r. Null domain, lang or source is a value of its
 own. Null and empty texts hold no tokens and are taken with what surrounds them in the order; a leaf without any token
 is taken whole, once. Nodes of weight zero take nothing. Weights default to 1; nodes without a stated weight use that.
-Rows equal in doc_id and text share a place in the order; where the budget ends among them, the others columns decide.
+Rows equal in doc_id and text share a place in the order; where the budget ends among them, the other columns decide.
 Columns of the input pass through, but ``epoch`` and ``n_tokens`` are replaced, and text and n_chars are those taken.
 """
 
@@ -107,8 +107,8 @@ def leaf_budgets(leaves: DataFrame, names: list[str], share: float, weights: Map
     return out.select("leaf", "tokens", "alive", take.cast("bigint").alias("take"))
 
 
-def mix(docs: DataFrame, levels: Mapping[str, Column], share: float, weights: Mapping[tuple, float], max_epochs: int = 1, seed: int = 7) -> DataFrame:
-    """docs' rows as often as they are taken, with ``epoch`` (from 0) and ``n_tokens`` (those taken).
+def mix(docs: DataFrame, levels: Mapping[str, Column], share: float, weights: Mapping[tuple, float], max_epochs: int = 1, seed: int = 7, added: tuple[str, str] = ("epoch", "n_tokens")) -> DataFrame:
+    """docs' rows as often as they are taken, with ``epoch`` (from 0) and ``n_tokens`` (those taken), or other names.
 
     levels: names and expressions of the tree's levels, root first. share: budget as a part of all tokens.
     """
@@ -161,9 +161,9 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], share: float, weights: Ma
             columns.append(text.alias(c))
         elif c == "n_chars":
             columns.append(F.when(shorter, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        elif c not in ("epoch", "n_tokens"):
+        elif c.lower() not in added:
             columns.append(F.col(f"`{c}`"))
-    return out.select(*columns, F.col(taken)["epoch"].alias("epoch"), F.col(taken)["n"].alias("n_tokens"))
+    return out.select(*columns, F.col(taken)["epoch"].alias(added[0]), F.col(taken)["n"].alias(added[1]))
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:

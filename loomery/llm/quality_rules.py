@@ -229,3 +229,9 @@ def score(docs: DataFrame, model: Ensemble, cut: float = CUT) -> DataFrame:
     (stats,) = unused(docs, "stats")
     out = with_statistics(docs, into=stats).withColumn("score", model.column(stats)).drop(stats)
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def kept(docs: DataFrame, model: Ensemble, cut: float = CUT) -> DataFrame:
+    """The documents with a score of at least cut, columns unchanged."""
+    stats, score_ = unused(docs, "stats", "score")
+    return with_statistics(docs, into=stats).withColumn(score_, model.column(stats)).where(F.col(score_) >= cut).drop(stats, score_)
