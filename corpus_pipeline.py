@@ -3,7 +3,7 @@
 1. quality classifier: documents predicted below the cut go.
 2. line dedup: later near-duplicate lines go; documents of nothing else go with them.
 3. MinHash near-dedup: one document of each group stays (five-word shingles, similarity of 0.8 or more).
-4. mixing sources to target weights: each leaf's token prefix within its budget stays.
+4. mixing sources to target weights: each leaf's token prefix stays, the document at its end cut at the budget.
 5. SentencePiece encoding: token ids that decode to the text.
 """
 
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from loomery.llm import line_dedup, minhash, mixing, piece_codec, quality_rules
 from loomery.llm.queries import MIX_SHARE, MIX_WEIGHTS, mix_levels
-from loomery.runtime import Scratch, table
+from loomery.runtime import Scratch, table, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.score(docs, model).where("predicted = 1").select(docs.columns)
+    return quality_rules.kept(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, mix_levels(), MIX_SHARE, MIX_WEIGHTS, max_epochs=1).select(docs.columns)
+    added = unused(docs, "epoch", "n_tokens")
+    return mixing.mix(docs, mix_levels(), MIX_SHARE, MIX_WEIGHTS, max_epochs=1, added=tuple(added)).drop(*added)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("minhash near-dedup", near_duplicates), ("mixing", mixture), ("sentencepiece", pieces)]
 
-#: The classifier is learned, which SQL cannot express: tests hold the stages against brute force instead.
+#: The classifier is learned, which SQL cannot express: tests hold each stage against brute force in plain Python.
 ORACLE_SQL = None
 
 
