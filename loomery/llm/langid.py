@@ -32,15 +32,15 @@ _CUT = 1 << 20
 _FOLD = str.maketrans({**{c: "0" for c in "0123456789"}, **{c: " " for c in "\t\n\x0b\x0c\r "}})
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of all texts, and each text's first one (n + 1 offsets)."""
-    padded = [f" {t.lower().translate(_FOLD)} " for t in texts]
-    lens = np.array([len(p) for p in padded], dtype=np.int64)
-    x = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n, ends = len(x), np.cumsum(lens)
-    stop = np.repeat(ends, lens)
-    place = np.arange(n)
-    out = np.empty((n, 3), dtype=np.int32)
+def _folded(text: str) -> str:
+    return f" {text.lower().translate(_FOLD)} "
+
+
+def _buckets(padded: str, lens: np.ndarray) -> np.ndarray:
+    """Buckets of the n-grams that start at each character of texts on end, a row a character; -1 where one would leave its text."""
+    x = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    stop, place = np.repeat(np.cumsum(lens), lens), np.arange(len(x))
+    out = np.empty((len(x), 3), dtype=np.int32)
     one, two, three = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
     h1 = x * one
     h2 = h1.copy()
@@ -51,16 +51,32 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for k, h in enumerate((h1, h2, h3)):
         out[:, k] = (mix(h + np.uint64(k)) >> shift).astype(np.int32)
         if k:
-            # n-grams that would reach into the next text do not exist
             out[place + k >= stop, k] = -1
-    flat = out.reshape(-1)
+    return out
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of all texts, and each text's first one (n + 1 offsets)."""
+    padded = [_folded(t) for t in texts]
+    lens = np.array([len(p) for p in padded], dtype=np.int64)
+    flat = _buckets("".join(padded), lens).reshape(-1)
     keep = flat >= 0
     before = np.concatenate([[0], np.cumsum(keep)])
-    return flat[keep], before[np.concatenate([[0], ends]) * 3]
+    return flat[keep], before[np.concatenate([[0], np.cumsum(lens)]) * 3]
+
+
+def gram_counts(text: str) -> np.ndarray:
+    """How often each bucket occurs in one text, however long: window by window, each n-gram by where it starts."""
+    padded, total = _folded(text), np.zeros(SIZE, dtype=np.int64)
+    for a in range(0, len(padded), _CUT):
+        part = padded[a : a + _CUT + 2]
+        own = _buckets(part, np.array([len(part)]))[:_CUT]
+        total += np.bincount(own[own >= 0], minlength=SIZE)
+    return total
 
 
 def _parts(texts: list):
-    """Slices of a batch of bounded size in characters, whole texts each."""
+    """Slices of a batch of bounded size in characters, whole texts each; a longer text is a slice of its own."""
     i = 0
     while i < len(texts):
         j, size = i, 0
@@ -77,10 +93,13 @@ def _frequencies(batches):
     df, n = np.zeros(SIZE, dtype=np.int64), 0
     for batch in batches:
         for _, texts in _parts(batch.column("text").to_pylist()):
+            n += len(texts)
+            if len(texts[0]) > _CUT:
+                df += gram_counts(texts[0]) > 0
+                continue
             g, off = grams(texts)
             for k in range(len(texts)):
                 df[np.unique(g[off[k] : off[k + 1]])] += 1
-            n += len(texts)
     hit = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1).astype(np.int32)), pa.array(np.append(df[hit], n))], ["bucket", "df"])
 
@@ -92,9 +111,10 @@ def _features(batches):
         at, langs = [], batch.column("lang")
         b_, c_ = [], []
         for i, texts in _parts(batch.column("text").to_pylist()):
-            g, off = grams(texts)
+            long = gram_counts(texts[0]) if len(texts[0]) > _CUT else None
+            g, off = grams(texts) if long is None else (None, None)
             for k in range(len(texts)):
-                b, c = np.unique(g[off[k] : off[k + 1]], return_counts=True)
+                b, c = (np.flatnonzero(long), long[long > 0]) if long is not None else np.unique(g[off[k] : off[k + 1]], return_counts=True)
                 at.append(i + k)
                 b_.append(b.astype(np.int32))
                 c_.append(c.astype(np.int32))
@@ -192,12 +212,16 @@ def _predictor(shared):
             texts = batch.column("text").to_pylist()
             lang, prob = ["und"] * len(texts), [0.0] * len(texts)
             for i, part in _parts(texts) if m.langs else ():
-                g, off = grams(part)
                 total = np.zeros((len(part), len(m.langs)))
-                counts = np.maximum(1, np.diff(off))
-                for c in range(len(m.langs)):
-                    run_ = np.concatenate([[0.0], np.cumsum(m.weights[g, c])])
-                    total[:, c] = (run_[off[1:]] - run_[off[:-1]]) / counts
+                if len(part[0]) > _CUT:
+                    own = gram_counts(part[0])
+                    total[0] = own @ m.weights / max(1, own.sum())
+                else:
+                    g, off = grams(part)
+                    counts = np.maximum(1, np.diff(off))
+                    for c in range(len(m.langs)):
+                        run_ = np.concatenate([[0.0], np.cumsum(m.weights[g, c])])
+                        total[:, c] = (run_[off[1:]] - run_[off[:-1]]) / counts
                 p = _soft((total + m.bias) / m.temperature)
                 for k, t in enumerate(part):
                     if any(map(str.isalpha, t)):

@@ -165,3 +165,16 @@ def test_ftrl_equals_plain_python():
                     n[i, c] += g * g
     assert all(abs(w[i, c] - weight((i, c))) < 1e-9 for i in range(20) for c in range(classes))
     assert all(abs(bias[c] - weight((-1, c))) < 1e-9 for c in range(classes))
+
+
+def test_windows_of_long_texts_count_the_same(monkeypatch):
+    rng = random.Random(2)
+    for size in (1, 2, 3, 50, 400):
+        text = "".join(rng.choice("aBcd 1\tÄ中") for _ in range(size))
+        for cut in (1, 2, 7, 1000):
+            monkeypatch.setattr(langid, "_CUT", cut)
+            got = langid.gram_counts(text)
+            assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == plain_grams(text)
+    monkeypatch.undo()
+    g, off = langid.grams(["ab", "", "Äx 1"])
+    assert all(sorted(g[off[k] : off[k + 1]].tolist()) == sorted(b for b, n in plain_grams(t).items() for _ in range(n)) for k, t in enumerate(["ab", "", "Äx 1"]))
