@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomery.operators.ordered import md5_order
+from loomery.runtime import Scratch
 
 
 def rarefied(profile: DataFrame, depth: int, seed: str = "") -> DataFrame:
@@ -21,10 +22,14 @@ def rarefied(profile: DataFrame, depth: int, seed: str = "") -> DataFrame:
     units = units.withColumn("_o", md5_order(*([F.lit(seed)] if seed else []), F.col("sample"), F.col("entity"), F.col("unit")))
     head = F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / float(1 << 32)
     share = 1.5 * depth / F.col("_t") + 10.0 / F.sqrt(F.col("_t"))
-    near = units.where(head < share)
-    # counts combine before their shuffle, so only the near units are ever moved, unless a sample comes out short
-    short = units.groupBy("sample").agg(F.sum((head < share).cast("int")).alias("_c")).where(F.col("_c") < depth).select("sample")
-    picked = near.join(short, "sample", "left_anti").unionByName(units.join(short, "sample", "left_semi"))
+    # only the near units are ever written and moved, unless a sample comes out short of them
+    scratch = Scratch(profile.sparkSession, "rarefied")
+    near = scratch.keep(units.where(head < share).select("sample", "entity", "_o"), "near")
+    found = near.groupBy("sample").agg(F.count("*").alias("_c"))
+    short = scratch.keep(deep.select("sample").distinct().join(found, "sample", "left").where(F.coalesce("_c", F.lit(0)) < depth).select("sample"), "short")
+    picked = near
+    if short.take(1):
+        picked = near.join(short, "sample", "left_anti").unionByName(units.join(short, "sample", "left_semi").select("sample", "entity", "_o"))
     ranked = picked.withColumn("_r", F.row_number().over(Window.partitionBy("sample").orderBy("_o"))).where(F.col("_r") <= depth)
     return ranked.groupBy("sample", "entity").agg(F.count("*").alias("n"))
 
