@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomery.plans import profile_queries, sequence_queries, source_queries, summary_queries, table_queries
+from loomery.plans import inventory_queries, profile_queries, sequence_queries, source_queries, summary_queries, table_queries
 from loomery.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "profile_queries", "sequence_queries", "source_queries", "summary_queries", "table_queries"]
+__all__ = ["QUERIES", "SQL", "inventory_queries", "profile_queries", "sequence_queries", "source_queries", "summary_queries", "table_queries"]
