@@ -40,8 +40,8 @@ ROLL_BYTES = 64 << 20
 #: Payload bytes aimed at in a shard, and most shards: beyond, shards are larger and roll to more files.
 SHARD_BYTES = 12 << 20
 MAX_SHARDS = 5_000
-#: Rows sampled to place shard borders, about.
-SAMPLE = 100_000
+#: Rows sampled to place shard borders, about: bounds what comes to the driver.
+SAMPLE = 50_000
 DATE = "2024-01-01T00:00:00Z"
 _FILES = "shard int, seq int, name string, bytes bigint, records bigint, sha256 string"
 _NAME = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
