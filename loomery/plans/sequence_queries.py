@@ -83,9 +83,12 @@ def containment_pairs(spark, sf):
     return dedup.contained(corpus(spark, sf), MIN_CONTAINED)
 
 
-@query(f"WITH {CORPUS} SELECT DISTINCT e.src, k.rel, k.dst FROM e JOIN k ON e.dst = k.src")
+@query(f"WITH {CORPUS}, r AS (SELECT * FROM k UNION ALL SELECT dst, rel, src FROM e) SELECT DISTINCT k.src, CASE WHEN r.rel = '=' THEN k.rel ELSE r.rel END AS rel, r.dst FROM k JOIN r ON k.dst = r.src UNION SELECT DISTINCT e.src, k.rel, k.dst FROM e JOIN k ON e.dst = k.src")
 def relation_compose(spark, sf):
-    return relations.compose(dedup.duplicate_relations(corpus(spark, sf)), containment_pairs(spark, sf))
+    """Containments followed by containments or by copies of the text that holds, and copies of the text that is held."""
+    k, e = containment_pairs(spark, sf), dedup.duplicate_relations(corpus(spark, sf))
+    back = e.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))
+    return relations.compose(k, k.unionByName(back)).unionByName(relations.compose(e, k)).distinct()
 
 
 @query(f"WITH {CORPUS}, a AS (SELECT * FROM k UNION ALL SELECT k.src, 'R', k.dst FROM k WHERE dst % 2 = 0) SELECT src, min(rel) AS rel, dst FROM a GROUP BY src, dst")
