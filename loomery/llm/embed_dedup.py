@@ -138,7 +138,7 @@ def _far(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
 
 
 def _joined(x, y, px, py, low: float, eps: float, self_: bool, i: int = 0, j: int = 0):
-    """Index pairs with a cosine of at least low, leaf by leaf."""
+    """Index pairs with a dot product of at least low, and the product, leaf by leaf."""
     if not len(x) or not len(y) or _far(px, py, eps):
         return
     if len(x) <= LEAF and len(y) <= LEAF:
@@ -147,7 +147,7 @@ def _joined(x, y, px, py, low: float, eps: float, self_: bool, i: int = 0, j: in
         if self_ and i == j:
             a, b = a[a < b], b[a < b]
         if len(a):
-            yield a + i, b + j
+            yield a + i, b + j, dots[a, b]
         return
     h, k = (len(x) + 1) // 2 if len(x) > LEAF else len(x), (len(y) + 1) // 2 if len(y) > LEAF else len(y)
     for u in ((0, h), (h, len(x))):
@@ -173,19 +173,28 @@ def _matcher(axes: np.ndarray, threshold: float, eps: float):
     def pair(x: Block, y: Block):
         self_ = x.block == y.block
         shift = 0 if self_ else len(x.ids)
-        a_, b_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a, b in _joined(x.unit, y.unit, x.axes, y.axes, threshold - slack, eps + slack, self_):
-            keep = cosines(x.raw[a], y.raw[b]) >= threshold
-            a_.append(a[keep])
-            b_.append(b[keep])
-        a, b = np.concatenate(a_), np.concatenate(b_)
-        if not len(a):
-            return
         nodes = x.ids if self_ else np.concatenate([x.ids, y.ids])
         copies = x.copies if self_ else np.concatenate([x.copies, y.copies])
-        links = np.bincount(a, weights=copies[b + shift], minlength=len(nodes)) + np.bincount(b + shift, weights=copies[a], minlength=len(nodes))
-        root = smallest_reachable(len(nodes), a, b + shift)
+        links, ends = np.zeros(len(nodes)), [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+        for a, b, dots in _joined(x.unit, y.unit, x.axes, y.axes, threshold - slack, eps + slack, self_):
+            close = np.flatnonzero(dots < threshold + slack)
+            if len(close):
+                ok = np.ones(len(a), dtype=bool)
+                ok[close] = cosines(x.raw[a[close]], y.raw[b[close]]) >= threshold
+                a, b = a[ok], b[ok]
+            if not len(a):
+                continue
+            links += np.bincount(a, weights=copies[b + shift], minlength=len(nodes)) + np.bincount(b + shift, weights=copies[a], minlength=len(nodes))
+            # of a leaf's links only a forest is kept: a dense group has as many links as pairs
+            low_a, low_b, n_a = a.min(), b.min(), int(a.max() - a.min()) + 1
+            names = np.concatenate([np.arange(low_a, low_a + n_a), np.arange(low_b, b.max() + 1) + shift])
+            root = smallest_reachable(len(names), a - low_a, b - low_b + n_a)
+            for side, at in zip(ends, (names, names[root]), strict=True):
+                side.append(at[root != np.arange(len(names))])
+        root = smallest_reachable(len(nodes), *(np.concatenate(side) for side in ends))
         hit = np.flatnonzero(links)
+        if not len(hit):
+            return
         yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(links[hit].astype(np.int64)), pa.array(nodes[root[hit]])], ["rep", "links", "root"])
 
     @released

@@ -128,3 +128,21 @@ def test_tiles_of_queries_meet_all_shards(spark, monkeypatch):
     monkeypatch.setattr(vptree, "TILE_BYTES", 1000)
     monkeypatch.setattr(vptree, "GROUP_BYTES", 1500)
     assert sorted(map(tuple, vptree.nearest(df, vptree.build_index(df, shard_rows=20), 3).collect())) == want
+
+
+def test_dense_groups(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embed_dedup, "LEAF", 16)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + rng.normal(size=(150, 6)) * s for c, s in ((rng.normal(size=6) * 3, 0.05), (rng.normal(size=6) * 3, 0.4))])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    comp = np.arange(len(x))
+    while True:
+        new = np.minimum(comp, np.where(near, comp[None, :], len(x)).min(axis=1))
+        if (new == comp).all():
+            break
+        comp = new
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    assert sorted(map(tuple, got.select("vec_id", "n_links", "component_id").collect())) == [(k, int(near[k].sum()), int(comp[k])) for k in range(len(x))]
