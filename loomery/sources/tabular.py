@@ -58,10 +58,23 @@ def mapped_name(name: Column) -> Column:
 def mirror_state(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """manifest (name, bytes, md5) with ok: whether the landed file has that size and digest."""
     f = spark.read.format("binaryFile").load(path)
-    have = f.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("_n"), F.md5("content").alias("_m"))
+    return checked(f.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "content"), manifest)
+
+
+def checked(landed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """manifest (name, bytes, md5) with ok: whether the file of that name among landed (name, length, content) agrees."""
+    have = landed.select("name", F.col("length").alias("_n"), F.md5("content").alias("_m"))
     return manifest.join(have, "name", "left").withColumn("ok", F.coalesce((F.col("_n") == F.col("bytes")) & (F.col("_m") == F.col("md5")), F.lit(False))).drop("_n", "_m")
 
 
+def unpacked(packs: DataFrame) -> DataFrame:
+    """name, length, content of files that lie in packs (name, content): many small ones to a file of the store.
+
+    A file of its own costs the store several calls to create, list and open, which for short ones is all their time.
+    """
+    return packs.select("name", F.octet_length("content").cast("bigint").alias("length"), "content")
+
+
 GENES = "sample string, gene string, contig string, strand string, start bigint, end bigint, complete boolean"
 _SECTION = re.compile(r"^\s*(Predicted genes|Predicted proteins:|Nucleotide sequence of predicted genes:|FASTA definition line:)(.*)$", re.M)
 _ROW = re.compile(r"^\s*(\d+)\s+([+-])\s+([<>]?)(\d+)\s+([<>]?)(\d+)\b", re.M)

@@ -73,3 +73,16 @@ def test_fasta_errors(spark, tmp_path):
     (tmp_path / "d.fa").write_text(">one\nAC\n>two\nG\n")
     (tmp_path / "e.fa").write_text("")
     assert fasta.read(spark, f"{tmp_path}/[de].fa", strict=True).count() == 2
+
+
+def test_mirror_packs_small_files(spark, tmp_path, monkeypatch):
+    """As many files as suppliers would cost the store several calls for each; a supplier without a name lands empty."""
+    from loomery.plans import source_queries
+
+    names = [(k, f"Supplier#{k}" if k % 7 else None) for k in range(300)]
+    supplier = spark.createDataFrame(names, "s_suppkey bigint, s_name string").coalesce(2)
+    monkeypatch.setattr(source_queries, "table", lambda *_: supplier)
+    monkeypatch.setattr("loomery.runtime.shared_dir", lambda *_: f"file://{tmp_path}")
+    got = {r.name: r.ok for r in source_queries.mirror_manifest(spark, "").collect()}
+    assert got == {f"r{k}{('.single.fq.gz', '.pair.1.fq.gz', '.pair.2.fq.gz')[k % 3]}": k % 5 > 0 for k, _ in names}
+    assert 0 < sum(1 for p in tmp_path.rglob("part-*")) < 10
