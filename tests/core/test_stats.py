@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -73,3 +74,24 @@ def test_principal_components(spark):
     x = rng.normal(size=(200, 3)) * [5, 1, 0.1]
     mean, axes = matrix.principal_components(spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>"), "v")
     assert np.allclose(mean, x.mean(axis=0)) and abs(axes[0, 0]) > 0.99
+
+
+@pytest.mark.parametrize("kind", ["city", "squared"])
+def test_pairwise_in_blocks(spark, monkeypatch, kind):
+    """Features of few and of many rows, rows without any cell, negative values, nulls; no shuffle holds pairs."""
+    rng = random.Random(5)
+    n = 230
+    cells = [(r, f, rng.choice([-2.5, -1.0, 0.0, 1.0, 3.0])) for r in range(n) for f in range(12) if rng.random() < (0.9 if f < 3 else 0.05)]
+    rows = [(r, f"f{f}", v) for r, f, v in cells] + [(r, "f0", 0.0) for r in range(n)] + [(3, None, 9.0), (4, "f1", None), (None, "f1", 1.0)]
+    monkeypatch.setattr(matrix, "BLOCK_ROWS", 50)
+    d = matrix.pairwise(spark.createDataFrame(rows, "row bigint, feature string, value double"), kind)
+    got = {(r.a, r.b): r.d for r in d.collect()}
+    x = np.zeros((n, 12))
+    for r, f, v in cells:
+        x[r, f] = v
+    e = x[:, None] - x
+    want = (e * e if kind == "squared" else np.abs(e)).sum(2)
+    assert len(got) == n * (n - 1) // 2
+    assert all(a < b and v == pytest.approx(want[a, b]) for (a, b), v in got.items())
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and "Exchange" not in plan[: plan.index("MapInArrow")]
