@@ -124,3 +124,16 @@ def test_shared_under_shuffles_pairs_only(spark):
     plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
     assert sorted(tuple(r) for r in got.collect()) == [(0, 1), (1, 1)]
     assert sum("hashpartitioning(entity" in x for x in plan) == 1 and all("REPARTITION" in x for x in plan if "hashpartitioning(entity" in x)
+
+
+def test_principal_coordinates_of_many_rows(spark, monkeypatch):
+    """Neither the driver's limit nor the way to the vectors changes the result."""
+    x = np.random.default_rng(7).standard_normal((60, 3)) * [9, 4, 1]
+    d = np.abs(x[:, None] - x).sum(2)
+    rows = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(60) for j in range(i + 1, 60)], "a bigint, b bigint, d double")
+    names, want, share = matrix.principal_coordinates(rows)
+    monkeypatch.setattr(matrix, "MAX_ROWS", 50)
+    monkeypatch.setattr(matrix, "SMALL", 10)
+    again, got, same = matrix.principal_coordinates(rows)
+    assert names == again == list(range(60)) and same == pytest.approx(share)
+    assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-6)
