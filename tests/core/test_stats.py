@@ -137,3 +137,17 @@ def test_principal_coordinates_of_many_rows(spark, monkeypatch):
     again, got, same = matrix.principal_coordinates(rows)
     assert names == again == list(range(60)) and same == pytest.approx(share)
     assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-6)
+
+
+def test_within_category_in_blocks(spark, monkeypatch):
+    """Every pair of a label once, across blocks; null, broken and shorter vectors have no distance."""
+    monkeypatch.setattr(matrix, "VECTOR_ROWS", 8)
+    x = np.random.default_rng(2).standard_normal((50, 4))
+    rows = [(i, x[i].tolist(), i % 2 if i < 45 else None) for i in range(50)] + [(60, None, 0), (61, [1.0, None, 0.0, 0.0], 0), (62, [1.0, 2.0], 0)]
+    d = matrix.within_category(spark.createDataFrame(rows, "id bigint, e array<float>, label int"), "label", "id", "e")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    got, x = {(r.label, r.a, r.b): r.d for r in d.collect()}, x.astype(np.float32).astype(float)
+    ids = {c: [r[0] for r in rows if r[2] == c] for c in (0, 1)}
+    assert set(got) == {(c, a, b) for c, v in ids.items() for a in v for b in v if a < b}
+    assert all((v is None) if b >= 60 else v == pytest.approx(np.linalg.norm(x[a] - x[b])) for (_, a, b), v in got.items())
+    assert "MapInArrow" in plan
