@@ -151,3 +151,24 @@ def test_within_category_in_blocks(spark, monkeypatch):
     assert set(got) == {(c, a, b) for c, v in ids.items() for a in v for b in v if a < b}
     assert all((v is None) if b >= 60 else v == pytest.approx(np.linalg.norm(x[a] - x[b])) for (_, a, b), v in got.items())
     assert "MapInArrow" in plan
+
+
+def test_pairwise_of_wide_blocks(spark, monkeypatch):
+    """Many rows lie in few blocks, as each block goes to all others; slabs of them meet, and every pair leaves once."""
+    monkeypatch.setattr(matrix, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(matrix, "MOST_BLOCKS", 3, raising=False)
+    rng = random.Random(8)
+    x = np.array([[rng.choice([0.0, 0.0, 1.0, 2.5]) for _ in range(6)] for _ in range(190)])
+    rows = spark.createDataFrame([(i, f"f{k}", float(v)) for i, r in enumerate(x) for k, v in enumerate(r)], "row bigint, feature string, value double")
+    assert matrix.row_blocks(rows)[1] == 3
+    got = [(r.a, r.b, r.d) for r in matrix.pairwise(rows).collect()]
+    e = ((x[:, None] - x) ** 2).sum(2)
+    assert sorted(got) == [(i, j, pytest.approx(e[i, j])) for i in range(190) for j in range(i + 1, 190)]
+
+
+def test_family_matrix_shuffles_lines_once(spark):
+    from loomery.plans import table_queries
+
+    plan = table_queries.family_matrix(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert [x.split("(")[1].split("#")[0] for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "entity" not in x and "feature" not in x] == ["l_partkey"]
+    assert sum("Exchange hashpartitioning(" in x for x in plan.splitlines()) == 3
