@@ -39,7 +39,7 @@ POSTED = 4
 BUCKETS = 1 << 20
 RANGES = 64
 #: Postings that one task matches, about.
-PART = 80_000
+PART = 160_000
 #: Earliest partners that a class names under one word in the first round.
 FIRST = 8
 #: Lines from which on a word is posted in pairs with others.
@@ -69,9 +69,7 @@ def _lines(texts: pa.Array):
 def _distinct(keys: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each segment's distinct keys, ascending, and their offsets."""
     keys = keys.copy()
-    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-        if b - a > 1:
-            keys[a:b].sort()
+    words.sort_segments(keys, off[:-1], np.diff(off))
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[1:] != keys[:-1]
     new[off[:-1][off[:-1] < len(keys)]] = True
@@ -107,7 +105,7 @@ def _scanner(min_words: int):
                 n = np.diff(k_off)
                 use = np.flatnonzero(n >= min_words)
                 a, b = _signature(keys, k_off), _signature(keys, k_off, 1)
-                counts += np.bincount((keys >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                np.add.at(counts, (keys >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
                 doc = np.searchsorted(first, use, side="right") - 1
                 at = pa.array(start + doc)
                 none = pa.nulls(len(use), pa.int64())
@@ -145,9 +143,8 @@ def _prefixes(keys: np.ndarray, k_off: np.ndarray, use: np.ndarray, rank: np.nda
     of a rank of ``hot`` or more stand in pairs with each other word of the prefix that is one word longer.
     """
     order = (rank[(keys >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8))
-    for a, b in zip(k_off[use].tolist(), k_off[use + 1].tolist(), strict=True):
-        order[a:b].sort()
     begin, size = k_off[use], np.diff(k_off)[use]
+    words.sort_segments(order, begin, size)
     take = size - (8 * size + 9) // 10 + 1
     row = np.repeat(np.arange(len(use)), take)
     pos = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)

@@ -45,6 +45,24 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def sort_segments(keys: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+    """Sort keys within segments, in place; segments of one size are sorted together."""
+    by = np.argsort(size, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(size[by])) + 1).tolist(), len(by)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        n = int(size[by[a]]) if a < b else 0
+        if n < 2:
+            continue
+        if b - a == 1:
+            at = int(begin[by[a]])
+            keys[at : at + n].sort()
+            continue
+        at = begin[by[a:b], None] + np.arange(n)
+        part = keys[at]
+        part.sort(axis=1)
+        keys[at] = part
+
+
 def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words begin and end (exclusive); none crosses a segment's start."""
     edges = []
@@ -53,7 +71,8 @@ def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         part = data[a : a + WINDOW]
         inside = np.empty(len(part) + 1, dtype=bool)
         inside[0] = last
-        np.logical_not(_GAP[part], out=inside[1:])
+        np.greater((part - np.uint8(9)), 4, out=inside[1:])
+        inside[1:] &= part != 32
         edges.append(np.flatnonzero(inside[1:] != inside[:-1]) + a)
         last = bool(inside[-1])
     at = np.concatenate([*edges, [len(data)] if last else []]).astype(np.int64)

@@ -95,3 +95,24 @@ def test_clashing_columns(spark):
     got = line_dedup.dedup_lines(df)
     assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, line, 1, "h", 2, 3, 4, 5), (2, "six", 1, "h", 2, 3, 4, 5)]
     assert sorted(r.lines_removed for r in line_dedup.dedup_lines(df, details=True).collect()) == [0, 1]
+
+
+def test_segments_are_sorted_together():
+    """Each segment for itself, those of one size at once; what lies outside segments stays."""
+    import numpy as np
+
+    from loomery.llm import words
+
+    rng = np.random.default_rng(4)
+    size = rng.integers(0, 6, 200)
+    begin = np.cumsum(size + 1) - size
+    keys = rng.integers(0, 1 << 62, int(begin[-1] + size[-1] + 1)).astype(np.uint64)
+    want = keys.copy()
+    for a, n in zip(begin, size, strict=True):
+        want[a : a + n] = np.sort(want[a : a + n])
+    words.sort_segments(keys, begin, size)
+    assert (keys == want).all()
+    data = np.arange(256, dtype=np.uint8).repeat(2)
+    start, stop = words.bounds(data, np.array([0, len(data)]))
+    gaps = [c for c in range(256) if c == 32 or 9 <= c < 14]
+    assert sorted(set(range(256)) - {int(data[k]) for a, b in zip(start, stop, strict=True) for k in range(a, b)}) == gaps
