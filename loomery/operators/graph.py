@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.runtime import Scratch
+from loomery.runtime import Scratch, checked_broadcast
 
 #: Edges, counted first, that a single task may solve; beyond, all rounds are distributed.
 LOCAL_EDGES = 1_000_000
@@ -170,5 +170,7 @@ def best_pairing(scores: DataFrame, at_least: float) -> DataFrame:
         y = left.groupBy("b").agg(F.min(key).alias("k"))
         both = scratch.keep(x.join(y.withColumnRenamed("b", "_b"), "k").select("k.a", "k.b", (-F.col("k.s")).alias("score")), "round")
         out = both if out is None else out.unionByName(both)
-        left = scratch.keep(left.join(both.select("a"), "a", "left_anti").join(both.select("b"), "b", "left_anti").select("a", "b", "score"), "scores")
+        # what a round leaves replaces what it began with
+        before, left = left, scratch.keep(left.join(checked_broadcast(both.select("a")), "a", "left_anti").join(checked_broadcast(both.select("b")), "b", "left_anti").select("a", "b", "score"), "scores")
+        scratch.drop(before)
     return out if out is not None else left

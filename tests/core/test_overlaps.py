@@ -22,3 +22,24 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
     sizes = {s: sum(q == s for q, _ in rows) for s in range(12)}
     want = {(a, b): len(has[a] & has[b]) / min(sizes[a], sizes[b]) for a in has for b in has if a < b and has[a] & has[b]}
     assert {(r.a, r.b): r.score for r in d.collect()} == want
+
+
+def test_pairs_meet_sizes_without_a_shuffle(spark):
+    """Sizes are counted and broadcast, so the pairs of suppliers lie where they were made."""
+    from loomery.plans import table_queries
+
+    plan = table_queries.overlaps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_rounds_leave_one_table_of_scores(spark, monkeypatch):
+    from loomery.operators import graph
+    from loomery.runtime import Scratch
+
+    made = []
+    monkeypatch.setattr(graph, "Scratch", lambda *a: made.append(Scratch(*a)) or made[-1])
+    # each round pairs one row only
+    rows = [(k, k, 1.0 - k / 100) for k in range(4)] + [(k + 1, k, 1.0 - k / 100 - 0.005) for k in range(4)]
+    got = graph.best_pairing(spark.createDataFrame(rows, "a bigint, b bigint, score double"), 0.5)
+    assert sorted(r[:2] for r in got.collect()) == [(k, k) for k in range(4)]
+    assert sum(p.endswith("scores") for p in made[0].paths) == 1
