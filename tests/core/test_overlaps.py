@@ -28,7 +28,12 @@ def test_pairs_meet_sizes_without_a_shuffle(spark):
     """Sizes are counted and broadcast, so the pairs of suppliers lie where they were made."""
     from loomery.plans import table_queries
 
-    plan = table_queries.overlaps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = table_queries.overlaps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
 
 
