@@ -139,6 +139,52 @@ def test_principal_coordinates_of_many_rows(spark, monkeypatch):
     assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-6)
 
 
+def test_principal_coordinates_of_equal_rows(spark, tmp_path, monkeypatch):
+    """Rows that are equal meet the others once: copies of two tables give each row's coordinates again, from as many pairs as one copy has."""
+    from loomery import plans
+
+    rng = np.random.default_rng(11)
+    lines = [(s, p, float(rng.integers(1, 50))) for s in range(20) for p in range(12) if rng.random() < 0.6] + [(20, 12, 3.0), (21, 12, 3.0), (22, 12, 0.0), (None, 1, 4.0)]
+    for k, copies in (("one", 1), ("many", 4)):
+        spark.createDataFrame([(c * 100 + s if s is not None else None, c * 100 + p, q) for s, p, q in lines for c in range(copies)], "l_suppkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        spark.createDataFrame([(c * 100 + p, f"b{p % 5}" if p < 12 else None) for p in range(13) for c in range(copies)], "p_partkey bigint, p_brand string").write.parquet(f"{tmp_path}/{k}/part.parquet")
+    x, met = np.zeros((23, 5)), []
+    for s, p, q in lines:
+        if s is not None and p < 12:
+            x[s, p % 5] += q
+    full = matrix.principal_coordinates
+    monkeypatch.setattr(matrix, "principal_coordinates", lambda d, *a, **b: met.append(d.count()) or full(d, *a, **b))
+    for k, copies in (("one", 1), ("many", 4)):
+        e = np.tile(x, (copies, 1))
+        d = np.abs(e[:, None] - e).sum(2) ** 2
+        centred = -0.5 * (d - d.mean(0) - d.mean(1)[:, None] + d.mean())
+        values, vectors = np.linalg.eigh(centred)
+        got = {(r.row, r.axis): (r.coordinate, r.explained) for r in plans.QUERIES["pcoa"](spark, f"{tmp_path}/{k}").collect()}
+        assert len(got) == 3 * len(e)
+        for axis in range(3):
+            at = np.array([got[c * 100 + s, axis][0] for c in range(copies) for s in range(23)])
+            want = vectors[:, -1 - axis] * np.sqrt(values[-1 - axis])
+            assert at * np.sign(at @ want) == pytest.approx(want, abs=1e-6)
+            assert got[0, axis][1] == pytest.approx(values[-1 - axis] / values[values > 0].sum())
+    # the last three rows have no cell that is not zero
+    assert met == [21 * 20 // 2] * 2
+
+
+def test_coordinates_of_few_distinct_rows(spark):
+    """As many axes as rows allow, whether they differ or not; without two rows none."""
+    kinds = spark.createDataFrame([(1, 2), (5, 3)], "row bigint, n bigint")
+    names, at, share = matrix.principal_coordinates(spark.createDataFrame([(1, 5, 2.0)], "a bigint, b bigint, d double"), times=kinds)
+    assert names == [1, 5] and share == pytest.approx([1, 0, 0])
+    assert np.abs(at) == pytest.approx(np.array([[1.2, 0, 0], [0.8, 0, 0]]), abs=1e-9)
+    none = spark.createDataFrame([], "a bigint, b bigint, d double")
+    names, at, share = matrix.principal_coordinates(none, times=kinds.limit(1))
+    assert (len(names), at.shape, at.any(), share.any()) == (1, (1, 2), False, False)
+    assert matrix.principal_coordinates(none)[0] == matrix.principal_coordinates(none, times=kinds.limit(1).withColumn("n", kinds.n - 1))[0] == []
+    of, equal = matrix.alike(spark.createDataFrame([(1, "x", 2.0), (2, "x", 2.0), (2, "y", -0.0), (3, "x", None), (4, None, 7.0), (None, "x", 1.0)], "row bigint, feature string, value double"))
+    assert sorted(tuple(r) for r in of.collect()) == [(1, 1), (2, 1), (3, 3), (4, 3)] and sorted((r.first, r.n) for r in equal.select("first", "n").collect()) == [(1, 2), (3, 2)]
+    assert matrix.alike(spark.createDataFrame([(1, None, 2.0), (2, None, 2.0)], "row bigint, feature string, value double"))[0].count() == 0
+
+
 def test_within_category_in_blocks(spark, monkeypatch):
     """Every pair of a label once, across blocks; null, broken and shorter vectors have no distance."""
     monkeypatch.setattr(matrix, "VECTOR_ROWS", 8)
