@@ -185,6 +185,36 @@ def test_coordinates_of_few_distinct_rows(spark):
     assert matrix.alike(spark.createDataFrame([(1, None, 2.0), (2, None, 2.0)], "row bigint, feature string, value double"))[0].count() == 0
 
 
+@pytest.mark.parametrize("n", [61, 64])
+def test_principal_coordinates_in_tiles(spark, monkeypatch, n):
+    """A matrix that no task holds has the same shares and coordinates; a missing pair is a distance of zero, and rows have weights."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((n, 4)) * [9, 4, 2, 1]
+    d = np.abs(x[:, None] - x).sum(2)
+    pairs = spark.createDataFrame([(i * 3, j * 3, float(d[i, j])) for i in range(n) for j in range(i + 1, n) if (i, j) != (2, 5)], "a bigint, b bigint, d double").repartition(5)
+    times = spark.createDataFrame([(i * 3, 1 + i % 3) for i in range(n)], "row bigint, n int")
+    names, want, share = matrix.principal_coordinates(pairs, times=times)
+    for k, v in (("TASK_ROWS", n - 1), ("TILE", 16), ("TILED_ROWS", 32), ("TILE_PAIRS", 300)):
+        monkeypatch.setattr(matrix, k, v)
+    monkeypatch.setattr(np.linalg, "eigvalsh", None)
+    again, got, same = matrix.principal_coordinates(pairs, times=times)
+    assert names == again and same == pytest.approx(share, rel=1e-12)
+    assert got * np.sign((got * want).sum(0)) == pytest.approx(want, abs=1e-8)
+
+
+@pytest.mark.parametrize(("n", "b"), [(37, 5), (40, 8), (9, 4), (5, 8)])
+def test_values_of_a_band(n, b):
+    rng = np.random.default_rng(n)
+    size = [min(b, n - k) for k in range(0, n, b)]
+    diagonal = [z + z.T for z in (rng.standard_normal((s, s)) for s in size)]
+    band = matrix.Band(diagonal, [np.triu(rng.standard_normal((q, p))) for p, q in zip(size, size[1:], strict=False)])
+    want = np.linalg.eigvalsh(band @ np.eye(n))
+    assert matrix.tridiagonal_values(*band.tridiagonal()) == pytest.approx(want, abs=1e-12)
+    v, t, r = matrix.reflections(diagonal[0][:, :3])
+    q = np.eye(len(v)) - v @ t @ v.T
+    assert q @ np.pad(r, ((0, len(v) - len(r)), (0, 0))) == pytest.approx(diagonal[0][:, :3]) and q.T @ q == pytest.approx(np.eye(len(v)))
+
+
 def test_within_category_in_blocks(spark, monkeypatch):
     """Every pair of a label once, across blocks; null, broken and shorter vectors have no distance."""
     monkeypatch.setattr(matrix, "VECTOR_ROWS", 8)
